@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import quality
+from millrace.llm import html_text, language, quality, warc_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": quality.query,
+        "op3_html": html_text.query,
+        "op4_language": language.query,
+        "op5_warc": warc_zip.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": warc_zip.SQL}
