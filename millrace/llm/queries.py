@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import html_text, language, neardup, quality, warc_zip
+from millrace.llm import html_text, language, mixing, neardup, quality, warc_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op4_language": language.query,
         "op5_warc": warc_zip.query,
         "op8_neardup": neardup.query,
+        "op10_mixing": mixing.query,
     }
 
 
