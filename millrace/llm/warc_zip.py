@@ -1,7 +1,7 @@
 """WARC records in ZIP packages: written by tasks, read back by byte ranges without extraction.
 
-A package is a ZIP file whose members are stored, not compressed: ``archive/data-N.warc`` and, for each, the index
-``indexes/data-N.jsonl`` with a line (offset, length, type) for each record. The reader finds the central directory
+A package is a ZIP file whose members are stored as they are: ``archive/data-N.warc.gz``, each record a gzip member
+of its own, and for each the index ``indexes/data-N.jsonl`` with a line (offset, length, type) for each record. The reader finds the central directory
 (ZIP64 too) from the file's end, locates the members, reads an index and then just the byte ranges of its records.
 
 Of records with the same payload digest and at least ``least_bytes`` of payload, the one with the smallest page_id
@@ -13,6 +13,7 @@ no other, all are responses); a null or unprintable url is percent-encoded or re
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -31,6 +32,7 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER_BYTES = 64 << 20
 READ_BYTES = 4 << 20
+LEVEL = 4
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, package string, offset long"
 
 # Signatures and field layouts of the ZIP format.
@@ -116,8 +118,8 @@ def write_packages(rows: DataFrame, folder: str) -> DataFrame:
                     sink = fs.open_output_stream(temp)
                     package = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED, allowZip64=True)
                 if member is None:
-                    member, at = package.open(f"archive/data-{k}.warc", "w", force_zip64=True), 0
-                raw = record(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), first, revisit)
+                    member, at = package.open(f"archive/data-{k}.warc.gz", "w", force_zip64=True), 0
+                raw = gzip.compress(record(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), first, revisit), LEVEL, mtime=0)
                 member.write(raw)
                 index.append([at, len(raw), "revisit" if revisit else "response"])
                 at, total = at + len(raw), total + 1
@@ -192,7 +194,7 @@ class Package:
     def records(self, name: str) -> Iterator[tuple[int, bytes]]:
         """(offset, raw record) in order of the member's index; neighbours come in one read."""
         start, _ = self.begin(name)
-        at, size = self.begin(name.replace("archive/", "indexes/").replace(".warc", ".jsonl"))
+        at, size = self.begin(name.replace("archive/", "indexes/").replace(".warc.gz", ".jsonl"))
         wanted = [json.loads(x)[:2] for x in io.BytesIO(self.read(at, size))]
         i = 0
         while i < len(wanted):
@@ -218,7 +220,7 @@ def read_packages(manifest: DataFrame, folder: str) -> DataFrame:
                 package, rows = Package(fs, path), []
                 for name in sorted(x for x in package.members if x.startswith("archive/")):
                     for offset, raw in package.records(name):
-                        rows.append(parse(raw) | {"package": os.path.basename(path), "offset": offset})
+                        rows.append(parse(gzip.decompress(raw)) | {"package": os.path.basename(path), "offset": offset})
                         if len(rows) >= 5000:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows = []
