@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import html_text, language, mixing, neardup, quality, warc_zip
+from millrace.llm import decontaminate, html_text, language, mixing, neardup, quality, warc_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op3_html": html_text.query,
         "op4_language": language.query,
         "op5_warc": warc_zip.query,
+        "op7_decontaminate": decontaminate.query,
         "op8_neardup": neardup.query,
         "op10_mixing": mixing.query,
     }
