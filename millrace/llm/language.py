@@ -142,14 +142,12 @@ def predict(df: DataFrame, text: str, model: Codes | None, names: tuple[str, str
         m = shared.value
 
         def step(texts):
-            vectors = [None if t is None else vector(t) for t in texts]
-            out = np.array([m.bias if x is None else x @ m.weights + m.bias for x in vectors]).reshape(len(texts), -1)
+            out, seen = np.tile(m.bias, (len(texts), 1)), np.zeros(len(texts), bool)
+            for i, t in enumerate(texts):
+                if t is not None and (x := vector(t)) is not None:
+                    out[i], seen[i] = x @ m.weights + m.bias, True
             best, p, ahead = decode(m, out)
-            return [
-                [UNKNOWN if x is None else m.languages[k] for x, k in zip(vectors, best, strict=True)],
-                [0.0 if x is None else float(q) for x, q in zip(vectors, p, strict=True)],
-                [True if x is None else bool(a < lead) for x, a in zip(vectors, ahead, strict=True)],
-            ]
+            return [[m.languages[k] if s else UNKNOWN for k, s in zip(best, seen, strict=True)], np.where(seen, p, 0.0), ~seen | (ahead < lead)]
 
         return step
 
