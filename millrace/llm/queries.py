@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, html_text, language, mixing, neardup, quality, warc_zip
+from millrace.llm import decontaminate, html_text, language, mixing, neardup, neighbours, quality, warc_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": quality.query,
+        "op2_neighbours": neighbours.query,
         "op3_html": html_text.query,
         "op4_language": language.query,
         "op5_warc": warc_zip.query,
