@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, html_text, language, mixing, neardup, neighbours, quality, warc_zip
+from millrace.llm import decontaminate, html_text, language, mixing, neardup, neighbours, quality, token_store, warc_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_html": html_text.query,
         "op4_language": language.query,
         "op5_warc": warc_zip.query,
+        "op6_token_store": token_store.query,
         "op7_decontaminate": decontaminate.query,
         "op8_neardup": neardup.query,
         "op10_mixing": mixing.query,
