@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, html_text, language, mixing, neardup, neighbours, quality, token_store, warc_zip
+from millrace.llm import decontaminate, html_text, language, lm_score, mixing, neardup, neighbours, quality, token_store, warc_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op6_token_store": token_store.query,
         "op7_decontaminate": decontaminate.query,
         "op8_neardup": neardup.query,
+        "op9_lm_score": lm_score.query,
         "op10_mixing": mixing.query,
     }
 
