@@ -2,10 +2,203 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.functions import text as T
+from millrace.functions.lexicon import any_of, hits, vocabulary
+from millrace.functions.tokens import SignTokens
+from millrace.operators import chunks as C, claims as K, evaluate, layout as L
+from millrace.plans import sql
+from millrace.sources import derived, sinks
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+SENT = ("doc_id", "page_number", "sent_idx")
+BLOCK = ("doc_id", "page_number", "src_idx")
+BOX = ("x0", "y0", "x1", "y1")
+COUNTER = SignTokens()
+
+
+def feats(spark: SparkSession, d: str) -> DataFrame:
+    return K.features(K.sentences(derived.claim_pages(spark, d)))
+
+
+def reasoned(spark: SparkSession, d: str) -> DataFrame:
+    return K.with_reason(feats(spark, d))
+
+
+def of_sentences(**columns) -> Query:
+    """A query that gives some columns for each sentence."""
+    return lambda spark, d: feats(spark, d).select(*SENT, *[make().alias(k) for k, make in columns.items()])
+
+
+def predicate(reason: str) -> Query:
+    return lambda spark, d: feats(spark, d).where(K.predicates(F.col("s"), F.col("low"), F.col("words"), F.col("quantity"))[reason]).select(*SENT)
+
+
+def claims(spark: SparkSession, d: str) -> DataFrame:
+    return K.claims(derived.claim_pages(spark, d))
+
+
+def blocks(spark: SparkSession, d: str) -> DataFrame:
+    return derived.layout_blocks(spark, d)
+
+
+def tables(spark: SparkSession, d: str) -> DataFrame:
+    return derived.layout_tables(spark, d)
+
+
+def placed(spark: SparkSession, d: str) -> DataFrame:
+    return C.ordered_items(blocks(spark, d), tables(spark, d))
+
+
+def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    return C.chunks(blocks(spark, d), tables(spark, d))
+
+
+def on_tables(spark: SparkSession, d: str, name: str, test) -> DataFrame:
+    """A geometric test of each block against each boxed table of its page."""
+    boxes = tables(spark, d).where("x0 is not null").select("doc_id", "page_number", *[F.col(c).alias(f"t_{c}") for c in BOX])
+    pairs = blocks(spark, d).join(boxes, ["doc_id", "page_number"])
+    return pairs.select(*BLOCK, test([F.col(c) for c in BOX], [F.col(f"t_{c}") for c in BOX]).alias(name))
+
+
+def patterns(spark: SparkSession, d: str) -> DataFrame:
+    line = T.first_line(T.stripped(F.col("text")))
+    return blocks(spark, d).select(*BLOCK, T.is_caption(line).alias("caption"), T.is_list_item(line).alias("list_item"), T.is_page_number(T.clean(F.col("text"))).alias("page_no"))
+
+
+def page_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return blocks(spark, d).where(L.margin_of_block() & T.is_page_number(T.clean(F.col("text")))).select(*BLOCK)
+
+
+def tables_of_pages(spark: SparkSession, d: str) -> DataFrame:
+    found = tables(spark, d).select("doc_id", "page_number", "src_idx")
+    return blocks(spark, d).select("doc_id", "page_number").distinct().join(found, ["doc_id", "page_number"], "left").groupBy("doc_id", "page_number").agg(F.count("src_idx").alias("tables"))
+
+
+def summary(spark: SparkSession, d: str) -> DataFrame:
+    return K.drop_counts(reasoned(spark, d)).groupBy("reason").agg(F.sum("n").alias("n"))
+
+
+def packing(spark: SparkSession, d: str) -> DataFrame:
+    docs = derived.table(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("text"))
+    return docs.select("doc_id", F.posexplode(C.packed(F.col("text"), COUNTER)).alias("piece_idx", "text"))
+
+
+def token_windows(spark: SparkSession, d: str) -> DataFrame:
+    found = derived.table(spark, d, "documents").select("doc_id", COUNTER.tokens(F.col("text")).alias("tk")).where(F.size("tk") > C.MOST)
+    return found.select("doc_id", F.posexplode(C.windows(F.col("tk"))).alias("window_idx", "text"))
+
+
+def table_split(spark: SparkSession, d: str) -> DataFrame:
+    """The grid of each supplier's lineitem rows, cut by rows."""
+    cells = F.array(*[F.col(c).cast("long").cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")], F.col("l_returnflag"), F.col("l_linestatus"))
+    item = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", cells.alias("cells"))
+    grids = derived.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.transform(F.sort_array(F.collect_list(item)), lambda r: r["cells"]).alias("body"))
+    head = F.array(F.array(*map(F.lit, ("order", "line", "part", "supplier", "quantity", "flag", "status"))))
+    return grids.select("id", F.posexplode(C.split_table(F.concat(head, "body"), COUNTER)).alias("piece_idx", "piece")).select("id", "piece_idx", F.col("piece.text").alias("text"))
+
+
+def reports(spark: SparkSession, d: str) -> DataFrame:
+    """Each report nested, and an outline of what is in it."""
+    b, t = blocks(spark, d), tables(spark, d)
+    rows = C.chunks(b, t)
+    meta = rows.groupBy("doc_id").agg(F.max("page_number").alias("total_pages")).select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_pdf"), F.lit(None).cast("string").alias("company"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("report_type"), "total_pages")
+    nested = C.reports(rows, C.warnings(b, t), meta)
+    outline = F.array_join(F.transform("chunks", lambda c: F.concat_ws(":", c["chunk_id"], c["content_type"])), ",")
+    return nested.select("doc_id", F.size("chunks").alias("n_chunks"), outline.alias("outline"), F.col("report_metadata.total_pages").alias("total_pages"))
+
+
+def tsv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    folder = sinks.scratch(spark, "claims-tsv")
+    sinks.write_tsv(claims(spark, d), folder)
+    return sinks.read_tsv(spark, folder, "Company string, Page int, Claim_Text string, ESG_Type string, Claim_Type string, Evidence_Exists string, Risk_Signal string")
+
+
+def output_names(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("doc_id") % 5
+    ending = F.when(kind == 0, ".tsv").when(kind == 1, ".CSV").when(kind == 2, ".Txt").when(kind == 3, ".pdf").otherwise("")
+    return derived.table(spark, d, "documents").select("doc_id", F.concat("source", ending).alias("url")).withColumn("output", sinks.output_name(F.col("url")))
+
+
+def any_lists() -> dict:
+    return {f"any_{x}": (lambda x=x: any_of(F.col("low"), x)) for x in vocabulary() if x != "section_nav_words"}
+
+
+def scanned(spark: SparkSession, d: str) -> DataFrame:
+    n = len(derived.golden())
+    docs = derived.table(spark, d, "documents").select("doc_id", "text")
+    known = F.broadcast(spark.createDataFrame([r[:2] for r in derived.golden()], "id int, sentence string"))  # 35 rows
+    second = docs.join(known, F.col("id") == F.col("doc_id") % n + 1).select("doc_id", F.col("sentence").alias("text"))
+    return L.scanned(docs.unionByName(second))
+
+
+def queries() -> dict[str, Query]:
+    low, quantity = F.col, lambda: F.col("quantity")
+    hit = {k: (lambda name=name: hits(F.col("low"), name)) for k, name in (("topic", "topic_keywords"), ("social", "social_keywords"), ("governance", "governance_keywords"), ("headings", "section_nav_words"))}
+    return {
+        "claims": claims,
+        "g01_sentences": lambda s, d: K.sentences(derived.claim_pages(s, d)),
+        "p01_clean": of_sentences(s=lambda: F.col("s")),
+        "p02_lower": of_sentences(low=lambda: F.col("low")),
+        "p03_words": of_sentences(words=lambda: F.col("words")),
+        "p04_quantity": of_sentences(quantity=quantity),
+        "p05_numbers": of_sentences(numbers=lambda: T.number_count(F.col("s"))),
+        "p06_page_mentions": of_sentences(mentions=lambda: T.page_mentions(F.col("low"))),
+        "p07_any": of_sentences(**any_lists()),
+        "p08_hits": of_sentences(**hit),
+        "p09_nature": of_sentences(nature=lambda: F.rlike(low("low"), F.lit(T.NATURE)).cast("int")),
+        "p10_workplace": of_sentences(workplace=lambda: F.rlike(low("low"), F.lit(T.WORKPLACE))),
+        "p11_total_hits": of_sentences(total=lambda: K.environment_hits(low("low")) + hits(low("low"), "social_keywords") + hits(low("low"), "governance_keywords")),
+        **{f"f{k:02d}_{r}": predicate(r) for k, r in enumerate(K.REASONS, 1)},
+        "f11_duplicate": lambda s, d: K.repeated(reasoned(s, d)).select(*SENT),
+        "cascade": lambda s, d: reasoned(s, d).select(*SENT, "reason"),
+        "o01_first_seen": lambda s, d: K.first_seen(reasoned(s, d)).select(*SENT, "low"),
+        "c01_claim_type": of_sentences(Claim_Type=lambda: K.claim_type(low("low"), quantity())),
+        "c02_evidence": of_sentences(Evidence_Exists=lambda: K.evidence(low("low"), quantity())),
+        "c03_risk": lambda s, d: K.with_risk(K.risk_table(s).drop("Risk_Signal")),
+        "c04_esg_type": of_sentences(ESG_Type=lambda: K.esg_type(low("low"))),
+        "a01_drop_counts": lambda s, d: K.drop_counts(reasoned(s, d)),
+        "a02_type_counts": lambda s, d: K.type_counts(claims(s, d)),
+        "s12_summary": summary,
+        "s07_page_dump": lambda s, d: derived.claim_pages(s, d).select("doc_id", "page_number", sinks.page_dump().alias("dump")),
+        "s08_tsv_round_trip": tsv_round_trip,
+        "s10_output_names": output_names,
+        "a06_scanned": scanned,
+        "p12_patterns": patterns,
+        "p13_first_line": lambda s, d: derived.table(s, d, "documents").select("doc_id", T.first_line(F.col("text")).alias("line")),
+        "p14_token_count": lambda s, d: derived.table(s, d, "documents").select("doc_id", COUNTER.count(F.col("text")).alias("tokens")),
+        "p15_chunk_id": lambda s, d: derived.table(s, d, "orders").select(F.col("o_orderkey").alias("number"), T.chunk_id(F.col("o_orderkey")).alias("chunk_id")),
+        "p16_margin": lambda s, d: blocks(s, d).select(*BLOCK, L.margin_of_block().alias("margin")),
+        "p17_iou": lambda s, d: on_tables(s, d, "iou", L.iou),
+        "p18_contained": lambda s, d: on_tables(s, d, "inside", L.contained),
+        "p19_markdown": lambda s, d: tables(s, d).select("doc_id", C.markdown(F.col("data")).alias("markdown")),
+        "a03_block_fonts": lambda s, d: L.block_fonts(derived.spans(s, d)),
+        "a04_page_fonts": lambda s, d: L.page_fonts(L.without_headers(blocks(s, d))),
+        "a05_repeated_texts": lambda s, d: L.repeated_texts(blocks(s, d)),
+        "j01_uncovered": lambda s, d: L.uncovered(L.without_headers(blocks(s, d)), tables(s, d)).select(*BLOCK),
+        "j02_without_headers": lambda s, d: L.without_headers(blocks(s, d)).select(*BLOCK),
+        "j03_page_numbers": page_numbers,
+        "j05_tables_of_pages": tables_of_pages,
+        "o04_reading_order": lambda s, d: placed(s, d).select("doc_id", "page_number", "kind", "src_idx", F.row_number().over(L.in_order()).alias("place")),
+        "c05_block_type": lambda s, d: placed(s, d).where("kind = 0").select(*BLOCK, "content_type"),
+        "o02_heading_context": lambda s, d: placed(s, d).select(*BLOCK, "kind", "heading_context"),
+        "g03_packing": packing,
+        "g04_windows": token_windows,
+        "g05_table_split": table_split,
+        "chunks": lambda s, d: chunk_rows(s, d).select("doc_id", "number", "chunk_id", "page_number", "content_type", "text", "token_count", *[F.col("bbox")[k].alias(c) for k, c in enumerate(BOX)], "heading_context"),
+        "o03_numbering": lambda s, d: chunk_rows(s, d).select("doc_id", "page_number", "kind", "src_idx", "number"),
+        "a07_totals": lambda s, d: chunk_rows(s, d).groupBy("doc_id", "content_type").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens")),
+        "a08_reports": reports,
+        "a09_precision": lambda s, d: evaluate.precision(evaluate.judgements(s, d), "lang"),
+        "a09_error_kinds": lambda s, d: evaluate.error_kinds(evaluate.judgements(s, d), "source"),
+        "a09_pivot": lambda s, d: evaluate.pivoted(evaluate.judgements(s, d), "source", "lang", ["de", "en", "es", "fr"]),
+        "a09_agreement": lambda s, d: evaluate.agreement(derived.table(s, d, "labels"), "quality", "toxic"),
+        "a09_recall": lambda s, d: evaluate.supported(claims(s, d)),
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return sql.queries()
