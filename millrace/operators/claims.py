@@ -98,12 +98,16 @@ def evidence(low: Column, quantity: Column) -> Column:
     return F.when(quantity & ~any_of(low, "future_markers"), "Yes").when(any_of(low, "evidence_refs") | quantity, "Partial").otherwise("No")
 
 
-def esg_type(low: Column) -> Column:
-    """Topic by most hits; a workplace "environment" counts for people, strong governance terms win ties."""
+def topic_counts(low: Column) -> tuple[Column, Column, Column]:
+    """Hits of the three topics; a workplace "environment" counts for people and not for the planet."""
     work = F.rlike(low, F.lit(T.WORKPLACE))
     found = environment_hits(low)
-    e = F.when(work & (found > 0), found - 1).otherwise(found)
-    s, g = hits(low, "social_keywords") + work.cast("int"), hits(low, "governance_keywords")
+    return F.when(work & (found > 0), found - 1).otherwise(found), hits(low, "social_keywords") + work.cast("int"), hits(low, "governance_keywords")
+
+
+def esg_type(low: Column) -> Column:
+    """Topic by most hits; strong governance terms win ties."""
+    e, s, g = topic_counts(low)
     strong = any_of(low, "strong_gov") & (g >= e) & (g >= s)
     return F.when(strong | ((g > e) & (g >= s)), "G").when((s > e) & (s >= g), "S").otherwise("E")
 
