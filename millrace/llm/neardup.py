@@ -7,9 +7,13 @@ inside the interval, and counts if that unit is below c. The earliest point of e
 two signatures agree in a component with probability sum(min)/sum(max) of the weights. A process is followed only
 until its time passes the latest component of its text.
 
-Bands of the signature name buckets. In a bucket all members are first compared with one of them (a star, linear in
-its size), then only pairs that are not yet in one class; every pair found is verified on the whole multisets, and
-classes are the connected components of the verified links. Exact copies are folded before and never paired.
+Bands of the signature name buckets. All members of a bucket are compared with one of them, its pivot, which is
+linear in its size; every comparison is made on the whole multisets. As 1 - similarity is a metric, two texts that
+are linked (0.8) are either both within 0.6 of the pivot or both beyond 0.4. The former make up a family; the latter
+stay in the bucket for another round with another pivot, until so few are left that they can be a family themselves.
+In a family whose links don't join all of it yet, members are compared in pairs of blocks inside the tasks, which
+return no more than the links that join classes. So no link of a bucket is lost, and no join makes pairs of a group.
+Classes are the connected components of the links. Exact copies are folded before and never compared.
 
 Defined cases: null texts and texts without a word are alike to nothing and form classes of their own; rows that
 repeat a doc_id stand for one document if their texts agree and else share its class; a null doc_id gets a null
@@ -21,13 +25,15 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.common import Memo, as_ids, mix, shingles, table, word_hash, written
 
 SIZE, BANDS, ROWS = 128, 25, 5
 WORDS, SIMILAR = 5, 0.8
-AT_ONCE = 1 << 21  # shingles signed together
+AT_ONCE = 1 << 19  # shingles signed together
+BLOCK, COLUMNS = 256, 8192  # texts of a family, and shingles, compared at a time
 MANTISSA = np.float64(2.0**-53)
 
 
@@ -113,8 +119,8 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / max(1, int(a[1].sum()) + int(b[1].sum()) - both)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts are as similar as asked for."""
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the similarity of their whole texts."""
     left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
@@ -131,10 +137,58 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
             return bags[i]
 
         for batch in batches:
-            found = [(a, b) for a, b, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if overlap(bag(a, s), bag(b, t)) >= similar]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+            alike = [overlap(bag(a, s), bag(b, t)) for a, b, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(alike, pa.float64())], ["a", "b", "alike"])
+
+    return both.mapInArrow(run, "a long, b long, alike double")
+
+
+def joined_up(rows: pd.DataFrame, similar: float) -> pd.DataFrame:
+    """Links between the two blocks of a group (id, root, block, text) that join different roots, as few as will do.
+
+    Occurrences of a shingle are told apart, so the size of a plain intersection is the multisets' overlap; one matrix
+    product for some columns of shingles at a time gives it for all pairs.
+    """
+    empty = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+    if rows["root"].nunique() < 2:
+        return empty
+    rows = rows.sort_values("id", ignore_index=True)
+    memo, sizes, parts = Memo(word_hash), [], []
+    for text in rows["text"]:
+        what, count = multiset(text, memo)
+        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        parts.append(mix(np.repeat(what, count) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        sizes.append(len(parts[-1]))
+    of = np.repeat(np.arange(len(rows)), sizes)
+    _, column, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    new = np.cumsum(times > 1) - 1
+    of, column = of[shared], new[column[shared]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    both = np.zeros((len(rows), len(rows)), np.float32)
+    for low in range(0, int(times[times > 1].size), COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        some = np.zeros((len(rows), COLUMNS), np.float32)
+        some[of[a:b], column[a:b] - low] = 1
+        both += some @ some.T
+    size, root, block = np.array(sizes), rows["root"].to_numpy(), rows["block"].to_numpy()
+    alike = both / np.maximum(1, size[:, None] + size[None, :] - both)
+    across = (root[:, None] != root[None, :]) & ((block[:, None] != block[None, :]) | (block.min() == block.max()))
+    head = {r: r for r in root}
+
+    def top(r):
+        while head[r] != r:
+            r = head[r]
+        return r
+
+    out = []
+    for i, j in np.argwhere(np.triu(across & (alike >= similar - 1e-6), 1)):
+        p, q = top(root[i]), top(root[j])
+        if p != q:
+            head[max(p, q)] = min(p, q)
+            out.append((rows["id"][i], rows["id"][j]))
+    return pd.DataFrame(out, columns=["a", "b"]) if out else empty
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -165,20 +219,29 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     def pairs(of: DataFrame, a: str, b: str) -> DataFrame:
         return of.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
-    # Round one: every member with its bucket's smallest id. Round two: with a member that the first doesn't reach.
-    tested = [written(pairs(crowded, "rep", "pivot"), "star")]
-    found = [written(verified(tested[0], texts, similar), "links")]
-    placed = _placed(crowded, found[0])
-    second = placed.where("root <> pivot_root").groupBy("bucket").agg(F.min("rep").alias("pivot2"), F.min_by("root", "rep").alias("root2"))
-    tested.append(written(pairs(placed.join(second, "bucket").where("root <> root2"), "rep", "pivot2").join(tested[0], ["a", "b"], "left_anti"), "star"))
-    found.append(written(verified(tested[1], texts, similar), "links"))
-    # Then what is left: pairs of one bucket in different classes that neither round has tested.
-    placed = _placed(crowded, reduce(DataFrame.union, found))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    open_ = written(placed.join(mixed, "bucket", "left_semi").select("bucket", "rep", "root"), "open")
-    other = open_.select("bucket", F.col("rep").alias("rep2"), F.col("root").alias("root2"))
-    rest = open_.join(other, "bucket").where("rep < rep2 and root <> root2").select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    found.append(written(verified(rest.join(tested[0].union(tested[1]), ["a", "b"], "left_anti"), texts, similar), "links"))
+    active, links, near = crowded.select("bucket", "rep", "pivot"), [], []
+    while True:
+        told = written(compared(pairs(active, "rep", "pivot"), texts), "compared")
+        links.append(told.where(F.col("alike") >= similar).select("a", "b"))
+        near.append(told.where(F.col("alike") >= similar - 2 * (1 - similar)).select("a", "b"))
+        far = told.where(F.col("alike") < similar - (1 - similar)).select(F.col("a").alias("pivot"), F.col("b").alias("rep"))
+        left = active.join(far, ["pivot", "rep"]).select("bucket", "rep")  # the pivot has the smallest id of its bucket
+        again = left.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+        left = written(left.join(again, "bucket"), "far")
+        near.append(pairs(left.where(F.col("n") <= 4 * BLOCK), "rep", "pivot"))  # few enough to be a family as they are
+        active = left.where(F.col("n") > 4 * BLOCK).select("bucket", "rep", "pivot")
+        if active.isEmpty():
+            break
+    linked, roots = reduce(DataFrame.union, links), components(reduce(DataFrame.union, links))
+    families = components(reduce(DataFrame.union, near)).select("id", F.col("root").alias("family"))
+    families = families.union(families.select(F.col("family").alias("id"), "family").distinct())
+    placed = families.join(roots, "id", "left").select("id", "family", F.coalesce("root", "id").alias("root"))
+    mixed = placed.groupBy("family").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high")
+    cut = placed.join(mixed.select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cut = cut.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = cut.select("id", "root", "block", "text", "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rest = paired.groupBy("family", "i", "j").applyInPandas(lambda rows: joined_up(rows[["id", "root", "block", "text"]], similar), "a long, b long")
+    found = [linked, written(rest, "links")]
 
     # An id with several texts links their groups.
     twice = marks.join(copies.select("md5", "rep"), "md5").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -186,14 +249,6 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return docs.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("class_id"))
 
 
-def _placed(crowded: DataFrame, links: DataFrame) -> DataFrame:
-    """crowded with the root of each member and of its pivot so far."""
-    roots = components(links)
-    out = crowded.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    pivots = roots.select(F.col("id").alias("pivot"), F.col("root").alias("pivot_root"))
-    return written(out.join(pivots, "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot")), "placed")
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """doc_id and class_id of every document."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
