@@ -11,8 +11,8 @@ among all packs is found from the digests alone, and packs that hold chunks owne
 without them. Texts are shuffled once, ids never.
 
 Files (in the shared folder): ``packs/part-N.ids`` (zstd frames of about 64 k little-endian unsigned ids, each after
-a header of its bytes and the ids' width) and the Parquet tables ``recipes`` (doc_id, start, n_tokens, root, places) and ``manifest`` (root and
-counts for each pack range). A place is (pack, frame offset, frame bytes, first id in the frame, ids, digest).
+a header of its bytes and the ids' width) and the Parquet tables ``recipes`` (doc_id, start, n_tokens, root, places)
+and ``manifest`` (root and counts for each range of documents). A place is (pack, frame offset, frame bytes, first id in the frame, ids, digest).
 
 Defined cases: a null or empty text is just the end id; a null doc_id comes first; rows that repeat a doc_id are
 documents of their own, ordered by their text; an empty table gives an empty store.
@@ -25,6 +25,7 @@ import re
 import struct
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -32,7 +33,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from millrace.llm.common import Memo, filesystem, limit_threads, new_folder, remove_folder, table, written
+from millrace.llm.common import filesystem, limit_threads, new_folder, remove_folder, table, written
 
 END_ID = 1
 WINDOW, MASK, LEAST, MOST = 16, (1 << 9) - 1, 128, 4096  # chunks of about LEAST + 512 ids
@@ -64,11 +65,13 @@ def cuts(ids: np.ndarray) -> list[int]:
         return [n]
     x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
-    roll = np.zeros(n, np.uint64)  # at i: a hash of ids i - WINDOW + 1 to i
-    for k in range(min(WINDOW, n)):
-        roll[k:] += x[: n - k] * np.uint64(pow(0x100000001B3, k, 1 << 64))
+    roll, k = x, 1  # at i: a hash of ids i - k + 1 to i, each of twice as many as the last
+    while k < WINDOW:
+        more = roll.copy()
+        more[k:] += roll[:-k] * np.uint64(pow(0x100000001B3, k, 1 << 64))
+        roll, k = more, 2 * k
     hits = np.flatnonzero((roll >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
-    out, at, i = [], 0, 0
+    out, at = [], 0
     while n - at > LEAST:
         i = int(np.searchsorted(hits, at + LEAST))
         end = min(int(hits[i]) if i < len(hits) else n, at + MOST, n)
@@ -80,28 +83,53 @@ def cuts(ids: np.ndarray) -> list[int]:
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file that splits at white space, so words between it are encoded once and remembered."""
+    """Ids of texts by a tokenizers file that splits at white space, so words between it are encoded once and remembered.
 
-    def __init__(self, path: str, most: int = 600_000):
+    New words of letters only are encoded together, a thousand in one text: such a word is one piece to the tokenizer,
+    and its last id is one that ends a word. Words are remembered for as long as they keep coming: what isn't met
+    while ``most`` / 2 others are is forgotten.
+    """
+
+    def __init__(self, path: str, most: int = 800_000):
         limit_threads()
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: Memo = Memo(None, most)  # word -> ids as bytes
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def together(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, as many as there are words, or of each by itself where the ends don't show them."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            return self.plain(words)
+        raw = ids.tobytes()
+        return [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+
     def learn(self, words: set[str]) -> None:
-        """Encode new words; one that ends in ASCII punctuation is put together from its two parts."""
-        parts = {w: (m[1].lower(), m[2]) for w in words if w.isascii() and (m := _TAIL.match(w))}
-        new = list({p for pair in parts.values() for p in pair if p not in self.known} | (words - parts.keys()))
-        for at in range(0, len(new), 20_000):
-            self.known.update(zip(new[at : at + 20_000], self.plain(new[at : at + 20_000]), strict=True))
+        """Take up words, from before if they were met then; one ending in ASCII punctuation from its two parts."""
+        back = self.before.keys() & words
+        self.known.update((w, self.before[w]) for w in back)
+        words = words - back
+        parts = {w: (m[1].lower(), m[2]) for w in words if w[-1] in ".,;:!?" and w.isascii() and (m := _TAIL.match(w))}
+        new = {p for pair in parts.values() for p in pair if p not in self.known} | (words - parts.keys())
+        letters = [w for w in new if w.isalpha()]
+        for at in range(0, len(letters), 1000):
+            self.known.update(zip(letters[at : at + 1000], self.together(letters[at : at + 1000]), strict=True))
+        rest = list(new.difference(letters))
+        self.known.update(zip(rest, self.plain(rest), strict=True))
         self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in parts.items())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        self.known.trim()
+        if len(self.known) > self.most // 2:
+            self.known, self.before = {}, self.known
         split = [[] if ODD.search(t) else t.split() for t in texts]
         if new := set(chain.from_iterable(split)) - self.known.keys():
             self.learn(new)
@@ -110,6 +138,12 @@ class Encoder:
         return [np.frombuffer(x, "<u4") for x in raw]
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """A worker's encoder; workers go from task to task, and so do the words they know."""
+    return Encoder(path)
+
+
 class _Pack:
     """A pack being written: chunks gathered into frames."""
 
@@ -153,13 +187,13 @@ def pack(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) ->
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        encoder, out, stored, row, done = Encoder(tokenizer), None, set(), 0, {}
+        words, out, stored, row, done = encoder(tokenizer), None, set(), 0, {}
         number = TaskContext.get().partitionId()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(texts), 512):
                 rows: list[tuple] = []
-                for doc_id, ids in zip(doc_ids[at : at + 512], encoder.encode([t or "" for t in texts[at : at + 512]]), strict=True):
+                for doc_id, ids in zip(doc_ids[at : at + 512], words.encode([t or "" for t in texts[at : at + 512]]), strict=True):
                     ids = np.append(ids, np.uint32(end_id))
                     out, begin = out or _Pack(f"{folder}/draft", number), 0
                     for seq, end in enumerate(cuts(ids)):
