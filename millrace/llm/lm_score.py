@@ -5,10 +5,11 @@ predicted by a log-linear model over hashed features (the word before, the secon
 words before together, and a constant), and a word within its class by its count. The ``HEAD`` most frequent words
 are classed; all others, unknown ones too, form the last class with add-one counts.
 
-Counts, neighbours and weights are learned from all training texts. The weights are trained by distributed gradient
-updates: in each round every task starts from the shared weights, takes AdaGrad steps over its own texts in sparse
-numpy batches, and the tasks' weights are averaged for each feature by how often each task has seen it. The head
-fits in every task; the counts of all other words are joined by word.
+Texts are cut into words once: the table of codes that this gives is what the counting, neighbour, training and
+scoring passes read. Counts, neighbours and weights are learned from all training texts. The weights are trained by
+distributed gradient updates: in each round every task starts from the shared weights, takes AdaGrad steps over its
+own texts in sparse numpy batches, and the tasks' weights are averaged for each feature by how often each task has
+seen it. The head fits in every task; the counts of all other words are joined by word.
 
 Tokens are runs of bytes other than ASCII white space, A to Z lower-cased, and one end for each text. Words are told
 apart by 63-bit hashes. Base scores are add-one unigram log10 probabilities over the same counts.
@@ -24,13 +25,14 @@ from dataclasses import dataclass
 import numpy as np
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.common import table, written
 
-HEAD, CLASSES, ANCHORS = 1 << 16, 18, 16
+HEAD, CLASSES, ANCHORS = 1 << 16, 24, 32
 BUCKETS = 1 << 15
 BATCH = 1 << 15  # tokens in a gradient step
+PART = 1 << 16  # bytes of text in a row of codes
 END = 1  # hash of the end; words get others
 _MASK = (1 << 63) - 1
 
@@ -40,14 +42,13 @@ def word_key(word: bytes) -> int:
 
 
 class Coder:
-    """word -> a number, for whole batches: its place in the head, or -key; without a head, the key.
+    """word -> its key, for whole batches.
 
     Words are remembered for as long as they keep coming: what isn't met while ``most`` / 2 others are is forgotten.
     """
 
-    def __init__(self, head: np.ndarray | None = None, most: int = 800_000):
-        self.head, self.most = head, most
-        self.end = END if head is None else int(np.searchsorted(head, END))
+    def __init__(self, most: int = 800_000):
+        self.most = most
         self.known: dict[bytes, int] = {}
         self.before: dict[bytes, int] = {}
 
@@ -56,15 +57,10 @@ class Coder:
             self.known, self.before = {}, self.known
         back = self.before.keys() & words
         self.known.update((w, self.before[w]) for w in back)
-        new = list(words - back)
-        keys = np.fromiter(map(word_key, new), np.int64, len(new))
-        if self.head is not None and len(self.head):
-            at = np.minimum(np.searchsorted(self.head, keys), len(self.head) - 1)
-            keys = np.where(self.head[at] == keys, at, -keys)
-        self.known.update(zip(new, keys.tolist(), strict=True))
-
-    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(codes of all tokens of the texts, tokens of each); every text ends with the end."""
+        self.known.update((w, word_key(w)) for w in words - back)
+
+    def keys(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(keys of all tokens of the texts, tokens of each); every text ends with the end."""
         words: list[bytes] = []
         sizes = []
         for text in texts:
@@ -72,25 +68,62 @@ class Coder:
             words += own
             words.append(b" ")  # no word is a blank: it stands for the end
             sizes.append(len(own) + 1)
-        self.known[b" "] = self.end
+        self.known[b" "] = END
         out = list(map(self.known.get, words))
         if None in out:
             self.learn({w for w, c in zip(words, out, strict=True) if c is None})
+            self.known[b" "] = END
             kept = self.known.get
             out = [kept(w) if c is None else c for w, c in zip(words, out, strict=True)]
         return np.array(out, np.int64), np.array(sizes)
 
 
-_CODERS: dict[bytes, Coder] = {}
+_CODER = Coder()
+
+
+def coder() -> Coder:
+    """A worker's coder; workers go from task to task, and so do the words they know."""
+    return _CODER
+
+
+def encoded(texts: DataFrame) -> DataFrame:
+    """Texts (text, id, round) as rows of about ``PART`` bytes of text, or of one longer text.
+
+    A row has the ids, rounds and tokens of its texts, the keys of their distinct words, and each token's place in them.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        def one(values, kind):
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
+
+        for batch in batches:
+            for part in grouped(batch):
+                keys, sizes = coder().keys(part.column(0).to_pylist())
+                words, places = np.unique(keys, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([one(part.column(1), None), one(part.column(2), None), one(sizes, pa.int32()), one(words, pa.int64()), one(places, pa.int32())], ["ids", "rounds", "sizes", "keys", "places"])
 
+    return texts.select("text", "id", "round").mapInArrow(run, "ids array<long>, rounds array<int>, sizes array<int>, keys array<long>, places array<int>")
 
-def coder(head: np.ndarray | None = None) -> Coder:
-    """A worker's coder for a head; workers go from task to task, and so do the words they know."""
-    mark = b"" if head is None else xxhash.xxh3_128_digest(head.tobytes())
-    if mark not in _CODERS:
-        _CODERS.clear()
-        _CODERS[mark] = Coder(head)
-    return _CODERS[mark]
+
+def opened(batches):
+    """(ids, rounds, sizes, keys, places) of the rows of codes, a few together; places count over all their keys."""
+    for batch in batches:
+        tokens = np.cumsum(batch.column(4).value_lengths().to_numpy())
+        low = 0
+        while low < len(tokens):
+            high = int(np.searchsorted(tokens, (tokens[low - 1] if low else 0) + BATCH)) + 1
+            ids, rounds, sizes, keys, places = batch.slice(low, high - low).columns
+            n = keys.value_lengths().to_numpy()
+            yield ids.flatten(), rounds.flatten().to_numpy(), sizes.flatten().to_numpy(), keys.flatten().to_numpy(), places.flatten().to_numpy() + np.repeat(np.cumsum(n) - n, places.value_lengths().to_numpy())
+            low = high
+
+
+def codes_of(keys: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The place of each key in the head, or -key."""
+    at = np.minimum(np.searchsorted(head, keys), len(head) - 1)
+    return np.where(head[at] == keys, at, -keys)
 
 
 @dataclass
@@ -105,36 +138,37 @@ class Model:
     weights: np.ndarray  # buckets x classes
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """(key, n) of all tokens of texts (text): summed in each task first."""
+def counted(codes: DataFrame) -> DataFrame:
+    """(key, n) of all tokens of the training texts: summed in each task first."""
 
     def run(batches):
         import pyarrow as pa
 
-        words, keys, n, held = coder(), np.empty(0, np.int64), np.empty(0, np.int64), []
+        keys, n, held, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
 
         def merged():
-            k, c = np.unique(np.concatenate([*held, np.empty(0, np.int64)]), return_counts=True)
-            k, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
+            k, at = np.unique(np.concatenate([keys, *(x for x, _ in held)]), return_inverse=True)
+            c = np.bincount(at, weights=np.concatenate([n, *(x for _, x in held)]), minlength=len(k)).astype(np.int64)
             held.clear()
-            return k, np.bincount(at, weights=np.concatenate([n, c])).astype(np.int64)
-
-        for batch in batches:
-            for part in grouped(batch):
-                held.append(words.codes(part.column(0).to_pylist())[0])
-                if sum(map(len, held)) > 1 << 21:
-                    keys, n = merged()
-                if len(keys) > 1 << 21:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-                    keys, n = keys[:0], n[:0]
+            return k, c
+
+        for _, rounds, sizes, words, places in opened(batches):
+            c = np.bincount(places[np.repeat(rounds > 0, sizes)], minlength=len(words))
+            held.append((words[c > 0], c[c > 0]))
+            size += len(words)
+            if size > 1 << 20:
+                (keys, n), size = merged(), 0
+            if len(keys) > 1 << 21:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+                keys, n = keys[:0], n[:0]
         keys, n = merged()
         for at in range(0, len(keys), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(n[at : at + (1 << 16)])], ["key", "n"])
 
-    return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return codes.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def grouped(batch, most: int = 1 << 18):
+def grouped(batch, most: int = PART):
     """Slices of a batch's rows, of about ``most`` bytes of text each."""
     column, start, size = batch.column(0), 0, 0
     lengths = [len(x) if x else 0 for x in column.to_pylist()]
@@ -179,7 +213,7 @@ def log_classes(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def classed(texts: DataFrame, keys: np.ndarray, counts: np.ndarray, rounds: int = 12) -> np.ndarray:
+def classed(codes: DataFrame, keys: np.ndarray, counts: np.ndarray, rounds: int = 12) -> np.ndarray:
     """A class for each head word, by k-means on which anchors (the most frequent words) stand before and after it."""
     end, wide = int(np.searchsorted(keys, END)), 2 * ANCHORS
     by_count = np.argsort(-counts, kind="stable")
@@ -190,29 +224,28 @@ def classed(texts: DataFrame, keys: np.ndarray, counts: np.ndarray, rounds: int
     def run(batches):
         import pyarrow as pa
 
-        words, sums, held = coder(keys), np.zeros(len(keys) * wide, np.int64), []
+        sums, held = np.zeros(len(keys) * wide, np.int64), []
 
         def add():
             np.add(sums, np.bincount(np.concatenate([*held, np.empty(0, np.int64)]), minlength=len(sums)), out=sums)
             held.clear()
 
-        for batch in batches:
-            for part in grouped(batch):
-                codes, sizes = words.codes(part.column(0).to_pylist())
-                a = anchor_of[np.where(codes >= 0, codes, len(keys))]
-                a[np.cumsum(sizes) - 1] = -1
-                for word, beside, side in ((codes[1:], a[:-1], 0), (codes[:-1], a[1:], ANCHORS)):
-                    ok = (beside >= 0) & (word >= 0)
-                    held.append(word[ok] * wide + side + beside[ok])
-                if sum(map(len, held)) > 1 << 21:
-                    add()
+        for _, rounds, sizes, words, places in opened(batches):
+            tokens, train = codes_of(words, keys)[places], np.repeat(rounds > 0, sizes)
+            a = anchor_of[np.where(tokens >= 0, tokens, len(keys))]
+            a[np.cumsum(sizes) - 1] = -1
+            for word, beside, side, own in ((tokens[1:], a[:-1], 0, train[1:]), (tokens[:-1], a[1:], ANCHORS, train[:-1])):
+                ok = (beside >= 0) & (word >= 0) & (word != end) & own
+                held.append(word[ok] * wide + side + beside[ok])
+            if sum(map(len, held)) > 1 << 21:
+                add()
         add()
         hit = np.flatnonzero(sums)
         for at in range(0, len(hit), 1 << 16):
             some = hit[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["cell", "n"])
 
-    cells = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # HEAD x 2 ANCHORS at most
+    cells = codes.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # HEAD x 2 ANCHORS at most
     x = np.zeros(len(keys) * wide, np.float32)
     x[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     x = np.log1p(x.reshape(len(keys), wide))
@@ -235,98 +268,106 @@ def classed(texts: DataFrame, keys: np.ndarray, counts: np.ndarray, rounds: int
     return near
 
 
-def trained(texts: DataFrame, keys: np.ndarray, classes: np.ndarray, slices: tuple[Column, ...], rate: float = 0.3) -> np.ndarray:
-    """Class weights after a round of gradient updates over each slice of the texts."""
-    spark = texts.sparkSession
+def trained(codes: DataFrame, keys: np.ndarray, classes: np.ndarray, rounds: tuple[int, ...] = (1, 2), rate: float = 0.3) -> np.ndarray:
+    """Class weights after each of the rounds of gradient updates over its own texts."""
+    spark = codes.sparkSession
     weights = np.zeros((BUCKETS, CLASSES), np.float32)
     names = [f"w{k}" for k in range(CLASSES)]
-    for which in slices:
+    for which in rounds:
         shared = spark.sparkContext.broadcast((keys, classes, weights))
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, which=which):
             import pyarrow as pa
 
             keys, classes, start = shared.value
-            words, w, seen = coder(keys), start.copy(), np.zeros(BUCKETS)
+            w, seen, held = start.copy(), np.zeros(BUCKETS), []
             slope = np.full((BUCKETS, CLASSES), 1e-2, np.float32)
-            for batch in batches:
-                for part in grouped(batch):
-                    codes, sizes = words.codes(part.column(0).to_pylist())
-                    at, y = features(codes, sizes), class_of(codes, classes)
-                    for low in range(0, len(y), BATCH):
-                        rows, goal = at[low : low + BATCH], y[low : low + BATCH]
-                        miss = np.exp(log_classes(w, rows))
-                        miss[np.arange(len(goal)), goal] -= 1
-                        g, flat = np.zeros(BUCKETS * CLASSES), miss.ravel()
-                        for j in range(1, rows.shape[1]):
-                            g += np.bincount((rows[:, j, None] * CLASSES + np.arange(CLASSES)).ravel(), weights=flat, minlength=BUCKETS * CLASSES)
-                        g = g.reshape(BUCKETS, CLASSES).astype(np.float32)
-                        g[0] = miss.sum(0)
-                        slope += g * g
-                        w -= rate * g / np.sqrt(slope)
-                        seen += np.bincount(rows.ravel(), minlength=BUCKETS)
+
+            def step():
+                tokens, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                at, y = features(tokens, sizes), class_of(tokens, classes)
+                for low in range(0, len(y), BATCH):
+                    rows, goal = at[low : low + BATCH], y[low : low + BATCH]
+                    miss = np.exp(log_classes(w, rows))
+                    miss[np.arange(len(goal)), goal] -= 1
+                    hit = rows[:, 1:].T.ravel().astype(np.uint16)  # under BUCKETS: sorted by radix
+                    order = np.argsort(hit, kind="stable")
+                    hit = hit[order]
+                    first = np.flatnonzero(np.diff(hit, prepend=-1))
+                    for b, g in ((hit[first], np.add.reduceat(miss[order % len(goal)], first, axis=0)), (np.zeros(1, int), miss.sum(0, keepdims=True))):
+                        slope[b] += g * g
+                        w[b] -= rate * g / np.sqrt(slope[b])
+                    seen[:] += np.bincount(rows.ravel(), minlength=BUCKETS)
+
+            for _, nth, sizes, words, places in opened(batches):
+                mine = nth == which
+                if mine.any():
+                    held.append((codes_of(words, keys)[places[np.repeat(mine, sizes)]], sizes[mine]))
+                    if sum(len(x) for x, _ in held) >= BATCH:
+                        step()
+            if held:
+                step()
             hit = np.flatnonzero(seen)
             for low in range(0, len(hit), 4096):
                 some = hit[low : low + 4096]
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some]), *(pa.array((w[some, k] * seen[some]).astype(np.float64)) for k in range(CLASSES))], ["bucket", "n", *names])
 
-        rows = texts.where(which).select("text").mapInArrow(run, "bucket long, n double, " + ", ".join(f"{x} double" for x in names))
+        rows = codes.mapInArrow(run, "bucket long, n double, " + ", ".join(f"{x} double" for x in names))
         mean = rows.groupBy("bucket").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).toArrow()  # BUCKETS rows at most
         if mean.num_rows:
             weights[mean["bucket"].to_numpy()] = (np.stack([mean[x].to_numpy() for x in names], 1) / mean["n"].to_numpy()[:, None]).astype(np.float32)
     return weights
 
 
-def learned(texts: DataFrame) -> tuple[Model | None, DataFrame]:
-    """The model of training texts (id, text), and the table (key, n) of all word counts."""
-    counts = written(counted(texts), "word-counts")
+def learned(codes: DataFrame) -> tuple[Model | None, DataFrame]:
+    """The model of the training texts among encoded ones, and the table (key, n) of all word counts."""
+    counts = written(counted(codes), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if not total:
         return None, counts
     head = counts.orderBy((F.col("key") != END), F.desc("n"), "key").limit(HEAD).toArrow().sort_by("key")
     keys, n = head["key"].to_numpy(), head["n"].to_numpy()
-    classes = classed(texts, keys, n)
+    classes = classed(codes, keys, n)
     mass = np.bincount(classes, weights=n, minlength=CLASSES)
-    first = F.pmod(F.xxhash64("id"), F.lit(8)) == 0
-    weights = trained(texts, keys, classes, (first, ~first))
+    weights = trained(codes, keys, classes)
     tail = (total - int(n.sum())) + (distinct - len(keys)) + 1
     return Model(keys, n, classes, np.log10(n / mass[classes]), int(total), int(distinct), float(np.log10(tail)), weights), counts
 
 
-def scored(docs: DataFrame, model: Model | None, counts: DataFrame) -> DataFrame:
-    """id, n_tokens, n_known, train_tokens, base_score, score of docs (id, text)."""
+def scored(codes: DataFrame, model: Model | None, counts: DataFrame) -> DataFrame:
+    """id, n_tokens, n_known, train_tokens, base_score, score of encoded texts."""
     if model is None:
-        words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")).cast("long")
-        return docs.select("id", (words + 1).alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        docs = codes.select(F.explode(F.arrays_zip("ids", "sizes")).alias("x"))
+        return docs.select(F.col("x.ids").alias("id"), F.col("x.sizes").cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
+    shared = codes.sparkSession.sparkContext.broadcast(model)
     size = model.total + model.distinct + 1
 
     def run(batches):
         import pyarrow as pa
 
         m = shared.value
-        words, row = coder(m.keys), TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << 40
         base = np.log10((m.counts + 1) / size)
-        for batch in batches:
-            for part in grouped(batch):
-                codes, sizes = words.codes(part.column(0).to_pylist())
-                of = np.repeat(np.arange(len(sizes)), sizes)
-                at, y = features(codes, sizes), class_of(codes, m.classes)
-                value = np.empty(len(codes))
-                for low in range(0, len(codes), BATCH):
-                    goal = y[low : low + BATCH]
-                    value[low : low + BATCH] = log_classes(m.weights, at[low : low + BATCH])[np.arange(len(goal)), goal]
-                value /= np.log(10)
-                head = codes >= 0
-                value[head] += m.inside[codes[head]]
-                value[~head] -= m.tail_mass
-                sums = [np.bincount(of, weights=x, minlength=len(sizes)) for x in (value, np.where(head, base[np.maximum(codes, 0)], 0.0), head)]
-                tails = np.bincount(of[~head], minlength=len(sizes))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tails)]), pa.int32()), pa.array(-codes[~head]))
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(row + np.arange(len(sizes))), pa.array(sizes), pa.array(sums[2].astype(np.int64)), pa.array(sums[1]), pa.array(sums[0]), lists], ["id", "row", "n_tokens", "known", "base", "score", "tail"])
-                row += len(sizes)
-
-    parts = written(docs.select("text", "id").mapInArrow(run, "id long, row long, n_tokens long, known long, base double, score double, tail array<long>"), "lm-parts")
+        for ids, _, sizes, words, places in opened(batches):
+            tokens = codes_of(words, m.keys)[places]
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            at, y = features(tokens, sizes), class_of(tokens, m.classes)
+            value = np.empty(len(tokens))
+            for low in range(0, len(tokens), BATCH):
+                goal = y[low : low + BATCH]
+                value[low : low + BATCH] = log_classes(m.weights, at[low : low + BATCH])[np.arange(len(goal)), goal]
+            value /= np.log(10)
+            head = tokens >= 0
+            value[head] += m.inside[tokens[head]]
+            value[~head] -= m.tail_mass
+            sums = [np.bincount(of, weights=x, minlength=len(sizes)) for x in (value, np.where(head, base[np.maximum(tokens, 0)], 0.0), head)]
+            tails = np.bincount(of[~head], minlength=len(sizes))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tails)]), pa.int32()), pa.array(-tokens[~head]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(row + np.arange(len(sizes))), pa.array(sizes, pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[1]), pa.array(sums[0]), lists], ["id", "row", "n_tokens", "known", "base", "score", "tail"])
+            row += len(sizes)
+
+    parts = written(codes.mapInArrow(run, "id long, row long, n_tokens long, known long, base double, score double, tail array<long>"), "lm-parts")
     tail = parts.select("row", F.explode("tail").alias("key"))
     rare = tail.join(counts, "key", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"))
     rest = rare.groupBy("row").agg(F.sum(F.log10((F.col("n") + 1) / F.lit(float(size)))).alias("rest_base"), F.sum(F.log10(F.col("n") + 1.0)).alias("rest_score"), F.sum((F.col("n") > 0).cast("long")).alias("rest_known"))
@@ -336,7 +377,12 @@ def scored(docs: DataFrame, model: Model | None, counts: DataFrame) -> DataFrame
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Learned where crc32(doc_id) mod 7 isn't 2, scored for every document."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    held = F.coalesce(F.crc32(F.col("id").cast("string")) % 7 == 2, F.lit(False))
-    model, counts = learned(docs.where(~held))
-    return scored(docs, model, counts).select(F.col("id").alias("doc_id"), held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs = table(spark, sf_dir, "documents").select("text", F.col("doc_id").alias("id"))
+
+    def held(of):
+        return F.coalesce(F.crc32(F.col(of).cast("string")) % 7 == 2, F.lit(False))
+
+    nth = F.when(held("id"), 0).when(F.pmod(F.xxhash64("id"), F.lit(8)) == 0, 1).otherwise(2)  # 0 isn't trained on
+    codes = written(encoded(docs.withColumn("round", nth)), "lm-codes")
+    model, counts = learned(codes)
+    return scored(codes, model, counts).select(F.col("id").alias("doc_id"), held("id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -262,6 +262,18 @@ def test_op9_classes_sum_to_one():
     assert (at[0, 1:] == at[3, 1:]).all()  # both begin a text
 
 
+def test_op9_tells_more_than_twenty_contexts_apart(spark, tmp_path):
+    """22 groups of words follow each other in a ring: who knows the group loses 0.60 a token, base scores 1.94."""
+    rng = np.random.default_rng(4)
+    word = lambda g: f"g{g % 22}x{rng.choice(5, p=[0.5, 0.125, 0.125, 0.125, 0.125])}"
+    docs = [(i, " ".join(word(g) for g in range(a, a + 120))) for i, a in enumerate(rng.integers(0, 22, 400).tolist())]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r for r in lm_score.query(spark, str(tmp_path)).collect() if r.held_out]
+    n = sum(r.n_tokens for r in got)
+    assert sum(r.base_score for r in got) / n < -1.9
+    assert sum(r.score for r in got) / n > -0.85
+
+
 def test_op10_totals_meet_targets(spark, odd):
     from pyspark.sql import functions as F
 
