@@ -1,8 +1,8 @@
-"""Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
+"""Language-model scores: a hashed maximum-entropy model of word classes, and counts within a class.
 
 p(word | context) = p(class | context) * p(word | class). Words are classed by what stands beside them; the class is
 predicted by a log-linear model over hashed features (the word before, the second and the third word before, the two
-words before together, and a constant), and a word within its class by its count. The ``HEAD`` most frequent words
+words before together, and a constant), and a word within its class by its count: there is no second softmax. The ``HEAD`` most frequent words
 are classed; all others, unknown ones too, form the last class with add-one counts.
 
 Texts are cut into words once: the table of codes that this gives is what the counting, neighbour, training and
