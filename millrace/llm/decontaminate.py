@@ -9,13 +9,14 @@ the skipping tests but not their outcome: they are upper bounds, so no item abov
 
 A retrieved item is verified on whole five-word shingles of the passage's surroundings: shares of its question's and
 of its answer's shingles found there. It is a leak if the item as a whole reaches ``similar`` and either part
-``least_part``. Without separate columns, an item's last third of words counts as its answer.
+``least_part``. Without separate columns, an item's last third of words counts as its answer. A part of under five
+words is a run of its own length, looked for in the passage and as many words around it as the item has.
 
 Passages overlap by half, so an item of up to half a passage lies whole in one. The index goes to every task; a
 benchmark too large for that (``index_bytes`` of text) is taken in parts of that size, each over all passages.
 
-Defined cases: null and empty texts and items have no words and match nothing; items of under five words are one
-shingle; repeated documents each get their rows, an item that repeats an item_id counts by its own text.
+Defined cases: null and empty texts and items have no words and match nothing; parts of under five words are one
+run; repeated documents each get their rows, an item that repeats an item_id counts by its own text.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ class Index:
     ids: list  # item_id of each test item
     questions: list[np.ndarray]  # shingles of each test item's parts
     answers: list[np.ndarray]
+    sizes: list[tuple[int, int, int]]  # words of each test item's shingles, question's and answer's, and of the item
     longest: int  # words of the longest item
 
 
@@ -93,7 +95,7 @@ def build(items: list[tuple[int, str, str]], segment: int = PASSAGE) -> Index |
     return Index(
         terms, blocks.max(1), blocks, np.searchsorted(term, np.arange(v + 1)), item, impact, np.array(owner), ids,
         [np.unique(shingles(w[:c], SHINGLE)) for w, c in zip(own, cut, strict=True)], [np.unique(shingles(w[c:], SHINGLE)) for w, c in zip(own, cut, strict=True)],
-        max(map(len, own)),
+        [(min(SHINGLE, c), min(SHINGLE, len(w) - c), len(w)) for w, c in zip(own, cut, strict=True)], max(map(len, own)),
     )
 
 
@@ -130,15 +132,23 @@ def retrieved(index: Index, words: np.ndarray, threshold: float) -> list[tuple[i
 def leaks(index: Index, words: np.ndarray, threshold: float, similar: float, least_part: float) -> list[tuple]:
     """(item_id, score, question overlap, answer overlap, leak) of each test item retrieved for a text, at its best place."""
     best: dict[int, tuple] = {}
-    memo: dict[tuple[int, int], np.ndarray] = {}
+    memo: dict[tuple[int, int, int], np.ndarray] = {}
+    last = -1
+
+    def found(part: np.ndarray, at: int, size: int, around: int) -> int:
+        place = (max(0, at - around), at + PASSAGE + around, size)
+        if place not in memo:
+            memo[place] = np.unique(shingles(words[place[0] : place[1]], size))
+        return int(np.isin(part, memo[place], assume_unique=True).sum())
+
     for at, segment, score in retrieved(index, words, threshold):
         i = int(index.owner[segment])
-        around = (max(0, at - index.longest), at + PASSAGE + index.longest)
-        if around not in memo:
+        if at != last:
             memo.clear()
-            memo[around] = np.unique(shingles(words[around[0] : around[1]], SHINGLE))
+            last = at
         q, a = index.questions[i], index.answers[i]
-        in_q, in_a = (int(np.isin(x, memo[around], assume_unique=True).sum()) for x in (q, a))
+        *sizes, own = index.sizes[i]
+        in_q, in_a = (found(x, at, k, index.longest if k == SHINGLE else own) if len(x) else 0 for x, k in zip((q, a), sizes, strict=True))
         whole = (in_q + in_a) / (len(q) + len(a))
         part_q, part_a = (in_q / len(q) if len(q) else 1.0), (in_a / len(a) if len(a) else 1.0)
         leak = whole >= similar and min(part_q, part_a) >= least_part

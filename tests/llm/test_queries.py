@@ -13,7 +13,7 @@ import pytest
 import corpus_pipeline
 from millrace.llm import decontaminate, html_text, language, lm_score, mixing, neardup, neighbours, quality, queries, token_store, warc_zip
 from millrace.llm.common import Memo, word_hash
-from tests.llm.conftest import rows
+from tests.llm.conftest import rows, sentence
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
@@ -201,6 +201,19 @@ def test_op7_wand_matches_brute_force():
         assert k in {x[0] for x in decontaminate.leaks(ix, words, 0.5, 0.8, 0.5) if x[4]}
 
 
+def test_op7_finds_short_items_and_short_answers(spark):
+    qa = [(1, "which river runs through the old town of zembla", "blue wolga"), (2, "name of zembla capital", "onhava"), (3, "who wrote the long green poem about a waxwing and its azure window", "shade")]
+    whole = [(11, "quartz vixen jumps nightly"), (12, "seven brass kettles whistle near amber docks while tired porters count turnips")]
+    plain = sentence(3, 90)
+    texts = [f"{plain} {q}? {'Answer: ' * (i == 1)}{a}. {plain}" for i, q, a in qa] + [f"{plain} {t} {plain}" for _, t in whole] + [whole[0][1]]
+    texts += [f"{plain} {qa[0][1]} {plain}", f"{plain} {qa[2][1]} {plain} {plain} {plain} shade", f"{plain} quartz nightly {plain}", "vixen quartz nightly jumps"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    one = decontaminate.halves(spark.createDataFrame(whole, "item_id long, text string"))
+    items = spark.createDataFrame(qa, "item_id long, question string, answer string").unionByName(one)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, items).where("leak").collect()}
+    assert got == {(0, 1), (1, 2), (2, 3), (3, 11), (4, 12), (5, 11)}
+
+
 def test_op8_classes_match_brute_force(spark, odd):
     docs, memo = rows()[0], Memo(word_hash)
     bags = [(i, neardup.multiset(t, memo)) for i, t, _, _ in docs if i is not None]
