@@ -4,7 +4,11 @@ Pass one looks at each block alone: blocks inside boilerplate containers, with m
 without function words are bad; long blocks with many function words are good, those in between near-good, and
 brief ones stay undecided. Pass two decides the undecided: a short block inherits the label of its nearest
 decided neighbours, a near-good block stands unless bad blocks enclose it, and a short heading follows the text
-below it. Where a page marks its article, only blocks of the article take part, and its borders decide nothing.
+below it. Where a page marks its article and most of the text that the first pass takes for good or near-good stands
+there, only blocks of the article take part, and its borders decide nothing.
+
+A head without an end tag ends where the body's first block begins. A page that leaves another unseen element open to
+its end is read again, with elements of that name ending at the next block.
 
 Defined cases: null or empty html gives the empty text and 0 characters; repeated rows are extracted alike; broken
 markup is read as far as it goes. No block is cut and no page is skipped, however long.
@@ -25,6 +29,7 @@ from millrace.llm.common import fresh, table, with_columns
 UNSEEN = frozenset("script style noscript template svg math head title iframe object canvas select option textarea button audio video".split())
 ASIDE = frozenset("nav footer aside form menu dialog".split())
 BREAKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BOUND = frozenset({"script", "style"})  # without an end tag these go on to the end of the page, as in browsers
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -73,11 +78,13 @@ def _closed(opened: list, tag: str) -> list:
 class _Blocks(HTMLParser):
     """Cuts a page into blocks and notes where each stands."""
 
-    def __init__(self):
+    def __init__(self, loose: frozenset[str] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.loose = loose  # unseen elements that end at the next block
         self.blocks: list[Block] = []
         self.block = Block()
         self.unseen: list = []  # the open element that isn't shown and how often it is nested in itself
+        self.head = False  # whether that element stands in the page's head
         self.off: list = []  # likewise the open boilerplate container
         self.inside: list[tuple[str, int]] = []  # open article elements
         self.articles = self.links = 0
@@ -98,18 +105,26 @@ class _Blocks(HTMLParser):
         words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower()))
         return bool(words & (MARKS if self.inside else MARKS | PAGE_MARKS)) or any(v and v.strip().lower() in ("true", "") for k, v in attrs if k == "aria-hidden")
 
+    def set_cdata_mode(self, elem, **options):
+        if elem not in self.loose:
+            super().set_cdata_mode(elem, **options)
+
     def handle_starttag(self, tag, attrs):
+        if self.unseen and tag in BREAKS and (self.unseen[0] == "head" or self.unseen[0] in self.loose):
+            self.unseen, self.head = [], False
         if tag in VOID:
             if tag == "br":
                 self.block.parts.append(" ")
             elif tag == "hr":
                 self.end_block()
             return
-        if self.unseen:
+        if self.unseen and not (self.unseen[0] == "head" and tag in UNSEEN and tag != "head"):
             self.unseen[1] += tag == self.unseen[0]
             return
         if tag in UNSEEN:
-            self.unseen = [tag, 1]
+            self.head = self.head or bool(self.unseen)
+            if tag != "head" or tag not in self.loose:
+                self.unseen = [tag, 1]
             return
         off = self.boilerplate(tag, attrs)
         if tag in ("article", "main") and not off and self.off and self.off[0] not in ("aside", "article", "section"):
@@ -131,8 +146,15 @@ class _Blocks(HTMLParser):
             self.handle_starttag(tag if tag in VOID else "hr", attrs)
 
     def handle_endtag(self, tag):
+        if self.unseen and tag in BREAKS and self.unseen[0] in self.loose:
+            self.unseen, self.head = [], False
         if self.unseen:
+            if self.head and tag == "head":
+                self.unseen, self.head = [], False
+                return
             self.unseen = _closed(self.unseen, tag)
+            if self.head and not self.unseen:
+                self.unseen, self.head = ["head", 1], False
             return
         if tag == "a":
             self.links = max(0, self.links - 1)
@@ -151,9 +173,15 @@ class _Blocks(HTMLParser):
 
 
 def blocks_of(html: str) -> list[Block]:
-    parser = _Blocks()
-    parser.feed(html)
-    parser.close()
+    loose: frozenset[str] = frozenset()
+    while True:
+        parser = _Blocks(loose)
+        parser.feed(html)
+        parser.close()
+        left = {x for x in (*parser.unseen[:1], *(["head"] if parser.head else ()))} - loose - BOUND
+        if not left:  # UNSEEN holds a few names, and each turn makes another one loose
+            break
+        loose |= left
     parser.end_block()
     out = []
     for b in parser.blocks:
@@ -225,7 +253,8 @@ def main_text(html: str | None) -> str:
     for b in blocks:
         b.label = first_pass(b)
     marked = [b for b in blocks if b.article and not b.boiler]
-    if marked:  # each marked article by itself: what surrounds it says nothing about it
+    text, within = (sum(len(b.text) for b in x if b.label in ("good", "near")) for x in (blocks, marked))
+    if marked and 2 * within >= text:  # each marked article by itself: what surrounds it says nothing about it
         for k in dict.fromkeys(b.article for b in marked):
             part = [b for b in marked if b.article == k]
             if not any(b.label in ("good", "near") for b in part):

@@ -87,6 +87,20 @@ def test_op3_blocks():
     assert html_text.main_text("<li>" * 20000 + "x") == ""
 
 
+def test_op3_unclosed_elements_and_article_cards():
+    long = ("It was the best of the times and it was the worst of the times for all of us in the town that we had known. " * 3).strip()
+    for start in ("<html><head><title>T</title><body>", "<head><meta charset=utf-8><title>T</title><style>p {}</style>", "<head><title>T</title><noscript><img src=x></noscript><div>"):
+        assert html_text.main_text(f"{start}<p>{long}</p><p>{long}</p>") == f"{long}\n\n{long}"
+    for name in ("noscript", "button", "svg", "select", "iframe", "object", "template"):
+        for opened in (f"<{name}>", f"<{name}>hidden"):
+            assert html_text.main_text(f"<body><p>{long}</p><div>{opened}</div><p>{long}</p>") == f"{long}\n\n{long}"
+        assert html_text.main_text(f"<body><p>{long}</p><div><{name}><div>hidden</div></{name}></div><p>{long}</p>") == f"{long}\n\n{long}"
+    assert html_text.main_text(f"<head><title>T</title></head><p>{long}</p><script>var x = '<p>{long}</p>'") == long
+    card = "Read also what we have seen in the town last week, it is short."
+    assert html_text.main_text(f"<body><div><p>{long}</p><p>{long}</p><p>{long}</p></div><article><p>{card} {card}</p></article>").startswith(f"{long}\n\n{long}\n\n{long}")
+    assert html_text.main_text(f"<body><article><p>{long}</p><p>{long}</p></article><div><p>{long}</p></div>") == f"{long}\n\n{long}"
+
+
 def test_op4_languages(spark, odd):
     got = language.query(spark, odd).collect()
     assert len(got) == len(rows()[0])
