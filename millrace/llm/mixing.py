@@ -74,8 +74,12 @@ def tempered(totals: list[float], power: float = 0.7, margin: float = 1.05) -> l
     return [w * scale * margin for w in weight]
 
 
-def matched(soft: DataFrame, k: int, targets: list[float] | None = None, tolerance: float = 1e-6, most: int = 40, at_once: int = 8) -> DataFrame:
-    """soft (id, n_tokens, p0 ...) with the column ``rate``; targets default to ``tempered`` totals."""
+def matched(soft: DataFrame, k: int, targets: list[float] | None = None, tolerance: float = 1e-6, most: int = 1000, at_once: int = 8) -> DataFrame:
+    """soft (id, n_tokens, p0 ...) with the column ``rate``; targets default to ``tempered`` totals.
+
+    Steps end where the targets are met or, as they can't all be, where a projected step moves no rate; without either
+    after ``most`` steps this raises.
+    """
 
     def totals(df: DataFrame) -> list[float]:
         row = df.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{j}") * F.col("rate")), F.lit(0.0)) for j in range(k)]).first()
@@ -89,11 +93,14 @@ def matched(soft: DataFrame, k: int, targets: list[float] | None = None, toleran
         have = totals(fixed.withColumn("rate", rate))
         miss = [(h - t) / b if b > 0 else 0.0 for h, t, b in zip(have, targets, base, strict=True)]
         if max(map(abs, miss), default=0.0) <= tolerance:
-            break
-        rate = F.greatest(F.lit(0.0), rate - reduce(Column.__add__, [F.col(f"p{j}") * F.lit(m) for j, m in enumerate(miss)]))
+            return fixed.withColumn("rate", rate)
+        down = reduce(Column.__add__, [F.col(f"p{j}") * F.lit(m) for j, m in enumerate(miss)])
+        if step % at_once == 1 and fixed.withColumn("rate", rate).agg(F.max(F.abs(F.least("rate", down)))).first()[0] <= tolerance:
+            return fixed.withColumn("rate", rate)
+        rate = F.greatest(F.lit(0.0), rate - down)
         if step % at_once == 0:  # else the expression would grow with each step
             fixed, rate = written(fixed.withColumn("rate", rate), "rates"), F.col("rate")
-    return fixed.withColumn("rate", rate)
+    raise RuntimeError(f"rates are still moving after {most} steps; the largest share missed of a domain is {max(map(abs, miss)):.3g}")
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:

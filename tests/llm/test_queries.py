@@ -314,6 +314,19 @@ def test_op10_totals_meet_targets(spark, odd):
     assert all(abs(sum(r[f"p{k}"] for k in range(len(domains))) - 1) < 1e-9 for r in got)
 
 
+def test_op10_goes_on_to_the_least_squares_or_raises(spark):
+    def got(rows, targets, **options):
+        soft = spark.createDataFrame(rows, "id long, n_tokens long, p0 double, p1 double").coalesce(1)
+        return [r.rate for r in mixing.matched(soft, 2, targets, **options).orderBy("id").collect()]
+
+    alike = [(1, 10, 0.7, 0.3), (2, 10, 0.3, 0.7)]
+    assert np.allclose(got(alike, [14.75, 7.75]), [2, 0.25], atol=1e-4)
+    assert np.allclose(got([(1, 10, 1.0, 0.0), (2, 10, 0.0, 1.0), (3, 10, 0.5, 0.5)], [20.0, 0.0]), [2, 0, 0], atol=1e-4)
+    assert np.allclose(got([(1, 20, 0.5, 0.5)], [20.0, 0.0]), [1])  # can't be met: the best is half of each
+    with pytest.raises(RuntimeError):
+        got(alike, [14.75, 7.75], most=5)
+
+
 def test_op10_query_keeps_every_row(spark, odd):
     got = mixing.query(spark, odd).collect()
     assert len(got) == len(rows()[0])
