@@ -67,6 +67,39 @@ class Memo(dict):
             self.clear()
 
 
+def text_slices(column, most: int):
+    """(start, end) of runs of an Arrow string column's rows of about ``most`` bytes, or of one longer text."""
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + most, "right")))
+        yield low, high
+        low = high
+
+
+def split_words(texts, ascii_only: bool = False) -> tuple[list, np.ndarray, np.ndarray]:
+    """(distinct words, place of each word among them, words of each text) of an Arrow string array.
+
+    Words lie between white space: Unicode's as in ``str.split``, or ASCII's as in ``bytes.split``, and then are bytes.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts, "")
+    lists = (pc.ascii_split_whitespace if ascii_only else pc.utf8_split_whitespace)(texts)
+    coded = lists.flatten().dictionary_encode()
+    places, words, sizes = coded.indices.to_numpy(), coded.dictionary, lists.value_lengths().to_numpy()
+    if (blank := pc.index(words, "").as_py()) >= 0:  # what white space at the ends leaves
+        gone = places == blank
+        sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[gone], minlength=len(sizes))
+        places = places[~gone]
+        places = places - (places > blank)
+        words = pa.concat_arrays([words[:blank], words[blank + 1 :]])
+    return (words.cast(pa.binary()) if ascii_only else words).to_numpy(zero_copy_only=False).tolist(), places, sizes
+
+
 def word_hash(word: str) -> int:
     """A stable non-negative 63-bit id of a word."""
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & _MASK
