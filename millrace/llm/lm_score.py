@@ -1,9 +1,12 @@
-"""Language-model scores: a hashed maximum-entropy model of word classes, and counts within a class.
+"""Language-model scores: a hashed maximum-entropy model of words in classes and sub-classes.
 
-p(word | context) = p(class | context) * p(word | class). Words are classed by what stands beside them; the class is
-predicted by a log-linear model over hashed features (the word before, the second and the third word before, the two
-words before together, and a constant), and a word within its class by its count: there is no second softmax. The ``HEAD`` most frequent words
-are classed; all others, unknown ones too, form the last class with add-one counts.
+p(word | context) = p(class | context) * p(sub-class | class, context) * p(word | sub-class). Both softmaxes are
+log-linear models over hashed features: the word before, the second and the third word before, the two words before
+together, and a constant; the features of the second are hashed with the class. A word has its share of its sub-class's
+count. The ``HEAD`` most frequent words are classed by what stands beside them, and the words of a class again into its
+sub-classes. All others, unknown ones too, form the last class, whose sub-classes are forms (how a word ends and its
+length), with add-one counts: so every word has a context-dependent class, however many words there are. The number of
+feature buckets grows with the square root of the training tokens.
 
 Texts are cut into words once: the table of codes that this gives is what the counting, neighbour, training and
 scoring passes read. Counts, neighbours and weights are learned from all training texts. The weights are trained by
@@ -12,7 +15,7 @@ own texts in sparse numpy batches, and the tasks' weights are averaged for each
 seen it. The head fits in every task; the counts of all other words are joined by word.
 
 Tokens are runs of bytes other than ASCII white space, A to Z lower-cased, and one end for each text. Words are told
-apart by 63-bit hashes. Base scores are add-one unigram log10 probabilities over the same counts.
+apart by 58 bits of a hash. Base scores are add-one unigram log10 probabilities over the same counts.
 
 Defined cases: a null or empty text is its end alone; without training texts the base score and the score are 0;
 rows that repeat a doc_id are scored row by row.
@@ -20,6 +23,7 @@ rows that repeat a doc_id are scored row by row.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,63 +31,27 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import table, written
+from millrace.llm.common import limit_threads, split_words, table, text_slices, written
 
-HEAD, CLASSES, ANCHORS = 1 << 16, 24, 32
-BUCKETS = 1 << 15
+HEAD, CLASSES, SUBS, ANCHORS = 1 << 16, 24, 16, 32
 BATCH = 1 << 15  # tokens in a gradient step
-PART = 1 << 16  # bytes of text in a row of codes
-END = 1  # hash of the end; words get others
-_MASK = (1 << 63) - 1
+PART = 1 << 18  # bytes of text in a row of codes
+END = 1  # key of the end; words get others
+ENDING = CLASSES - 2  # the end has a class of its own
+FORMS = 16  # of words outside the head, in the low bits of their keys; at most SUBS
 
-
-def word_key(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) & _MASK | 2
+#: Groups of words by their last byte: vowels, other letters in three groups, digits, commas and stops, other signs, beyond ASCII.
+_LAST = [7 if b > 127 else 0 if chr(b) in "aeiouy" else 1 if chr(b) in "bcdfghj" else 2 if chr(b) in "klmnpq" else 3 if chr(b) in "rstvwxz" else 4 if chr(b) in "0123456789" else 5 if chr(b) in ",.;:!?" else 6 for b in range(256)]
 
 
-class Coder:
-    """word -> its key, for whole batches.
+def word_key(word: bytes) -> int:
+    """A hash of a word that carries its form in its low bits; never ``END``."""
+    return xxhash.xxh3_64_intdigest(word) >> 5 << 4 | 16 | _LAST[word[-1]] | (len(word) > 8) << 3
 
-    Words are remembered for as long as they keep coming: what isn't met while ``most`` / 2 others are is forgotten.
-    """
 
-    def __init__(self, most: int = 800_000):
-        self.most = most
-        self.known: dict[bytes, int] = {}
-        self.before: dict[bytes, int] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > self.most // 2:
-            self.known, self.before = {}, self.known
-        back = self.before.keys() & words
-        self.known.update((w, self.before[w]) for w in back)
-        self.known.update((w, word_key(w)) for w in words - back)
-
-    def keys(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(keys of all tokens of the texts, tokens of each); every text ends with the end."""
-        words: list[bytes] = []
-        sizes = []
-        for text in texts:
-            own = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            words += own
-            words.append(b" ")  # no word is a blank: it stands for the end
-            sizes.append(len(own) + 1)
-        self.known[b" "] = END
-        out = list(map(self.known.get, words))
-        if None in out:
-            self.learn({w for w, c in zip(words, out, strict=True) if c is None})
-            self.known[b" "] = END
-            kept = self.known.get
-            out = [kept(w) if c is None else c for w, c in zip(words, out, strict=True)]
-        return np.array(out, np.int64), np.array(sizes)
-
-
-_CODER = Coder()
-
-
-def coder() -> Coder:
-    """A worker's coder; workers go from task to task, and so do the words they know."""
-    return _CODER
+def buckets_for(tokens: int) -> int:
+    """Feature buckets for a number of training tokens: about eight times its square root, and at most 2^18."""
+    return 1 << int(np.clip(np.rint(np.log2(8 * max(1.0, tokens) ** 0.5)), 12, 18))
 
 
 def encoded(texts: DataFrame) -> DataFrame:
@@ -94,15 +62,18 @@ def encoded(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         def one(values, kind):
             return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
 
         for batch in batches:
-            for part in grouped(batch):
-                keys, sizes = coder().keys(part.column(0).to_pylist())
-                words, places = np.unique(keys, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([one(part.column(1), None), one(part.column(2), None), one(sizes, pa.int32()), one(words, pa.int64()), one(places, pa.int32())], ["ids", "rounds", "sizes", "keys", "places"])
+            for low, high in text_slices(batch.column(0), PART):
+                part = batch.slice(low, high - low)
+                words, places, sizes = split_words(pc.ascii_lower(part.column(0)), ascii_only=True)
+                keys = np.fromiter(map(word_key, words), np.int64, len(words))
+                places = np.insert(places, np.cumsum(sizes), len(keys))  # the end of each text
+                yield pa.RecordBatch.from_arrays([one(part.column(1), None), one(part.column(2), None), one(sizes + 1, pa.int32()), one(np.append(keys, END), pa.int64()), one(places, pa.int32())], ["ids", "rounds", "sizes", "keys", "places"])
 
     return texts.select("text", "id", "round").mapInArrow(run, "ids array<long>, rounds array<int>, sizes array<int>, keys array<long>, places array<int>")
 
@@ -120,6 +91,18 @@ def opened(batches):
             low = high
 
 
+@contextmanager
+def few_rows(spark, rows: int = 16):
+    """Rows of codes are large: jobs run inside hand them to Python a few at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def codes_of(keys: np.ndarray, head: np.ndarray) -> np.ndarray:
     """The place of each key in the head, or -key."""
     at = np.minimum(np.searchsorted(head, keys), len(head) - 1)
@@ -127,15 +110,40 @@ def codes_of(keys: np.ndarray, head: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Model:
+class Classes:
+    """Where the words of the head belong; all others are in the last class, by their forms."""
+
     keys: np.ndarray  # of the head, ascending
+    of: np.ndarray  # class of each
+    sub: np.ndarray  # and its sub-class
+
+    def place(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, sub-class) of each code."""
+        head = np.maximum(codes, 0)
+        return np.where(codes >= 0, self.of[head], CLASSES - 1), np.where(codes >= 0, self.sub[head], -codes & FORMS - 1)
+
+
+@dataclass
+class Weights:
+    """Buckets and one more row for each constant: of the first softmax, and of the second for each class."""
+
+    first: np.ndarray  # buckets + 1 x CLASSES
+    second: np.ndarray  # buckets + CLASSES x SUBS
+
+    @staticmethod
+    def zero(buckets: int) -> Weights:
+        return Weights(np.zeros((buckets + 1, CLASSES), np.float32), np.zeros((buckets + CLASSES, SUBS), np.float32))
+
+
+@dataclass
+class Model:
+    classes: Classes
     counts: np.ndarray
-    classes: np.ndarray
-    inside: np.ndarray  # log10 p(word | class)
+    inside: np.ndarray  # log10 p(word | sub-class)
     total: int  # training tokens
     distinct: int
-    tail_mass: float  # log10 of the last class's size, add-one
-    weights: np.ndarray  # buckets x classes
+    forms: np.ndarray  # log10 of the size of each sub-class of the last class, add-one
+    weights: Weights
 
 
 def counted(codes: DataFrame) -> DataFrame:
@@ -168,57 +176,89 @@ def counted(codes: DataFrame) -> DataFrame:
     return codes.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def grouped(batch, most: int = PART):
-    """Slices of a batch's rows, of about ``most`` bytes of text each."""
-    column, start, size = batch.column(0), 0, 0
-    lengths = [len(x) if x else 0 for x in column.to_pylist()]
-    for i, n in enumerate(lengths):
-        size += n
-        if size >= most:
-            yield batch.slice(start, i + 1 - start)
-            start, size = i + 1, 0
-    if start < len(lengths):
-        yield batch.slice(start)
-
+def context(words: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of each token's features (4 x tokens): word before, second and third before, the two before.
 
-def features(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Feature buckets of each token: constant, word before, second and third before, the two before."""
-    n = len(codes)
+    ``words`` are the hashes of distinct words, ``places`` says which of them each token is.
+    """
+    n = len(places)
     first = np.cumsum(sizes) - sizes
-    nth = np.arange(n) - np.repeat(first, sizes)
-    word = (np.ascontiguousarray(codes).view(np.uint64) + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)
-    out = np.zeros((n, 5), np.int64)
+    word = words[places]
     before = []
     for k in (1, 2, 3):
-        w = np.zeros(n, np.uint64)
-        w[k:] = word[:-k] if n > k else word[:0]
-        w[nth < k] = np.uint64(k)  # before the text's first word
+        w = np.empty(n, np.uint64)
+        w[k:], w[:k] = word[: max(0, n - k)], 0
+        for j in range(k):  # before the text's first word
+            at = first[sizes > j] + j
+            w[at] = np.uint64(k)
         before.append(w)
+    out = np.empty((4, n), np.uint64)
     for j, w in enumerate([before[0], before[1] ^ np.uint64(0x51ED270B), before[2] ^ np.uint64(0x2545F491), before[0] * np.uint64(3) + before[1] * np.uint64(0xC2B2AE3D27D4EB4F)]):
-        w = w ^ (w >> np.uint64(31))
-        out[:, j + 1] = 1 + ((w * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % (BUCKETS - 1)
+        out[j] = (w ^ (w >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     return out
 
 
-def class_of(codes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return np.where(codes >= 0, classes[np.maximum(codes, 0)] if len(classes) else 0, CLASSES - 1)
+def hashed(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def features(contexts: np.ndarray, buckets: int, classes: np.ndarray | None = None) -> np.ndarray:
+    """Rows of the weights for each token's features (4 x tokens), of the second softmax where classes are given."""
+    if classes is not None:
+        contexts = (contexts ^ (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)) * np.uint64(0xD6E8FEB86659FD93)
+    return (contexts >> np.uint64(64 - int(buckets).bit_length() + 1)).astype(np.int64)
+
+
+def logits(weights: np.ndarray, at: np.ndarray, constant: np.ndarray) -> np.ndarray:
+    """Scores (tokens x outcomes) for rows of features and of the constant; at most 80, so that their exponentials are finite."""
+    z = weights.take(constant, axis=0, mode="clip")
+    for rows in at:
+        z += weights.take(rows, axis=0, mode="clip")
+    return np.minimum(z, 80, out=z)
+
 
+def log_share(weights: np.ndarray, at: np.ndarray, constant: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Natural log p(goal | features) of each token."""
+    z = logits(weights, at, constant)
+    own = z[np.arange(len(goal)), goal]
+    return own - np.log(np.einsum("ij->i", np.exp(z, out=z)))
 
-def log_classes(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural log p(class | features) of each token."""
-    z = weights[0] + weights[at[:, 1]]  # the first feature is the constant
-    for j in range(2, at.shape[1]):
-        z += weights[at[:, j]]
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
 
+def log_model(weights: Weights, contexts: np.ndarray, classes: np.ndarray, subs: np.ndarray) -> np.ndarray:
+    """log10 p(class and sub-class | context) of each token."""
+    buckets = len(weights.first) - 1
+    out = np.empty(len(classes))
+    for low in range(0, len(out), BATCH):
+        at, c, s = contexts[:, low : low + BATCH], classes[low : low + BATCH], subs[low : low + BATCH]
+        out[low : low + BATCH] = log_share(weights.first, features(at, buckets), np.full(len(c), buckets), c)
+        out[low : low + BATCH] += log_share(weights.second, features(at, buckets, c), buckets + c, s)
+    return out / np.log(10)
 
-def classed(codes: DataFrame, keys: np.ndarray, counts: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """A class for each head word, by k-means on which anchors (the most frequent words) stand before and after it."""
+
+def near_centres(x: np.ndarray, counts: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """k-means of rows weighted by the root of their counts; each first centre lies far from those before."""
+    top = np.argsort(-counts, kind="stable")[: max(k, len(counts) // 16)]
+    centres = [x[top[0]]]
+    gap = ((x[top] - centres[0]) ** 2).sum(1)
+    for _ in range(k - 1):
+        centres.append(x[top[int(np.argmax(gap * np.sqrt(counts[top])))]])
+        gap = np.minimum(gap, ((x[top] - centres[-1]) ** 2).sum(1))
+    centres, weight = np.array(centres), np.sqrt(counts)
+    for _ in range(rounds):
+        near = np.argmin(-2 * x @ centres.T + (centres * centres).sum(1), axis=1)
+        mass = np.bincount(near, weights=weight, minlength=k)
+        for c in np.flatnonzero(mass):
+            mine = near == c
+            centres[c] = (x[mine] * weight[mine, None]).sum(0) / mass[c]
+    return near
+
+
+def classed(codes: DataFrame, keys: np.ndarray, counts: np.ndarray, rounds: int = 12) -> Classes:
+    """Classes and sub-classes of the head, by which anchors (the most frequent words) stand before and after a word."""
     end, wide = int(np.searchsorted(keys, END)), 2 * ANCHORS
     by_count = np.argsort(-counts, kind="stable")
     anchors = [i for i in by_count if i != end][:ANCHORS]
-    anchor_of = np.full(len(keys) + 1, -1)
+    anchor_of = np.full(len(keys) + 1, -1, np.int32)
     anchor_of[anchors] = np.arange(len(anchors))
 
     def run(batches):
@@ -231,12 +271,14 @@ def classed(codes: DataFrame, keys: np.ndarray, counts: np.ndarray, rounds: int
             held.clear()
 
         for _, rounds, sizes, words, places in opened(batches):
-            tokens, train = codes_of(words, keys)[places], np.repeat(rounds > 0, sizes)
-            a = anchor_of[np.where(tokens >= 0, tokens, len(keys))]
-            a[np.cumsum(sizes) - 1] = -1
-            for word, beside, side, own in ((tokens[1:], a[:-1], 0, train[1:]), (tokens[:-1], a[1:], ANCHORS, train[:-1])):
-                ok = (beside >= 0) & (word >= 0) & (word != end) & own
-                held.append(word[ok] * wide + side + beside[ok])
+            code = codes_of(words, keys)
+            tokens = np.where(code >= 0, code, len(keys))[places]
+            train = np.repeat(rounds > 0, sizes)
+            at = np.flatnonzero((anchor_of[tokens] >= 0) & train)  # anchors: none is an end, so a text's last token is none
+            anchor = anchor_of[tokens[at]]
+            for word, side in ((tokens[at + 1], 0), (np.where(at > 0, tokens[at - 1], end), ANCHORS)):
+                ok = (word < len(keys)) & (word != end)
+                held.append(word[ok] * wide + side + anchor[ok])
             if sum(map(len, held)) > 1 << 21:
                 add()
         add()
@@ -250,89 +292,154 @@ def classed(codes: DataFrame, keys: np.ndarray, counts: np.ndarray, rounds: int
     x[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     x = np.log1p(x.reshape(len(keys), wide))
     x = np.hstack([x / np.maximum(1e-6, np.sqrt((x * x).sum(1, keepdims=True))), 0.08 * np.log2(counts)[:, None].astype(np.float32)])
-    k = max(1, min(CLASSES - 2, len(keys) - 1))
-    top = by_count[: max(k, len(keys) // 16)]
-    centres = [x[top[0]]]
-    for _ in range(k - 1):  # each next centre far from those before
-        gap = np.min([((x[top] - c) ** 2).sum(1) for c in centres], axis=0)
-        centres.append(x[top[int(np.argmax(gap * np.sqrt(counts[top])))]])
-    centres = np.array(centres)
-    for _ in range(rounds):
-        near = np.argmin(-2 * x @ centres.T + (centres * centres).sum(1), axis=1)
-        weight = np.sqrt(counts)
-        mass = np.bincount(near, weights=weight, minlength=k)
-        for c in np.flatnonzero(mass):
-            mine = near == c
-            centres[c] = (x[mine] * weight[mine, None]).sum(0) / mass[c]
-    near[end] = CLASSES - 2  # the end has a class of its own
-    return near
+    near = near_centres(x, counts, max(1, min(CLASSES - 2, len(keys) - 1)), rounds)
+    near[end] = ENDING
+    sub = np.zeros(len(keys), np.int64)
+    for c in range(ENDING):
+        mine = np.flatnonzero(near == c)
+        if len(mine):
+            sub[mine] = near_centres(x[mine], counts[mine], min(SUBS, len(mine)), rounds)
+    return Classes(keys, near, sub)
+
+
+def as_items(rows: np.ndarray) -> np.ndarray:
+    """A view of a matrix whose rows are single items, which numpy puts in place faster than rows."""
+    return rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel()
+
+
+def run_sums(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of rows[order] over the runs that begin at ``first``: each turn adds up pairs of all runs not done."""
+    length = np.diff(first, append=len(order))
+    out = np.empty((len(first), rows.shape[1]), rows.dtype)
+    put = as_items(out)
+    one = np.flatnonzero(length == 1)
+    put[one] = as_items(rows.take(order[first[one]], axis=0, mode="clip"))
+    run = np.flatnonzero(length > 1)
+    length, start, at = length[run], first[run], order
+    while len(run):
+        pairs = length // 2
+        begin = np.cumsum(pairs) - pairs
+        left = np.repeat(start - 2 * begin, pairs) + 2 * np.arange(int(pairs.sum()))
+        half = rows.take(at[left], axis=0, mode="clip")
+        half += rows.take(at[left + 1], axis=0, mode="clip")
+        odd = np.flatnonzero(length % 2)
+        as_items(half)[begin[odd]] = as_items(half.take(begin[odd], axis=0, mode="clip") + rows.take(at[start[odd] + length[odd] - 1], axis=0, mode="clip"))
+        done, more = np.flatnonzero(pairs == 1), np.flatnonzero(pairs > 1)
+        put[run[done]] = as_items(half.take(begin[done], axis=0, mode="clip"))
+        rows, at, run, length, start = half, np.arange(len(half)), run[more], pairs[more], begin[more]
+    return out
 
 
-def trained(codes: DataFrame, keys: np.ndarray, classes: np.ndarray, rounds: tuple[int, ...] = (1, 2), rate: float = 0.3) -> np.ndarray:
-    """Class weights after each of the rounds of gradient updates over its own texts."""
+class Learner:
+    """AdaGrad steps on one softmax, in batches of tokens."""
+
+    def __init__(self, weights: np.ndarray, rate: float):
+        self.weights, self.rate = weights.copy(), rate
+        self.slope, self.seen = np.full(weights.shape, 1e-2, np.float32), np.zeros(len(weights), np.float32)
+
+    def step(self, at: np.ndarray, constant: np.ndarray, goal: np.ndarray) -> None:
+        miss = logits(self.weights, at, constant)
+        np.exp(miss, out=miss)
+        miss *= (1 / np.einsum("ij->i", miss))[:, None]
+        miss[np.arange(len(goal)), goal] -= 1
+        hit = np.concatenate([at.ravel(), constant])
+        order = np.argsort(hit.astype(np.uint16), kind="stable")  # 16 bits at a time are sorted by radix
+        if len(self.weights) > 1 << 16:
+            order = order[np.argsort((hit[order] >> 16).astype(np.uint16), kind="stable")]
+        hit = hit[order]
+        first = np.flatnonzero(np.diff(hit, prepend=-1))
+        g, b = run_sums(miss, order % len(goal), first), hit[first]
+        slope = self.slope.take(b, axis=0, mode="clip")
+        slope += g * g
+        as_items(self.slope)[b] = as_items(slope)
+        np.sqrt(slope, out=slope)
+        g /= slope
+        g *= -self.rate
+        g += self.weights.take(b, axis=0, mode="clip")
+        as_items(self.weights)[b] = as_items(g)
+        self.seen[b] += np.diff(first, append=len(hit))
+
+
+def trained(codes: DataFrame, classes: Classes, buckets: int, rounds: tuple[int, ...] = (1, 2), rate: float = 0.3) -> Weights:
+    """Weights of both softmaxes after each of the rounds of gradient updates over its own texts."""
     spark = codes.sparkSession
-    weights = np.zeros((BUCKETS, CLASSES), np.float32)
-    names = [f"w{k}" for k in range(CLASSES)]
+    weights = Weights.zero(buckets)
+    codes = codes.coalesce(spark.sparkContext.defaultParallelism)  # each task sends back weights: one for each core does
+    names = [f"w{k}" for k in range(max(CLASSES, SUBS))]
     for which in rounds:
-        shared = spark.sparkContext.broadcast((keys, classes, weights))
+        shared = spark.sparkContext.broadcast((classes, weights))
 
         def run(batches, shared=shared, which=which):
             import pyarrow as pa
 
-            keys, classes, start = shared.value
-            w, seen, held = start.copy(), np.zeros(BUCKETS), []
-            slope = np.full((BUCKETS, CLASSES), 1e-2, np.float32)
-
-            def step():
-                tokens, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-                held.clear()
-                at, y = features(tokens, sizes), class_of(tokens, classes)
-                for low in range(0, len(y), BATCH):
-                    rows, goal = at[low : low + BATCH], y[low : low + BATCH]
-                    miss = np.exp(log_classes(w, rows))
-                    miss[np.arange(len(goal)), goal] -= 1
-                    hit = rows[:, 1:].T.ravel().astype(np.uint16)  # under BUCKETS: sorted by radix
-                    order = np.argsort(hit, kind="stable")
-                    hit = hit[order]
-                    first = np.flatnonzero(np.diff(hit, prepend=-1))
-                    for b, g in ((hit[first], np.add.reduceat(miss[order % len(goal)], first, axis=0)), (np.zeros(1, int), miss.sum(0, keepdims=True))):
-                        slope[b] += g * g
-                        w[b] -= rate * g / np.sqrt(slope[b])
-                    seen[:] += np.bincount(rows.ravel(), minlength=BUCKETS)
+            limit_threads()
+            classes, start = shared.value
+            first, second = Learner(start.first, rate), Learner(start.second, rate)
 
+            def step(contexts, c, s):
+                for low in range(0, len(c), BATCH):
+                    at, goal, sub = contexts[:, low : low + BATCH], c[low : low + BATCH], s[low : low + BATCH]
+                    first.step(features(at, buckets), np.full(len(goal), buckets), goal)
+                    more = np.flatnonzero(goal != ENDING)  # one sub-class: nothing to tell apart
+                    if len(more):
+                        second.step(features(at[:, more], buckets, goal[more]), buckets + goal[more], sub[more])
+
+            held, size = [], 0
             for _, nth, sizes, words, places in opened(batches):
                 mine = nth == which
                 if mine.any():
-                    held.append((codes_of(words, keys)[places[np.repeat(mine, sizes)]], sizes[mine]))
-                    if sum(len(x) for x, _ in held) >= BATCH:
-                        step()
+                    places = places[np.repeat(mine, sizes)]
+                    code = codes_of(words, classes.keys)
+                    c, s = classes.place(code)
+                    held.append((context(hashed(words), places, sizes[mine]), c[places], s[places]))
+                    size += len(places)
+                    if size >= BATCH:
+                        step(*(np.concatenate(x, axis=-1) for x in zip(*held, strict=True)))
+                        held, size = [], 0
             if held:
-                step()
-            hit = np.flatnonzero(seen)
-            for low in range(0, len(hit), 4096):
-                some = hit[low : low + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some]), *(pa.array((w[some, k] * seen[some]).astype(np.float64)) for k in range(CLASSES))], ["bucket", "n", *names])
-
-        rows = codes.mapInArrow(run, "bucket long, n double, " + ", ".join(f"{x} double" for x in names))
-        mean = rows.groupBy("bucket").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).toArrow()  # BUCKETS rows at most
-        if mean.num_rows:
-            weights[mean["bucket"].to_numpy()] = (np.stack([mean[x].to_numpy() for x in names], 1) / mean["n"].to_numpy()[:, None]).astype(np.float32)
+                step(*(np.concatenate(x, axis=-1) for x in zip(*held, strict=True)))
+            for which_table, learner in enumerate((first, second)):
+                hit = np.flatnonzero(learner.seen)
+                for low in range(0, len(hit), 4096):
+                    some = hit[low : low + 4096]
+                    n, mass = learner.seen[some], learner.weights[some] * learner.seen[some, None]
+                    cols = [pa.array(mass[:, k], pa.float32()) if k < mass.shape[1] else pa.nulls(len(some), pa.float32()) for k in range(len(names))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), which_table), pa.int32()), pa.array(some), pa.array(n, pa.float64()), *cols], ["table", "bucket", "n", *names])
+
+        rows = codes.mapInArrow(run, "table int, bucket long, n double, " + ", ".join(f"{x} float" for x in names))
+        mean = rows.groupBy("table", "bucket").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).toArrow()  # a row for each bucket at most
+        of = mean["table"].to_numpy()
+        for k, to in enumerate((weights.first, weights.second)):
+            some = mean.filter(of == k)
+            if some.num_rows:
+                to[some["bucket"].to_numpy()] = (np.stack([some[x].to_numpy() for x in names[: to.shape[1]]], 1) / some["n"].to_numpy()[:, None]).astype(np.float32)
     return weights
 
 
 def learned(codes: DataFrame) -> tuple[Model | None, DataFrame]:
     """The model of the training texts among encoded ones, and the table (key, n) of all word counts."""
+    with few_rows(codes.sparkSession):
+        return _learned(codes)
+
+
+def _learned(codes: DataFrame) -> tuple[Model | None, DataFrame]:
     counts = written(counted(codes), "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    form = F.col("key").bitwiseAND(F.lit(FORMS - 1)).cast("int").alias("form")
+    sums = counts.groupBy(form).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()  # FORMS rows
+    total, distinct = sum(r["n"] for r in sums), sum(r["words"] for r in sums)
     if not total:
         return None, counts
     head = counts.orderBy((F.col("key") != END), F.desc("n"), "key").limit(HEAD).toArrow().sort_by("key")
     keys, n = head["key"].to_numpy(), head["n"].to_numpy()
     classes = classed(codes, keys, n)
-    mass = np.bincount(classes, weights=n, minlength=CLASSES)
-    weights = trained(codes, keys, classes)
-    tail = (total - int(n.sum())) + (distinct - len(keys)) + 1
-    return Model(keys, n, classes, np.log10(n / mass[classes]), int(total), int(distinct), float(np.log10(tail)), weights), counts
+    weights = trained(codes, classes, buckets_for(total))
+    place = classes.of * SUBS + classes.sub
+    mass = np.bincount(place, weights=n, minlength=CLASSES * SUBS)
+    tail = np.ones(FORMS)  # an unknown word of each form
+    for r in sums:
+        tail[r["form"]] += r["n"] + r["words"]
+    tail -= np.bincount(keys & FORMS - 1, weights=n + 1, minlength=FORMS)
+    return Model(classes, n, np.log10(n / mass[place]), int(total), int(distinct), np.log10(tail), weights), counts
 
 
 def scored(codes: DataFrame, model: Model | None, counts: DataFrame) -> DataFrame:
@@ -346,28 +453,27 @@ def scored(codes: DataFrame, model: Model | None, counts: DataFrame) -> DataFram
     def run(batches):
         import pyarrow as pa
 
+        limit_threads()
         m = shared.value
         row = TaskContext.get().partitionId() << 40
         base = np.log10((m.counts + 1) / size)
         for ids, _, sizes, words, places in opened(batches):
-            tokens = codes_of(words, m.keys)[places]
+            code = codes_of(words, m.classes.keys)
+            c, s = m.classes.place(code)
+            known = code >= 0
+            inside = np.where(known, m.inside[np.maximum(code, 0)], -m.forms[s])
+            value = log_model(m.weights, context(hashed(words), places, sizes), c[places], s[places])
+            value += inside[places]
+            head = known[places]
             of = np.repeat(np.arange(len(sizes)), sizes)
-            at, y = features(tokens, sizes), class_of(tokens, m.classes)
-            value = np.empty(len(tokens))
-            for low in range(0, len(tokens), BATCH):
-                goal = y[low : low + BATCH]
-                value[low : low + BATCH] = log_classes(m.weights, at[low : low + BATCH])[np.arange(len(goal)), goal]
-            value /= np.log(10)
-            head = tokens >= 0
-            value[head] += m.inside[tokens[head]]
-            value[~head] -= m.tail_mass
-            sums = [np.bincount(of, weights=x, minlength=len(sizes)) for x in (value, np.where(head, base[np.maximum(tokens, 0)], 0.0), head)]
+            sums = [np.bincount(of, weights=x, minlength=len(sizes)) for x in (value, np.where(known, base[np.maximum(code, 0)], 0.0)[places], head)]
             tails = np.bincount(of[~head], minlength=len(sizes))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tails)]), pa.int32()), pa.array(-tokens[~head]))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tails)]), pa.int32()), pa.array(words[places[~head]]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(row + np.arange(len(sizes))), pa.array(sizes, pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[1]), pa.array(sums[0]), lists], ["id", "row", "n_tokens", "known", "base", "score", "tail"])
             row += len(sizes)
 
-    parts = written(codes.mapInArrow(run, "id long, row long, n_tokens long, known long, base double, score double, tail array<long>"), "lm-parts")
+    with few_rows(codes.sparkSession):
+        parts = written(codes.mapInArrow(run, "id long, row long, n_tokens long, known long, base double, score double, tail array<long>"), "lm-parts")
     tail = parts.select("row", F.explode("tail").alias("key"))
     rare = tail.join(counts, "key", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"))
     rest = rare.groupBy("row").agg(F.sum(F.log10((F.col("n") + 1) / F.lit(float(size)))).alias("rest_base"), F.sum(F.log10(F.col("n") + 1.0)).alias("rest_score"), F.sum((F.col("n") > 0).cast("long")).alias("rest_known"))
