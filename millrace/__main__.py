@@ -1,6 +1,6 @@
 """Command line: ``claims`` and ``chunks`` over a folder of reports, or over Parquet tables of pages and layouts.
 
-    python -m millrace claims FOLDER OUTPUT [--company NAME] [--pages-table]
+    python -m millrace claims FOLDER OUTPUT [--company NAME] [--pages-table] [--text-folders]
     python -m millrace chunks FOLDER OUTPUT [--company NAME] [--year YEAR] [--report-type TYPE] [--layout-tables]
 """
 
@@ -9,51 +9,63 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.operators import chunks as C, claims as K
+from millrace.operators import chunks as C, claims as K, layout as L
 from millrace.sources import reports, sinks
 
 
+def report_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of a folder's reports, parsed once, by path; tells of files that can't be read."""
+    pages = sinks.kept(spark.read.format("report").load(folder), "pages")
+    for r in pages.where("page_number is null").select("path", "error").orderBy("path").collect():  # one row for each bad file
+        print(f"{r.path}: {r.error}", file=sys.stderr)
+    return pages.where("page_number is not null")
+
+
 def run_claims(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.pages_table:
         pages = spark.read.parquet(args.folder).select("doc_id", "page_number", "text")
     else:
         reports.register(spark)
-        found = spark.read.format("report").load(args.folder)
-        pages = found.where("page_number is not null").select(sinks.stem(F.col("path")).alias("doc_id"), "page_number", "text")
+        pages = report_pages(spark, args.folder).select(sinks.stem(F.col("path")).alias("doc_id"), "page_number", "text")
     if pages.isEmpty():
         print(f"no reports in {args.folder}", file=sys.stderr)
         return 1
-    sinks.write_page_text(pages, f"{args.output}/text")
-    rows = K.claims(pages)
+    sinks.write_page_text(pages, f"{args.output}/text", args.text_folders)
+    reasoned = sinks.kept(K.with_reason(K.features(K.sentences(pages))), "sentences")
+    rows = K.classified(K.first_seen(reasoned))
     if args.company:
         rows = rows.withColumn("Company", F.lit(args.company))
     sinks.write_tsv(rows, f"{args.output}/claims")
-    dropped = K.drop_counts(K.with_reason(K.features(K.sentences(pages)))).groupBy("reason").agg(F.sum("n").alias("n"))
     for r in rows.groupBy("Claim_Type").count().orderBy("Claim_Type").collect():
         print(f"{r.Claim_Type}: {r['count']}")
-    for r in dropped.orderBy(F.desc("n"), "reason").collect():
+    for r in K.drop_counts(reasoned).groupBy("reason").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "reason").collect():
         print(f"dropped, {r.reason}: {r.n}")
     return 0
 
 
 def run_chunks(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Reports as JSON. Files that can't be read and scanned reports are told of and left out."""
     if args.layout_tables:
         blocks, tables = (spark.read.parquet(f"{args.folder}/{x}") for x in ("blocks", "tables"))
-        pages = None
+        pages, name = None, F.col("doc_id").cast("string")
     else:
         reports.register(spark)
-        read = lambda part: spark.read.format("report").option("part", part).load(args.folder).withColumn("doc_id", sinks.stem(F.col("path")))
-        pages, blocks, tables = read("pages"), reports.blocks(read("spans")), read("tables")
-        failed = pages.where("page_number is null").select("path", "error").take(1)
-        if failed:
-            print(f"{failed[0].path}: {failed[0].error}", file=sys.stderr)
+        read = lambda part: spark.read.format("report").option("part", part).load(args.folder).withColumn("doc_id", F.col("path"))
+        pages, name = report_pages(spark, args.folder).withColumn("doc_id", F.col("path")), F.col("doc_id")
+        scanned = sinks.kept(L.scanned(pages).where("scanned").select("doc_id"), "scanned")
+        for r in scanned.orderBy("doc_id").collect():
+            print(f"{r.doc_id}: the report appears to be scanned; a text-based one is needed", file=sys.stderr)
+        pages = sinks.kept(pages.join(scanned, "doc_id", "left_anti").select("doc_id", "page_number", "error"), "pages")
+        if pages.isEmpty():
             return 2
-        pages = pages.select("doc_id", "page_number", "error")
+        blocks = sinks.kept(reports.blocks(sinks.kept(read("spans"), "spans")).join(scanned, "doc_id", "left_anti"), "blocks")
+        tables = sinks.kept(read("tables").join(scanned, "doc_id", "left_anti"), "tables")
     counted = (pages if pages is not None else blocks).groupBy("doc_id").agg(F.max("page_number").alias("total_pages"))
-    about = counted.select("doc_id", F.col("doc_id").cast("string").alias("source_pdf"), F.lit(args.company).alias("company"), F.lit(args.year).cast("int").alias("year"), F.lit(args.report_type).alias("report_type"), "total_pages")
-    nested = C.reports(C.chunks(blocks, tables), C.warnings(blocks, tables, pages), about)
+    about = counted.select("doc_id", name.alias("source_pdf"), F.lit(args.company).alias("company"), F.lit(args.year).cast("int").alias("year"), F.lit(args.report_type).alias("report_type"), "total_pages")
+    items = sinks.kept(C.ordered_items(blocks, tables, pages), "items")
+    nested = sinks.kept(C.reports(C.chunks(items), C.warnings(items, blocks, pages), about), "reports")
     sinks.write_json(nested, args.output)
     total = nested.agg(F.sum(F.size("chunks")).alias("chunks"), F.sum(F.size("extraction_warnings")).alias("warnings")).first()
     print(f"{total.chunks} chunks, {total.warnings} warnings")
@@ -70,6 +82,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--company")
         if name == "claims":
             p.add_argument("--pages-table", action="store_true")
+            p.add_argument("--text-folders", action="store_true", help="page text in one folder for each report")
         else:
             p.add_argument("--year", type=int)
             p.add_argument("--report-type")

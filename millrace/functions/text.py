@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Patterns that decide results. (?U) gives Java's classes their Unicode meaning.
@@ -18,6 +21,12 @@ CAPTION = r"(?iU)^\s*(Figure|Table|Chart|Exhibit)\s+\d"
 LIST_ITEM = r"(?U)^\s*(?:[-•·●▪◦*]|\d+[.)]|[a-zA-Z][.)])\s+"
 PAGE_NUMBER = r"(?U)^\s*(?:[-–—]\s*)?\d{1,4}(?:\s*[-–—])?\s*$"
 TOKEN = r"[a-z0-9_]+|[^a-z0-9_\s]"
+PIECE = r"(?:[a-zA-Z0-9_]+|[^a-zA-Z0-9_\s])\s*"  # a token in any case, with the white space after it
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, also where it is used often or inside a lambda."""
+    return F.transform(F.array(value), then)[0]
 
 
 def clean(text: Column) -> Column:
@@ -35,6 +44,17 @@ def sentences(text: Column) -> Column:
     return F.split(text, SENTENCE_END)
 
 
+def splitter(make: Callable[[], Callable[[str], list[str]]]) -> Callable[[Column], Column]:
+    """A column function for another sentence splitter; ``make`` is called once in each task and may load a model."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        split = make()
+        for batch in batches:
+            yield batch.map(lambda text: None if text is None else split(text))
+
+    return F.pandas_udf(run, "array<string>")
+
+
 def word_count(cleaned: Column) -> Column:
     return F.size(F.split(cleaned, " "))
 
@@ -59,6 +79,11 @@ def is_caption(line: Column) -> Column:
     return F.rlike(line, F.lit(CAPTION))
 
 
+def cells_of(row: Column) -> Column:
+    """A row's cells as they are shown: no nulls, no line breaks, no white space at the ends."""
+    return F.transform(row, lambda c: stripped(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))))
+
+
 def is_list_item(line: Column) -> Column:
     return F.rlike(line, F.lit(LIST_ITEM))
 

@@ -11,32 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import text as T
-from millrace.functions.tokens import SignTokens
+from millrace.functions.text import cells_of, let
+from millrace.functions.tokens import SignTokens, WordPiece
 from millrace.operators import layout
 
 MOST, OVERLAP = 480, 50
+Counter = SignTokens | WordPiece
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with the value computed once, also where it is used often or inside a lambda."""
-    return F.transform(F.array(value), then)[0]
+def sentences_of(text: Column) -> Column:
+    return F.filter(F.transform(T.sentences(text), T.stripped), lambda s: s != "")
 
 
-def windows(tokens: Column, most: int = MOST, overlap: int = OVERLAP) -> Column:
-    """Overlapping windows of a token array, joined by spaces; the last one is the first that reaches the end."""
-    step = most - overlap
-
-    def cut(t: Column) -> Column:
-        last = F.greatest(F.lit(0), F.ceil((F.size(t) - most) / step).cast("int"))
-        return F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(t, k * step + 1, most), " "))
-
-    return let(tokens, cut)
-
-
-def packed(text: Column, counter: SignTokens, most: int = MOST) -> Column:
+def packed(text: Column, counter: Counter, most: int = MOST) -> Column:
     """Pieces of a cleaned text: whole if it fits, else sentences packed greedily, an oversize one cut into windows."""
-    sents = F.filter(F.transform(T.sentences(text), T.stripped), lambda s: s != "")
-    counted = F.transform(sents, lambda s: F.struct(s.alias("s"), counter.count(s).cast("int").alias("n")))
+    counted = counter.measure(sentences_of(text), most, OVERLAP)
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("done"), F.lit(None).cast("string").alias("held"), F.lit(0).alias("n"))
 
@@ -44,7 +33,7 @@ def packed(text: Column, counter: SignTokens, most: int = MOST) -> Column:
         return F.when(acc["held"].isNotNull(), F.concat(acc["done"], F.array(acc["held"]))).otherwise(acc["done"])
 
     def step(acc: Column, x: Column) -> Column:
-        over = F.struct(F.concat(flushed(acc), windows(counter.tokens(x["s"]), most)).alias("done"), F.lit(None).cast("string").alias("held"), F.lit(0).alias("n"))
+        over = F.struct(F.concat(flushed(acc), x["windows"]).alias("done"), F.lit(None).cast("string").alias("held"), F.lit(0).alias("n"))
         new = F.struct(flushed(acc).alias("done"), x["s"].alias("held"), x["n"].alias("n"))
         more = F.struct(acc["done"].alias("done"), F.concat_ws(" ", acc["held"], x["s"]).alias("held"), (acc["n"] + x["n"]).alias("n"))
         return F.when(x["n"] > most, over).when(acc["held"].isNotNull() & (acc["n"] + x["n"] > most), new).otherwise(more)
@@ -53,11 +42,6 @@ def packed(text: Column, counter: SignTokens, most: int = MOST) -> Column:
     return F.when(T.stripped(text) == "", none).when(counter.count(text) <= most, F.array(text)).otherwise(fold)
 
 
-def cells_of(row: Column) -> Column:
-    """A row's cells as they are shown: no nulls, no line breaks, no white space at the ends."""
-    return F.transform(row, lambda c: T.stripped(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))))
-
-
 def markdown(rows: Column) -> Column:
     """A grid as a markdown table, as wide as its widest row; the empty string for no rows."""
 
@@ -73,17 +57,13 @@ def markdown(rows: Column) -> Column:
     return F.when(F.size(rows) > 0, whole).otherwise("")
 
 
-def split_table(rows: Column, counter: SignTokens, most: int = MOST) -> Column:
+def split_table(rows: Column, counter: Counter, most: int = MOST) -> Column:
     """Pieces of a grid as (text, oversize): whole if it fits, else rows packed greedily under a repeated header.
 
     A rendered table's tokens are its cells' tokens, a rule for each column, and a bar on either side of each cell of
     all lines, so the fold needs only each row's cell tokens and width; pieces are rendered once their rows are known.
     """
-    bar, dash = counter.count(F.lit("|")), counter.count(F.lit("---"))
-
-    def sized(row: Column) -> Column:
-        n = F.aggregate(cells_of(row), F.lit(0), lambda acc, c: acc + counter.count(c).cast("int"))
-        return F.struct(n.alias("n"), F.size(row).alias("w"))
+    bar, dash = counter.sign("|"), counter.sign("---")
 
     def tokens(n: Column, w: Column, lines: Column) -> Column:
         return n + w * dash + (lines + 1) * (w + 1) * bar
@@ -108,14 +88,19 @@ def split_table(rows: Column, counter: SignTokens, most: int = MOST) -> Column:
         return F.aggregate(F.slice(measured, 2, F.greatest(F.lit(1), F.size(measured))), start, step, lambda a: F.when(a["rows"] > 0, piece(a)).otherwise(a["done"]))
 
     none = F.array().cast("array<struct<text:string,oversize:boolean>>")
-    rendered = F.transform(let(F.transform(rows, sized), spans), lambda p: F.struct(markdown(F.concat(F.slice(rows, 1, 1), F.slice(rows, p["at"] + 1, p["rows"]))).alias("text"), p["big"].alias("oversize")))
-    whole = let(markdown(rows), lambda m: F.when(counter.count(m) <= most, F.array(F.struct(m.alias("text"), F.lit(False).alias("oversize")))))
+    measured = F.zip_with(rows, counter.rows(rows), lambda row, n: F.struct(n.alias("n"), F.size(row).alias("w")))
+    rendered = F.transform(let(measured, spans), lambda p: F.struct(markdown(F.concat(F.slice(rows, 1, 1), F.slice(rows, p["at"] + 1, p["rows"]))).alias("text"), p["big"].alias("oversize")))
+    total = let(measured, lambda m: tokens(F.aggregate(m, F.lit(0), lambda n, row: n + row["n"]), F.array_max(F.transform(m, lambda row: row["w"])), F.size(m)))
+    whole = F.when(total <= most, F.array(F.struct(markdown(rows).alias("text"), F.lit(False).alias("oversize"))))
     return F.when(F.size(rows) == 0, none).otherwise(F.coalesce(whole, rendered))
 
 
-def ordered_items(blocks: DataFrame, tables: DataFrame) -> DataFrame:
-    """Cleaned and typed items in reading order, each with the heading above it."""
-    cleaned = layout.without_headers(blocks)
+def ordered_items(blocks: DataFrame, tables: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Cleaned and typed items in reading order, each with the heading above it.
+
+    ``pages`` (doc_id, page_number) lists all pages of the documents, as those without a block count for headers.
+    """
+    cleaned = layout.without_headers(blocks, pages)
     fonts = layout.page_fonts(cleaned)
     left = layout.uncovered(cleaned, tables).join(fonts, ["doc_id", "page_number"])
     found = layout.items(left, tables).withColumn("whole", F.when(F.col("kind") == 0, T.clean(F.col("text"))))
@@ -125,33 +110,38 @@ def ordered_items(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     return typed.withColumn("heading_context", F.when(F.col("content_type") != "heading", above))
 
 
-def chunks(blocks: DataFrame, tables: DataFrame, counter: SignTokens | None = None) -> DataFrame:
-    """doc_id, number, kind, src_idx, chunk_id, page_number, content_type, text, token_count, bbox, heading_context, oversize."""
+def chunks(items: DataFrame, counter: Counter | None = None) -> DataFrame:
+    """Of ordered items: doc_id, number, kind, src_idx, chunk_id, page_number, content_type, text, token_count, bbox, heading_context, oversize."""
     counter = counter or SignTokens()
-    found = ordered_items(blocks, tables)
     texts = F.transform(packed(F.col("whole"), counter), lambda s: F.struct(s.alias("text"), F.lit(False).alias("oversize")))
     pieces = F.when(F.col("kind") == 0, F.filter(texts, lambda p: T.stripped(p["text"]) != "")).otherwise(split_table(F.col("data"), counter))
-    out = found.select("*", F.posexplode(pieces).alias("piece_idx", "piece")).withColumn("number", F.row_number().over(layout.in_order(F.col("piece_idx"))))
+    out = items.select("*", F.posexplode(pieces).alias("piece_idx", "piece")).withColumn("number", F.row_number().over(layout.in_order(F.col("piece_idx"))))
     bbox = F.when(F.col("x0").isNotNull(), F.array("x0", "y0", "x1", "y1"))
     return out.select("doc_id", "number", "kind", "src_idx", T.chunk_id(F.col("number")).alias("chunk_id"), F.col("page_number").cast("int").alias("page_number"), "content_type", F.col("piece.text").alias("text"), counter.count(F.col("piece.text")).cast("int").alias("token_count"), bbox.alias("bbox"), "heading_context", F.col("piece.oversize").alias("oversize"))
 
 
-def warnings(blocks: DataFrame, tables: DataFrame, pages: DataFrame | None = None, counter: SignTokens | None = None) -> DataFrame:
+# Messages as readers of the reports know them.
+EMPTY_PAGE, FAILED_PAGE = "text extraction returned empty", "extraction error: "
+LONG_SENTENCE = f"sentence exceeded {MOST} tokens (%d); split on tokens with {OVERLAP}-token overlap"
+LONG_ROW = f"table row exceeded {MOST} tokens after header; kept as single oversized chunk"
+
+
+def warnings(items: DataFrame, blocks: DataFrame, pages: DataFrame | None = None, counter: Counter | None = None) -> DataFrame:
     """doc_id, phase, page_number, seq, message: what extraction and packing had to bend.
 
-    ``pages`` (doc_id, page_number, error) lists all pages, so that those without a block are told of.
+    ``items`` are ordered ones; ``pages`` (doc_id, page_number, error) lists all pages, so that those without a block
+    are told of.
     """
     counter = counter or SignTokens()
-    found = ordered_items(blocks, tables).withColumn("seq", F.row_number().over(layout.in_order()))
-    too_long = F.filter(F.transform(T.sentences(F.col("whole")), lambda s: counter.count(T.stripped(s))), lambda n: n > MOST)
+    found = items.withColumn("seq", F.row_number().over(layout.in_order()))
+    too_long = F.filter(counter.measure(sentences_of(F.col("whole")), MOST, OVERLAP)["n"], lambda n: n > MOST)
     sents = found.where((F.col("kind") == 0) & (counter.count(F.col("whole")) > MOST)).select("doc_id", "page_number", "seq", F.posexplode(too_long).alias("sub", "n"))
-    message = F.format_string(f"sentence exceeded {MOST} tokens (%d); split on tokens with {OVERLAP}-token overlap", F.col("n"))
+    message = F.format_string(LONG_SENTENCE, F.col("n"))
     rows = found.where("kind = 1").select("doc_id", "page_number", "seq", F.posexplode(F.filter(split_table(F.col("data"), counter), lambda p: p["oversize"])).alias("sub", "piece"))
-    told = F.lit(f"table row exceeded {MOST} tokens after header; kept as single oversized chunk")
-    out = sents.select("doc_id", F.lit("chunking").alias("phase"), "page_number", "seq", "sub", message.alias("message")).unionByName(rows.select("doc_id", F.lit("chunking").alias("phase"), "page_number", "seq", "sub", told.alias("message")))
+    out = sents.select("doc_id", F.lit("chunking").alias("phase"), "page_number", "seq", "sub", message.alias("message")).unionByName(rows.select("doc_id", F.lit("chunking").alias("phase"), "page_number", "seq", "sub", F.lit(LONG_ROW).alias("message")))
     if pages is not None:
         bare = pages.join(blocks.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_anti")
-        why = F.when(F.col("error").isNotNull(), F.concat(F.lit("extraction error: "), F.col("error"))).otherwise("text extraction returned empty")
+        why = F.when(F.col("error").isNotNull(), F.concat(F.lit(FAILED_PAGE), F.col("error"))).otherwise(EMPTY_PAGE)
         out = out.unionByName(bare.select("doc_id", F.lit("extraction").alias("phase"), "page_number", F.lit(0).alias("seq"), F.lit(0).alias("sub"), why.alias("message")))
     order = Window.partitionBy("doc_id").orderBy(F.col("phase") != "extraction", "page_number", "seq", "sub")
     return out.select("doc_id", "phase", "page_number", F.row_number().over(order).alias("seq"), F.concat(F.lit("page "), F.col("page_number").cast("string"), F.lit(": "), F.col("message")).alias("message"))

@@ -6,6 +6,8 @@ built-in functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import text as T
@@ -29,9 +31,12 @@ RISK = (
 )
 
 
-def sentences(pages: DataFrame) -> DataFrame:
-    """doc_id, page_number, sent_idx, raw of pages (doc_id, page_number, text)."""
-    return pages.select("doc_id", "page_number", F.posexplode(T.sentences(F.col("text"))).alias("sent_idx", "raw"))
+def sentences(pages: DataFrame, split: Callable[[Column], Column] = T.sentences) -> DataFrame:
+    """doc_id, page_number, sent_idx, raw of pages (doc_id, page_number, text).
+
+    ``split`` gives a text's sentences as an array: a pattern by default, or a trained splitter by ``text.splitter``.
+    """
+    return pages.select("doc_id", "page_number", F.posexplode(split(F.col("text"))).alias("sent_idx", "raw"))
 
 
 def features(sents: DataFrame) -> DataFrame:
@@ -132,16 +137,19 @@ def classified(first: DataFrame) -> DataFrame:
     return with_risk(labelled).select("Company", "Page", "Claim_Text", "ESG_Type", "Claim_Type", "Evidence_Exists", "Risk_Signal")
 
 
-def claims(pages: DataFrame) -> DataFrame:
+def claims(pages: DataFrame, split: Callable[[Column], Column] = T.sentences) -> DataFrame:
     """Claim rows of pages (doc_id, page_number, text)."""
-    return classified(first_seen(with_reason(features(sentences(pages)))))
+    return classified(first_seen(with_reason(features(sentences(pages, split)))))
 
 
 def drop_counts(reasoned: DataFrame) -> DataFrame:
-    """doc_id, reason, n: how many sentences each document loses to each reason, repeated claims included."""
-    dropped = reasoned.where(F.col("reason").isNotNull()).select("doc_id", "reason")
-    again = repeated(reasoned).select("doc_id", F.lit("duplicate").alias("reason"))
-    return dropped.unionByName(again).groupBy("doc_id", "reason").agg(F.count("*").alias("n"))
+    """doc_id, reason, n: how many sentences each document loses to each reason, repeated claims included.
+
+    One pass: all but the first of a document's claims with the same text are its duplicates.
+    """
+    same = reasoned.groupBy("doc_id", "reason", F.when(F.col("reason").isNull(), F.col("low")).alias("claim")).agg(F.count("*").alias("n"))
+    lost = same.select("doc_id", F.coalesce("reason", F.lit("duplicate")).alias("reason"), F.when(F.col("reason").isNull(), F.col("n") - 1).otherwise(F.col("n")).alias("n"))
+    return lost.where("n > 0").groupBy("doc_id", "reason").agg(F.sum("n").alias("n"))
 
 
 def type_counts(rows: DataFrame) -> DataFrame:

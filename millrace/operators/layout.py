@@ -43,23 +43,26 @@ def contained(a: list[Column], b: list[Column]) -> Column:
     return (a[0] >= b[0] - TOLERANCE) & (a[1] >= b[1] - TOLERANCE) & (a[2] <= b[2] + TOLERANCE) & (a[3] <= b[3] + TOLERANCE)
 
 
-def page_counts(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("doc_id").agg(F.max("page_number").alias("n_pages"))
+def page_counts(pages: DataFrame) -> DataFrame:
+    return pages.groupBy("doc_id").agg(F.max("page_number").alias("n_pages"))
 
 
-def repeated_texts(blocks: DataFrame) -> DataFrame:
-    """(doc_id, header): short margin texts on three tenths of a document's pages, and on two at least."""
+def repeated_texts(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, header): short margin texts on three tenths of a document's pages, and on two at least.
+
+    ``pages`` (doc_id, page_number) lists all pages, as those without a block count too.
+    """
     marginal = blocks.select("doc_id", "page_number", T.clean(F.col("text")).alias("header"), margin_of_block().alias("margin"))
     seen = marginal.where(F.col("margin") & F.length("header").between(1, LONGEST_HEADER)).groupBy("doc_id", "header").agg(F.countDistinct("page_number").alias("on"))
-    n = page_counts(blocks).where(F.col("n_pages") >= LEAST_PAGES)
+    n = page_counts(blocks if pages is None else pages).where(F.col("n_pages") >= LEAST_PAGES)
     return seen.join(n, "doc_id").where(F.col("on") >= F.greatest(F.lit(2), F.floor(F.col("n_pages") * TENTHS / 10))).select("doc_id", "header")
 
 
-def without_headers(blocks: DataFrame) -> DataFrame:
+def without_headers(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Blocks without repeated margin texts and margin page numbers."""
     marked = blocks.withColumns({"header": T.clean(F.col("text")), "margin": margin_of_block()})
     numbered = marked.where(~(F.col("margin") & T.is_page_number(F.col("header"))))
-    gone = repeated_texts(blocks).withColumn("margin", F.lit(True))
+    gone = repeated_texts(blocks, pages).withColumn("margin", F.lit(True))
     return numbered.join(gone, ["doc_id", "header", "margin"], "left_anti").select(*blocks.columns)
 
 

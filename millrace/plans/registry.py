@@ -49,12 +49,20 @@ def tables(spark: SparkSession, d: str) -> DataFrame:
     return derived.layout_tables(spark, d)
 
 
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return derived.layout_pages(spark, d)
+
+
+def headless(spark: SparkSession, d: str) -> DataFrame:
+    return L.without_headers(blocks(spark, d), pages(spark, d))
+
+
 def placed(spark: SparkSession, d: str) -> DataFrame:
-    return C.ordered_items(blocks(spark, d), tables(spark, d))
+    return C.ordered_items(blocks(spark, d), tables(spark, d), pages(spark, d))
 
 
 def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
-    return C.chunks(blocks(spark, d), tables(spark, d))
+    return C.chunks(placed(spark, d))
 
 
 def on_tables(spark: SparkSession, d: str, name: str, test) -> DataFrame:
@@ -88,8 +96,8 @@ def packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_windows(spark: SparkSession, d: str) -> DataFrame:
-    found = derived.table(spark, d, "documents").select("doc_id", COUNTER.tokens(F.col("text")).alias("tk")).where(F.size("tk") > C.MOST)
-    return found.select("doc_id", F.posexplode(C.windows(F.col("tk"))).alias("window_idx", "text"))
+    found = derived.table(spark, d, "documents").where(COUNTER.count(F.col("text")) > C.MOST)
+    return found.select("doc_id", F.posexplode(COUNTER.windows(F.col("text"), C.MOST, C.OVERLAP)).alias("window_idx", "text"))
 
 
 def table_split(spark: SparkSession, d: str) -> DataFrame:
@@ -101,12 +109,36 @@ def table_split(spark: SparkSession, d: str) -> DataFrame:
     return grids.select("id", F.posexplode(C.split_table(F.concat(head, "body"), COUNTER)).alias("piece_idx", "piece")).select("id", "piece_idx", F.col("piece.text").alias("text"))
 
 
+def nested_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Each report nested; its items are made once, for chunks and for warnings."""
+    p = pages(spark, d)
+    items = sinks.kept(placed(spark, d), "items")
+    name = F.concat(F.lit("reports/doc-"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    meta = p.groupBy("doc_id").agg(F.max("page_number").alias("total_pages")).select("doc_id", name.alias("source_pdf"), F.lit("Acme").alias("company"), F.lit(2024).alias("year"), F.lit(None).cast("string").alias("report_type"), "total_pages")
+    return C.reports(C.chunks(items), C.warnings(items, blocks(spark, d), p), meta)
+
+
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of every chunk of the reports, but the time, as it comes back from JSON."""
+    nested, folder = nested_reports(spark, d), sinks.scratch(spark, "reports-json")
+    sinks.write_json(nested, folder)
+    found = sinks.read_json(spark, folder, nested.drop("doc_id").schema).select("report_metadata.*", F.explode("chunks").alias("c"), F.size("extraction_warnings").alias("n_warnings"))
+    return found.select("source_pdf", "company", "year", "report_type", "total_pages", "n_warnings", *[f"c.{x}" for x in ("chunk_id", "page_number", "content_type", "text", "token_count", "heading_context")], *[F.col("c.bbox")[k].alias(x) for k, x in enumerate(BOX)])
+
+
+def warnings(spark: SparkSession, d: str) -> DataFrame:
+    return C.warnings(sinks.kept(placed(spark, d), "items"), blocks(spark, d), pages(spark, d))
+
+
+def risks(spark: SparkSession, d: str) -> DataFrame:
+    low, quantity = F.col("low"), F.col("quantity")
+    typed = feats(spark, d).select(*SENT, K.claim_type(low, quantity).alias("Claim_Type"), K.evidence(low, quantity).alias("Evidence_Exists"))
+    return K.with_risk(typed).select(*SENT, "Risk_Signal")
+
+
 def reports(spark: SparkSession, d: str) -> DataFrame:
-    """Each report nested, and an outline of what is in it."""
-    b, t = blocks(spark, d), tables(spark, d)
-    rows = C.chunks(b, t)
-    meta = rows.groupBy("doc_id").agg(F.max("page_number").alias("total_pages")).select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_pdf"), F.lit(None).cast("string").alias("company"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("report_type"), "total_pages")
-    nested = C.reports(rows, C.warnings(b, t), meta)
+    """An outline of each nested report."""
+    nested = nested_reports(spark, d)
     outline = F.array_join(F.transform("chunks", lambda c: F.concat_ws(":", c["chunk_id"], c["content_type"])), ",")
     return nested.select("doc_id", F.size("chunks").alias("n_chunks"), outline.alias("outline"), F.col("report_metadata.total_pages").alias("total_pages"))
 
@@ -158,7 +190,7 @@ def queries() -> dict[str, Query]:
         "o01_first_seen": lambda s, d: K.first_seen(reasoned(s, d)).select(*SENT, "low"),
         "c01_claim_type": of_sentences(Claim_Type=lambda: K.claim_type(low("low"), quantity())),
         "c02_evidence": of_sentences(Evidence_Exists=lambda: K.evidence(low("low"), quantity())),
-        "c03_risk": lambda s, d: K.with_risk(K.risk_table(s).drop("Risk_Signal")),
+        "c03_risk": risks,
         "c04_esg_type": of_sentences(ESG_Type=lambda: K.esg_type(low("low"))),
         "a01_drop_counts": lambda s, d: K.drop_counts(reasoned(s, d)),
         "a02_type_counts": lambda s, d: K.type_counts(claims(s, d)),
@@ -176,10 +208,10 @@ def queries() -> dict[str, Query]:
         "p18_contained": lambda s, d: on_tables(s, d, "inside", L.contained),
         "p19_markdown": lambda s, d: tables(s, d).select("doc_id", C.markdown(F.col("data")).alias("markdown")),
         "a03_block_fonts": lambda s, d: L.block_fonts(derived.spans(s, d)),
-        "a04_page_fonts": lambda s, d: L.page_fonts(L.without_headers(blocks(s, d))),
-        "a05_repeated_texts": lambda s, d: L.repeated_texts(blocks(s, d)),
-        "j01_uncovered": lambda s, d: L.uncovered(L.without_headers(blocks(s, d)), tables(s, d)).select(*BLOCK),
-        "j02_without_headers": lambda s, d: L.without_headers(blocks(s, d)).select(*BLOCK),
+        "a04_page_fonts": lambda s, d: L.page_fonts(headless(s, d)),
+        "a05_repeated_texts": lambda s, d: L.repeated_texts(blocks(s, d), pages(s, d)),
+        "j01_uncovered": lambda s, d: L.uncovered(headless(s, d), tables(s, d)).select(*BLOCK),
+        "j02_without_headers": lambda s, d: headless(s, d).select(*BLOCK),
         "j03_page_numbers": page_numbers,
         "j05_tables_of_pages": tables_of_pages,
         "o04_reading_order": lambda s, d: placed(s, d).select("doc_id", "page_number", "kind", "src_idx", F.row_number().over(L.in_order()).alias("place")),
@@ -192,6 +224,8 @@ def queries() -> dict[str, Query]:
         "o03_numbering": lambda s, d: chunk_rows(s, d).select("doc_id", "page_number", "kind", "src_idx", "number"),
         "a07_totals": lambda s, d: chunk_rows(s, d).groupBy("doc_id", "content_type").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens")),
         "a08_reports": reports,
+        "a08_warnings": warnings,
+        "s09_json_round_trip": json_round_trip,
         "a09_precision": lambda s, d: evaluate.precision(evaluate.judgements(s, d), "lang"),
         "a09_error_kinds": lambda s, d: evaluate.error_kinds(evaluate.judgements(s, d), "source"),
         "a09_pivot": lambda s, d: evaluate.pivoted(evaluate.judgements(s, d), "source", "lang", ["de", "en", "es", "fr"]),

@@ -17,6 +17,7 @@ CAPTION = rf"(?i)^{WS}*(Figure|Table|Chart|Exhibit){WS}+\d"
 LIST_ITEM = rf"^{WS}*(?:[-•·●▪◦*]|\d+[.)]|[a-zA-Z][.)]){WS}+"
 PAGE_NUMBER = rf"^{WS}*(?:[-–—]{WS}*)?\d{{1,4}}(?:{WS}*[-–—])?{WS}*$"
 TOKEN = r"[a-z0-9_]+|[^a-z0-9_\s]"
+PIECE = r"(?:[a-zA-Z0-9_]+|[^a-zA-Z0-9_\s])\s*"
 
 
 def q(text: str) -> str:
@@ -103,7 +104,7 @@ TABLES = f"""grids AS (
   FROM documents d LEFT JOIN grids g USING (doc_id) WHERE d.doc_id % 3 <> 2
 )"""
 MARGIN = "(y1 < page_height * 0.12::DOUBLE OR y0 > page_height * 0.88::DOUBLE)"
-HEADERS = f"""{BLOCKS}, marked AS (SELECT *, {clean("text")} AS header, page_height > 0 AND {MARGIN} AS margin FROM blocks), n AS (SELECT doc_id, max(page_number) AS n_pages FROM blocks GROUP BY 1), repeated AS (
+HEADERS = f"""{BLOCKS}, marked AS (SELECT *, {clean("text")} AS header, page_height > 0 AND {MARGIN} AS margin FROM blocks), n AS (SELECT doc_id, max(page_number) + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS n_pages FROM blocks GROUP BY 1), repeated AS (
   SELECT doc_id, header FROM (SELECT doc_id, header, count(DISTINCT page_number) AS shown FROM marked WHERE margin AND length(header) BETWEEN 1 AND 80 GROUP BY 1, 2) JOIN n USING (doc_id) WHERE n_pages >= 4 AND shown >= greatest(2, n_pages * 3 // 10)
 ), headless AS (
   SELECT * FROM marked m WHERE NOT (margin AND regexp_matches(header, '{PAGE_NUMBER}')) AND NOT (margin AND EXISTS (SELECT 1 FROM repeated r WHERE r.doc_id = m.doc_id AND r.header = m.header))
@@ -148,8 +149,8 @@ def packing(key: str) -> str:
   SELECT {key}, c, min(k) AS first_k, string_agg(s, ' ' ORDER BY k) AS text, max(st) AS most FROM walk JOIN numbered_sents USING ({key}, k) GROUP BY ALL
 ), packed AS (
   SELECT {key}, first_k, 0 AS w, text FROM grouped WHERE most <= 480
-  UNION ALL SELECT {key}, first_k, w, array_to_string(tk[w * 430 + 1 : w * 430 + 480], ' ') FROM (
-    SELECT {key}, first_k, tk, unnest(range(0, CAST(greatest(0, ceil((len(tk) - 480) / 430.0)) AS BIGINT) + 1)) AS w FROM (SELECT *, regexp_extract_all(lower(text), '{TOKEN}') AS tk FROM grouped WHERE most > 480))
+  UNION ALL SELECT {key}, first_k, w, {stripped("array_to_string(tk[w * 430 + 1 : w * 430 + 480], '')")} FROM (
+    SELECT {key}, first_k, tk, unnest(range(0, CAST(greatest(0, ceil((len(tk) - 480) / 430.0)) AS BIGINT) + 1)) AS w FROM (SELECT *, regexp_extract_all(text, '{PIECE}') AS tk FROM grouped WHERE most > 480))
 )"""
 
 
@@ -164,6 +165,10 @@ CHUNKS = f"""{ITEMS}, big AS (SELECT * FROM placed WHERE kind = 0), {numbered_se
   UNION ALL SELECT doc_id, page_number, y, kind, src_idx, first_k, w, text, content_type, heading_context, x0, y0, x1, y1 FROM packed JOIN big USING ({KEY})
   UNION ALL SELECT doc_id, page_number, y, kind, src_idx, 0, 0, {markdown("data")}, content_type, heading_context, x0, y0, x1, y1 FROM placed WHERE kind = 1
 ), chunks AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {ORDER}, first_k, w) AS INTEGER) AS number FROM parts)"""
+TOLD = f"""told AS (
+  SELECT doc_id, 'extraction' AS phase, n_pages AS page_number, 0 AS seq, 0 AS sub, CASE WHEN doc_id % 8 = 0 THEN 'extraction error: no such font' ELSE 'text extraction returned empty' END AS message FROM n WHERE doc_id % 4 = 0
+  UNION ALL SELECT doc_id, 'chunking', page_number, place, k, 'sentence exceeded 480 tokens (' || CAST(st AS VARCHAR) || '); split on tokens with 50-token overlap' FROM numbered_sents JOIN (SELECT doc_id, page_number, kind, src_idx, row_number() OVER (PARTITION BY doc_id ORDER BY {ORDER}) AS place FROM placed) USING ({KEY}) WHERE st > 480 AND kind = 0
+), warned AS (SELECT doc_id, phase, page_number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY phase <> 'extraction', page_number, seq, sub) AS INTEGER) AS seq, 'page ' || CAST(page_number AS VARCHAR) || ': ' || message AS message FROM told)"""
 CHUNK_ID = "'chunk_' || CASE WHEN number < 10000 THEN lpad(CAST(number AS VARCHAR), 4, '0') ELSE CAST(number AS VARCHAR) END"
 SENT_KEYS = "doc_id, page_number, sent_idx"
 
@@ -190,7 +195,7 @@ def queries() -> dict[str, str]:
         "o01_first_seen": f"WITH {SEEN} SELECT {SENT_KEYS}, low FROM numbered WHERE seen = 1",
         "c01_claim_type": f"WITH {FEATS} SELECT {SENT_KEYS}, {CLAIM_TYPE} AS Claim_Type FROM feats",
         "c02_evidence": f"WITH {FEATS} SELECT {SENT_KEYS}, {EVIDENCE} AS Evidence_Exists FROM feats",
-        "c03_risk": f"WITH {RISKS} SELECT ct AS Claim_Type, ev AS Evidence_Exists, risk AS Risk_Signal FROM risks",
+        "c03_risk": f"WITH {FEATS}, {RISKS} SELECT {SENT_KEYS}, coalesce(risk, '') AS Risk_Signal FROM (SELECT {SENT_KEYS}, {CLAIM_TYPE} AS t, {EVIDENCE} AS e FROM feats) LEFT JOIN risks ON ct = t AND ev = e",
         "c04_esg_type": f"WITH {FEATS} SELECT {SENT_KEYS}, ESG_Type FROM {TYPED % 'feats'}",
         "a01_drop_counts": f"WITH {SEEN} SELECT doc_id, reason, count(*) AS n FROM (SELECT doc_id, reason FROM reasoned WHERE reason IS NOT NULL UNION ALL SELECT doc_id, 'duplicate' FROM numbered WHERE seen > 1) GROUP BY ALL",
         "a02_type_counts": f"WITH {CLAIMS} SELECT Company, Claim_Type, count(*) AS n FROM claims GROUP BY ALL",
@@ -218,7 +223,7 @@ def queries() -> dict[str, str]:
         "c05_block_type": f"WITH {ITEMS} SELECT {KEY}, content_type FROM placed WHERE kind = 0",
         "o02_heading_context": f"WITH {ITEMS} SELECT {KEY}, kind, heading_context FROM placed",
         "g03_packing": f"WITH RECURSIVE whole AS (SELECT doc_id, {clean('text')} AS text FROM documents), {numbered_sents('whole', 'doc_id', 'text')}, {packing('doc_id')} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_k, w) - 1 AS INTEGER) AS piece_idx, text FROM (SELECT * FROM packed UNION ALL SELECT doc_id, 0, 0, text FROM whole WHERE {tokens('text')} <= 480 AND text <> '')",
-        "g04_windows": f"SELECT doc_id, CAST(w AS INTEGER) AS window_idx, array_to_string(tk[w * 430 + 1 : w * 430 + 480], ' ') AS text FROM (SELECT doc_id, tk, unnest(range(0, CAST(greatest(0, ceil((len(tk) - 480) / 430.0)) AS BIGINT) + 1)) AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN}') AS tk FROM documents) WHERE len(tk) > 480)",
+        "g04_windows": f"SELECT doc_id, CAST(w AS INTEGER) AS window_idx, {stripped("array_to_string(tk[w * 430 + 1 : w * 430 + 480], '')")} AS text FROM (SELECT doc_id, tk, unnest(range(0, CAST(greatest(0, ceil((len(tk) - 480) / 430.0)) AS BIGINT) + 1)) AS w FROM (SELECT doc_id, regexp_extract_all(text, '{PIECE}') AS tk FROM documents WHERE {tokens('text')} > 480))",
         "g05_table_split": f"""WITH RECURSIVE rows AS (SELECT l_suppkey AS id, {CELLS} AS cells, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, {CELLS}) AS k FROM lineitem),
   told AS (SELECT *, '| ' || array_to_string(cells, ' | ') || ' |' AS line FROM rows), sized AS (SELECT *, {tokens("line")} AS n FROM told),
   head AS (SELECT '| ' || array_to_string({HEAD}, ' | ') || ' |' || chr(10) || '| ' || array_to_string(['---', '---', '---', '---', '---', '---', '---'], ' | ') || ' |' AS top),
@@ -229,7 +234,9 @@ def queries() -> dict[str, str]:
         "chunks": f"WITH RECURSIVE {CHUNKS} SELECT doc_id, number, {CHUNK_ID} AS chunk_id, page_number, content_type, text, {tokens('text')} AS token_count, x0, y0, x1, y1, heading_context FROM chunks",
         "o03_numbering": f"WITH RECURSIVE {CHUNKS} SELECT doc_id, page_number, kind, src_idx, number FROM chunks",
         "a07_totals": f"WITH RECURSIVE {CHUNKS} SELECT doc_id, content_type, count(*) AS chunks, sum({tokens('text')})::BIGINT AS tokens FROM chunks GROUP BY ALL",
-        "a08_reports": f"WITH RECURSIVE {CHUNKS} SELECT doc_id, CAST(count(*) AS INTEGER) AS n_chunks, string_agg({CHUNK_ID} || ':' || content_type, ',' ORDER BY number) AS outline, max(page_number) AS total_pages FROM chunks GROUP BY doc_id",
+        "a08_reports": f"WITH RECURSIVE {CHUNKS} SELECT doc_id, CAST(coalesce(n_chunks, 0) AS INTEGER) AS n_chunks, coalesce(outline, '') AS outline, n_pages AS total_pages FROM n LEFT JOIN (SELECT doc_id, count(*) AS n_chunks, string_agg({CHUNK_ID} || ':' || content_type, ',' ORDER BY number) AS outline FROM chunks GROUP BY doc_id) USING (doc_id)",
+        "a08_warnings": f"WITH RECURSIVE {CHUNKS}, {TOLD} SELECT * FROM warned",
+        "s09_json_round_trip": f"WITH RECURSIVE {CHUNKS}, {TOLD} SELECT 'reports/doc-' || CAST(doc_id AS VARCHAR) || '.pdf' AS source_pdf, 'Acme' AS company, 2024 AS year, CAST(NULL AS VARCHAR) AS report_type, n_pages AS total_pages, CAST(coalesce(n_warnings, 0) AS INTEGER) AS n_warnings, {CHUNK_ID} AS chunk_id, page_number, content_type, text, {tokens('text')} AS token_count, heading_context, x0, y0, x1, y1 FROM chunks JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_warnings FROM warned GROUP BY 1) USING (doc_id)",
         "a09_precision": "SELECT d.lang, count(*) AS judged, avg(CAST(quality AS DOUBLE)) AS precision FROM labels l JOIN documents d USING (doc_id) GROUP BY d.lang",
         "a09_error_kinds": "SELECT d.source, sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END)::BIGINT AS rejected, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END)::BIGINT AS abusive, count(*) AS judged FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source",
         "a09_pivot": "SELECT d.source, " + ", ".join(f"count(*) FILTER (WHERE d.lang = '{x}') AS {x}" for x in ("de", "en", "es", "fr")) + " FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 1 GROUP BY d.source",

@@ -62,20 +62,31 @@ def parse_pdf(raw: bytes) -> Parsed:
 
 
 def parse_tables(raw: bytes) -> list[tuple]:
-    """(page, grid, box or None) of the tables that can be found; none where the library is missing or fails."""
+    """(page, grid, box or None) of the tables that can be found; none where the library is missing or fails.
+
+    A page or a table that can't be read doesn't end the search.
+    """
     out: list[tuple] = []
     try:
         import pdfplumber
 
         with pdfplumber.open(io.BytesIO(raw)) as pdf:
-            for k, page in enumerate(pdf.pages):
-                for found in page.find_tables():
-                    out.append((k + 1, found.extract(), tuple(found.bbox) if getattr(found, "bbox", None) else None))
+            for k, page in enumerate(pdf.pages, 1):
+                for found in _or_nothing(page.find_tables):
+                    if grid := _or_nothing(found.extract):
+                        out.append((k, grid, tuple(found.bbox) if getattr(found, "bbox", None) else None))
     except Exception:  # tables are an extra; the text is read without them
         return out
     return out
 
 
+def _or_nothing(read: Callable[[], list]) -> list:
+    try:
+        return read() or []
+    except Exception:
+        return []
+
+
 class ReportSource(DataSource):
     """``spark.read.format("report").option("part", "pages" | "spans" | "tables").load(folder)`` after ``register``."""
 

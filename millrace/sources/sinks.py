@@ -12,11 +12,23 @@ TSV = {"sep": "\t", "header": True, "escape": '"', "emptyValue": "", "ignoreLead
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
+    """A fresh path in the folder that driver and executors share; on one machine a local one where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the scratch folder and read back, for what is used more than once and costly to make."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def output_name(name: Column) -> Column:
     """The name with a table's ending, in place of another table or text ending."""
     return F.concat(F.regexp_replace(name, r"(?i)\.(tsv|csv|txt)$", ""), F.lit(".tsv"))
@@ -27,16 +39,20 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
 
-def page_dump() -> Column:
-    """A page's marker line, its text without trailing white space, and an empty line after it."""
+def page_dump(document: Column | None = None) -> Column:
+    """A page's marker line, with the document's name if given, its text without trailing white space, and an empty line."""
     body = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)[\s\x1c-\x1f]+$", "")
-    return F.concat(F.lit("========== PAGE "), F.col("page_number").cast("string"), F.lit(" ==========\n"), body, F.lit("\n"))
+    name = F.lit("") if document is None else F.concat(document.cast("string"), F.lit(" "))
+    return F.concat(F.lit("========== "), name, F.lit("PAGE "), F.col("page_number").cast("string"), F.lit(" ==========\n"), body, F.lit("\n"))
 
 
-def write_page_text(pages: DataFrame, folder: str) -> None:
-    """One folder for each document, its pages in order."""
-    marked = pages.withColumn("value", page_dump()).repartition("doc_id").sortWithinPartitions("doc_id", "page_number")
-    marked.select("doc_id", "value").write.partitionBy("doc_id").text(folder)
+def write_page_text(pages: DataFrame, folder: str, folders: bool = False) -> None:
+    """Pages in order, in a few large files whose markers name the document; or in one folder for each document."""
+    ordered = pages.repartition("doc_id").sortWithinPartitions("doc_id", "page_number")
+    if folders:
+        ordered.select("doc_id", page_dump().alias("value")).write.partitionBy("doc_id").text(folder)
+    else:
+        ordered.select(page_dump(F.col("doc_id")).alias("value")).write.text(folder)
 
 
 def write_tsv(rows: DataFrame, folder: str) -> None:
@@ -50,6 +66,11 @@ def read_tsv(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return found.select(*[F.coalesce(c, F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in found.dtypes])
 
 
+def read_json(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """What ``write_json`` wrote."""
+    return spark.read.schema(schema).json(folder)
+
+
 def write_json(reports: DataFrame, folder: str) -> None:
     """A JSON object for each report, null fields kept, one to a line."""
     body = [c for c in reports.columns if c != "doc_id"]

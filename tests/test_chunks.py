@@ -23,10 +23,16 @@ def words(n, end="."):
 
 @pytest.mark.parametrize(("n", "count"), [(480, 1), (481, 2), (910, 2), (911, 3)])
 def test_windows(spark, n, count):
-    got = value(spark, C.windows(F.split(F.lit(" ".join(map(str, range(n)))), " ")))
+    got = value(spark, COUNTER.windows(F.lit(" ".join(map(str, range(n)))), 480, 50))
     assert len(got) == count and got[-1].endswith(str(n - 1)) and all(len(x.split()) <= 480 for x in got)
 
 
+def test_windows_keep_the_text(spark):
+    text = "First Words, with  CAPITALS (and signs) " * 90
+    got = value(spark, COUNTER.windows(F.lit(text), 480, 50))
+    assert len(got) == 2 and all(x in text and x == x.strip() for x in got) and got[0].startswith("First Words, with  CAPITALS (and")
+
+
 def test_packing(spark):
     def packed(text):
         return value(spark, C.packed(F.lit(text), COUNTER))
@@ -107,6 +113,13 @@ def test_headers_need_four_pages_and_eighty_characters(spark, pages, length, kep
     assert got == kept
 
 
+def test_pages_without_a_block_count_for_headers(spark):
+    rows = [page(k, "running head") for k in range(1, 4)] + [page(k, "body text", 300.0, idx=1) for k in range(1, 4)]
+    blocks, pages = spark.createDataFrame(rows, BLOCK), spark.createDataFrame([(1, k) for k in range(1, 5)], "doc_id long, page_number int")
+    assert L.without_headers(blocks).where("src_idx = 0").count() == 3
+    assert L.without_headers(blocks, pages).where("src_idx = 0").count() == 0
+
+
 def test_page_numbers_go_from_short_documents_too(spark):
     rows = [page(1, "- 12 -"), page(1, "12", 300.0, idx=1), page(1, "12345", idx=2)]
     assert {r.src_idx for r in L.without_headers(spark.createDataFrame(rows, BLOCK)).collect()} == {1, 2}
@@ -123,17 +136,18 @@ def test_block_types(spark, text, font, expected):
 def test_headings_carry_over_pages_and_tables_follow_blocks(spark):
     blocks = [page(1, "Top", 100.0, font=20.0), page(1, "one", 200.0, idx=1), page(1, "two", 300.0, idx=2), page(2, "three", 100.0), page(2, "four", 150.0, idx=1)]
     tables = [(1, 2, 0, [["a"], ["b"]], 0.0, 100.0, 1.0, 101.0), (1, 1, 0, [["c"]], None, None, None, None)]
-    got = C.chunks(spark.createDataFrame(blocks, BLOCK), spark.createDataFrame(tables, TABLE)).orderBy("number").collect()
+    got = C.chunks(C.ordered_items(spark.createDataFrame(blocks, BLOCK), spark.createDataFrame(tables, TABLE))).orderBy("number").collect()
     assert [(r.content_type, r.heading_context) for r in got] == [("table", None), ("heading", None), ("paragraph", "Top"), ("paragraph", "Top"), ("paragraph", "Top"), ("table", "Top"), ("paragraph", "Top")]
     assert [r.chunk_id for r in got] == [f"chunk_{k:04d}" for k in range(1, 8)] and got[0].bbox is None
 
 
 def test_chunks_properties(spark):
     b, t = (f(spark, "/root/testdata/sf0.001") for f in (derived.layout_blocks, derived.layout_tables))
-    rows = C.chunks(b, t).cache()
+    items = C.ordered_items(b, t).cache()
+    rows = C.chunks(items).cache()
     gaps = rows.groupBy("doc_id").agg(F.max("number").alias("m"), F.count("*").alias("n")).where("m <> n")
     assert gaps.isEmpty() and rows.where("token_count > 480 and not oversize").isEmpty()
-    warned = C.warnings(b, t)
+    warned = C.warnings(items, b)
     assert warned.where("message not like 'page %: sentence exceeded 480 tokens (%'").isEmpty()
 
 
@@ -142,7 +156,7 @@ def test_warnings_of_pages_and_rows(spark):
     grid = [["h"], ["a"], ["w " * 600], ["b"]]
     tables = spark.createDataFrame([(1, 2, 0, grid, None, None, None, None)], TABLE)
     pages = spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 3, "bad")], "doc_id long, page_number int, error string")
-    got = [r.message for r in C.warnings(blocks, tables, pages).orderBy("seq").collect()]
+    got = [r.message for r in C.warnings(C.ordered_items(blocks, tables, pages), blocks, pages).orderBy("seq").collect()]
     assert got == ["page 1: text extraction returned empty", "page 3: extraction error: bad", "page 2: table row exceeded 480 tokens after header; kept as single oversized chunk"]
 
 
@@ -153,4 +167,4 @@ def test_scanned(spark):
 
 
 def test_empty_layouts(spark):
-    assert C.chunks(spark.createDataFrame([], BLOCK), spark.createDataFrame([], TABLE)).count() == 0
+    assert C.chunks(C.ordered_items(spark.createDataFrame([], BLOCK), spark.createDataFrame([], TABLE))).count() == 0
