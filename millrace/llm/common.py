@@ -14,9 +14,11 @@ _MASK = (1 << 63) - 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; our own only where that is unset, as in tests."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; on one machine our own where that is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -132,6 +134,34 @@ def shingles(ids: np.ndarray, size: int = 5) -> np.ndarray:
     return mix(out, k)
 
 
+def as_items(rows: np.ndarray) -> np.ndarray:
+    """A view of a matrix whose rows are single items, which numpy puts in place faster than rows."""
+    return rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel()
+
+
+def run_sums(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of rows[order] over the runs that begin at ``first``: each turn adds up pairs of all runs not done."""
+    length = np.diff(first, append=len(order))
+    out = np.empty((len(first), rows.shape[1]), rows.dtype)
+    put = as_items(out)
+    one = np.flatnonzero(length == 1)
+    put[one] = as_items(rows.take(order[first[one]], axis=0, mode="clip"))
+    run = np.flatnonzero(length > 1)
+    length, start, at = length[run], first[run], order
+    while len(run):
+        pairs = length // 2
+        begin = np.cumsum(pairs) - pairs
+        left = np.repeat(start - 2 * begin, pairs) + 2 * np.arange(int(pairs.sum()))
+        half = rows.take(at[left], axis=0, mode="clip")
+        half += rows.take(at[left + 1], axis=0, mode="clip")
+        odd = np.flatnonzero(length % 2)
+        as_items(half)[begin[odd]] = as_items(half.take(begin[odd], axis=0, mode="clip") + rows.take(at[start[odd] + length[odd] - 1], axis=0, mode="clip"))
+        done, more = np.flatnonzero(pairs == 1), np.flatnonzero(pairs > 1)
+        put[run[done]] = as_items(half.take(begin[done], axis=0, mode="clip"))
+        rows, at, run, length, start = half, np.arange(len(half)), run[more], pairs[more], begin[more]
+    return out
+
+
 def limit_threads() -> None:
     """One native thread for each task: Spark owns the cores."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -2,48 +2,60 @@
 
 The test items are the indexed documents (long ones in segments); a term's impact on an item is its BM25 weight
 divided by the item's own total, so a score is the share of an item's weight that a passage covers. Every passage of
-every text is a query, and all items scoring at least ``threshold`` are retrieved by block-max WAND: a passage whose
-terms' largest impacts don't add up to the threshold is skipped, then blocks of items whose block maxima don't,
-and only the blocks left are scored in full. Texts are evaluated in batches of passages, which changes the order of
-the skipping tests but not their outcome: they are upper bounds, so no item above the threshold is missed.
+every text is a query, and all items scoring at least ``threshold`` are retrieved by block-max WAND: cursors stand in
+the posting lists of a passage's terms; in the order of their items, the cursor at which the terms' largest impacts
+add up to the threshold gives the pivot; where the block maxima at the pivot don't reach the threshold all cursors up
+to it skip the block, else the pivot is scored or the cursors before it move up to it. Many passages take these steps
+side by side, each with cursors of its own; one whose terms' maxima reach the threshold in none of ``COARSE`` larger
+blocks takes none.
 
 A retrieved item is verified on whole five-word shingles of the passage's surroundings: shares of its question's and
 of its answer's shingles found there. It is a leak if the item as a whole reaches ``similar`` and either part
 ``least_part``. Without separate columns, an item's last third of words counts as its answer. A part of under five
 words is a run of its own length, looked for in the passage and as many words around it as the item has.
 
-Passages overlap by half, so an item of up to half a passage lies whole in one. The index goes to every task; a
-benchmark too large for that (``index_bytes`` of text) is taken in parts of that size, each over all passages.
+Passages overlap by half, so an item of up to half a passage lies whole in one. Document frequencies and the mean
+length are those of the whole benchmark. Its index is built by tasks and kept in the shared folder in parts of
+``index_bytes`` of text; a task holds one part and some texts at a time and reads the corpus once, however many parts
+there are, and the parts don't change the result.
 
 Defined cases: null and empty texts and items have no words and match nothing; parts of under five words are one
-run; repeated documents each get their rows, an item that repeats an item_id counts by its own text.
+run; repeated documents each get their rows; equal rows of a benchmark count once, others that repeat an item_id count
+by their own text; ids are longs.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import Memo, as_ids, shingles, table
+from millrace.llm.common import Memo, as_ids, filesystem, new_folder, run_sums, shingles, split_words, table, text_slices, word_hash, written
 
 PASSAGE = 64
-BLOCK = 8  # items
+BLOCK, COARSE = 8, 32  # items of a block; parts of an index in the first look at a passage
 K1, B = 1.2, 0.75
 SHINGLE = 5
+SLICE = 1 << 22  # bytes of text searched together
+TOGETHER, CURSORS = 1 << 11, 1 << 14  # passages looked at together, cursors moved side by side
 HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, leak boolean"
 
 
 @dataclass
 class Index:
-    terms: dict[str, int]  # from 1; 0 is any other word
+    words: np.ndarray  # hashes of the terms, ascending
     tops: np.ndarray  # largest impact of each term
-    blocks: np.ndarray  # terms x blocks, largest impact in the block
     starts: np.ndarray  # postings of a term: starts[t] to starts[t + 1]
-    items: np.ndarray  # posting lists, ascending items
+    postings: np.ndarray  # term * segments + segment, ascending
     impacts: np.ndarray
+    cells: np.ndarray  # term * blocks + block where the term occurs, ascending
+    maxima: np.ndarray  # largest impact there
+    coarse: np.ndarray  # terms x up to COARSE equal parts of the items, largest impact there
     owner: np.ndarray  # the test item of each indexed segment
     ids: list  # item_id of each test item
     questions: list[np.ndarray]  # shingles of each test item's parts
@@ -57,83 +69,157 @@ def normal(word: str) -> str:
     return word.lower().strip(".,;:!?\"'()[]{}*#%$&|")
 
 
-def build(items: list[tuple[int, str, str]], segment: int = PASSAGE) -> Index | None:
-    """The index of (item_id, question, answer) rows; None without a word."""
-    ids, parts = [], []
-    for item_id, question, answer in items:
-        q, a = ([w for w in map(normal, (x or "").split()) if w] for x in (question, answer))
-        if q or a:
-            ids.append(item_id)
-            parts.append((q, a))
-    if not ids:
-        return None
-    terms: dict[str, int] = {}
-    for q, a in parts:
-        for w in q + a:
-            terms.setdefault(w, len(terms) + 1)
-    segments, owner = [], []
-    for i, (q, a) in enumerate(parts):
-        words = np.array([terms[w] for w in q + a])
-        for at in range(0, len(words), segment):
-            segments.append(np.unique(words[at : at + segment], return_counts=True))
+def term_of(word: str) -> int:
+    """The hash of a word's term, -1 for bare punctuation."""
+    word = normal(word)
+    return word_hash(word) if word else -1
+
+
+_TERMS = Memo(term_of)  # a worker's; it goes from task to task
+
+
+def ascending(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting."""
+    values = np.sort(values)
+    return values[np.diff(values, prepend=-1) != 0]
+
+
+def terms_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of distinct terms, term of each word, words of each text) of an Arrow string array."""
+    words, places, sizes = split_words(texts)
+    hashes, to = np.unique(as_ids(_TERMS, words), return_inverse=True)
+    _TERMS.trim()
+    places = to[places]
+    if len(hashes) and hashes[0] < 0:
+        kept = places > 0
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
+        hashes, places = hashes[1:], places[kept] - 1
+    return hashes, places, sizes
+
+
+def build(items: list[tuple[int, np.ndarray, np.ndarray]], terms: np.ndarray, df: np.ndarray, segments: int, mean: float) -> Index:
+    """The index of (item_id, question's terms, answer's terms) rows, whose distinct terms have these frequencies among all segments."""
+    parts, owner = [], []
+    for i, (_, q, a) in enumerate(items):
+        words = np.searchsorted(terms, np.concatenate([q, a]))
+        for at in range(0, len(words), PASSAGE):
+            parts.append(np.unique(words[at : at + PASSAGE], return_counts=True))
             owner.append(i)
-    n, v = len(segments), len(terms) + 1
-    length = np.array([c.sum() for _, c in segments])
-    df = np.bincount(np.concatenate([t for t, _ in segments]), minlength=v)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    term = np.concatenate([t for t, _ in segments])
-    item = np.repeat(np.arange(n), [len(t) for t, _ in segments])
-    tf = np.concatenate([c for _, c in segments])
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / length.mean()))
+    n, blocks = len(parts), -(-len(parts) // BLOCK)
+    length = np.array([c.sum() for _, c in parts])
+    idf = np.log1p((segments - df + 0.5) / (df + 0.5))
+    term, tf = (np.concatenate(x) for x in zip(*parts, strict=True))
+    item = np.repeat(np.arange(n), [len(t) for t, _ in parts])
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / mean))
     impact = weight / np.bincount(item, weights=weight, minlength=n)[item]
     order = np.lexsort((item, term))
     term, item, impact = term[order], item[order], impact[order]
-    blocks = np.zeros((v, (n + BLOCK - 1) // BLOCK), np.float32)
-    np.maximum.at(blocks, (term, item // BLOCK), np.nextafter(impact.astype(np.float32), np.float32(9)))
-    own = [np.array([terms[w] for w in q + a], np.int64) for q, a in parts]
-    cut = [len(q) for q, _ in parts]
+    cells, first = np.unique(term * blocks + item // BLOCK, return_index=True)
+    starts = np.searchsorted(term, np.arange(len(terms) + 1))
+    coarse = np.zeros((len(terms), min(COARSE, blocks)), np.float32)
+    np.maximum.at(coarse, (term, item // BLOCK * coarse.shape[1] // blocks), np.nextafter(impact.astype(np.float32), np.float32(9)))
     return Index(
-        terms, blocks.max(1), blocks, np.searchsorted(term, np.arange(v + 1)), item, impact, np.array(owner), ids,
-        [np.unique(shingles(w[:c], SHINGLE)) for w, c in zip(own, cut, strict=True)], [np.unique(shingles(w[c:], SHINGLE)) for w, c in zip(own, cut, strict=True)],
-        [(min(SHINGLE, c), min(SHINGLE, len(w) - c), len(w)) for w, c in zip(own, cut, strict=True)], max(map(len, own)),
+        terms, np.maximum.reduceat(impact, starts[:-1]), starts, term * n + item, impact, cells, np.maximum.reduceat(impact, first), coarse, np.array(owner), [i for i, _, _ in items],
+        [np.unique(shingles(q, SHINGLE)) for _, q, _ in items], [np.unique(shingles(a, SHINGLE)) for _, _, a in items],
+        [(min(SHINGLE, len(q)), min(SHINGLE, len(a)), len(q) + len(a)) for _, q, a in items], max(len(q) + len(a) for _, q, a in items),
     )
 
 
-def scores(index: Index, terms: np.ndarray) -> np.ndarray:
-    """Full scores of all indexed segments for a passage's distinct terms."""
-    spans = [slice(index.starts[t], index.starts[t + 1]) for t in terms if t]
-    if not spans:
-        return np.zeros(len(index.owner))
-    return np.bincount(np.concatenate([index.items[s] for s in spans]), weights=np.concatenate([index.impacts[s] for s in spans]), minlength=len(index.owner))
-
-
-def retrieved(index: Index, words: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """(first word of the passage, segment, score) of everything at or above the threshold in one text."""
-    half = PASSAGE // 2
-    starts = np.arange(0, len(words), half)
-    # Pivot test: a term seen twice counts twice in these sums, so they stay upper bounds.
-    top = np.add.reduceat(index.tops[words], starts)
-    top[:-1] += top[1:].copy()
-    able = np.flatnonzero(top >= threshold)
+def wand(index: Index, terms: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, segment, score) of everything at or above the threshold; a row of ``terms`` has a passage's distinct terms, filled with -1."""
+    n = len(index.owner)
+    blocks, last = -(-n // BLOCK), len(index.postings) - 1
+    rows, used = np.arange(len(terms)), terms >= 0
+    at = index.starts[np.maximum(terms, 0)]
+    item = np.where(used, index.postings[at] - terms * n, n)  # n: the list has come to its end
+    top = np.where(used, index.tops[np.maximum(terms, 0)], 0.0)
+    slack = threshold * (1 - 1e-9)  # sums in another order may be a little smaller
     out = []
-    if not len(able):
-        return out
-    lists = [np.unique(words[s : s + PASSAGE]) for s in starts[able]]
-    bound = np.add.reduceat(index.blocks[np.concatenate(lists)], np.cumsum([0, *map(len, lists)])[:-1], axis=0)
-    for k in np.flatnonzero((bound >= threshold).any(1)):
-        full = scores(index, lists[k])
-        for b in np.flatnonzero(bound[k] >= threshold):
-            for i in range(b * BLOCK, min(len(full), (b + 1) * BLOCK)):
-                if full[i] >= threshold:
-                    out.append((int(starts[able[k]]), i, float(full[i])))
-    return out
-
-
-def leaks(index: Index, words: np.ndarray, threshold: float, similar: float, least_part: float) -> list[tuple]:
-    """(item_id, score, question overlap, answer overlap, leak) of each test item retrieved for a text, at its best place."""
-    best: dict[int, tuple] = {}
+    while len(rows):
+        order = np.argsort(item, axis=1)
+        items = np.take_along_axis(item, order, 1)
+        reach = np.take_along_axis(np.where(item < n, top, 0.0), order, 1).cumsum(1) >= slack
+        live = reach[:, -1]
+        if not live.all():
+            rows, terms, at, item, top, items, reach = (x[live] for x in (rows, terms, at, item, top, items, reach))
+            if not len(rows):
+                break
+        every = np.arange(len(rows))
+        pivot = items[every, reach.argmax(1)]
+        block = pivot // BLOCK
+        row, col = np.nonzero(item <= pivot[:, None])
+        cell = terms[row, col] * blocks + block[row]
+        found = np.minimum(np.searchsorted(index.cells, cell), len(index.cells) - 1)
+        able = np.bincount(row, weights=np.where(index.cells[found] == cell, index.maxima[found], 0.0), minlength=len(rows)) >= slack
+        score = able & (items[:, 0] == pivot)
+        if score.any():
+            row, col = np.nonzero((item == pivot[:, None]) & score[:, None])
+            total = np.bincount(row, weights=index.impacts[at[row, col]], minlength=len(rows))
+            hit = score & (total >= threshold)
+            out.append((rows[hit], pivot[hit], total[hit]))
+        beyond = np.where(item > pivot[:, None], item, n).min(1)
+        to = np.where(score, pivot + 1, np.where(able, pivot, np.minimum((block + 1) * BLOCK, beyond)))
+        row, col = np.nonzero(item < to[:, None])
+        term = terms[row, col]
+        moved = np.searchsorted(index.postings, term * n + to[row])
+        at[row, col] = moved
+        item[row, col] = np.where(moved < index.starts[term + 1], index.postings[np.minimum(moved, last)] - term * n, n)
+    if not out:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def retrieved(index: Index, hashes: np.ndarray, places: np.ndarray, sizes: np.ndarray, threshold: float) -> list[tuple[int, int, int, float]]:
+    """(text, first word of the passage, segment, score) at or above the threshold, in this order, of texts as ``terms_of`` gives them."""
+    half = PASSAGE // 2
+    each = -(-sizes // half)  # passages of each text
+    first = np.cumsum(each) - each
+    term = np.searchsorted(index.words, hashes)
+    term = np.where(index.words[np.minimum(term, len(index.words) - 1)] == hashes, term, -1)[places]
+    nth = np.arange(len(places)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    passage = np.repeat(first, sizes) + nth // half
+    known = term >= 0
+    again = known & (nth >= half)  # the second half of the passage before
+    v = len(index.words)
+    pairs = ascending(np.concatenate([passage[known] * v + term[known], (passage[again] - 1) * v + term[again]]))
+    passage, term = pairs // v, pairs % v
+    total = np.bincount(passage, weights=index.tops[term], minlength=int(each.sum()))
+    kept = total[passage] >= threshold * (1 - 1e-9)
+    passage, term = passage[kept], term[kept]
+    start = np.flatnonzero(np.diff(passage, prepend=-1))
+    which, count = passage[start], np.diff(start, append=len(passage))
+    able = np.zeros(len(which), bool)
+    for low in range(0, len(which), TOGETHER):
+        begin, end = start[low], start[low + TOGETHER] if low + TOGETHER < len(which) else len(term)
+        able[low : low + TOGETHER] = (run_sums(index.coarse, term[begin:end], start[low : low + TOGETHER] - begin) >= threshold * (1 - 1e-5)).any(1)
+    which, start, count = which[able], start[able], count[able]
+    order = np.argsort(count, kind="stable")
+    found, low = [], 0
+    while low < len(order):
+        high = low + 1
+        while high < len(order) and (high + 1 - low) * count[order[high]] <= CURSORS:
+            high += 1
+        some = order[low:high]
+        n = count[some]
+        terms = np.full((len(some), int(n.max())), -1)
+        col = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        terms[np.repeat(np.arange(len(some)), n), col] = term[np.repeat(start[some], n) + col]
+        row, segment, score = wand(index, terms, threshold)
+        found += zip(which[some[row]].tolist(), segment.tolist(), score.tolist(), strict=True)
+        low = high
+    text = np.repeat(np.arange(len(sizes)), each)
+    return [(int(text[p]), int(p - first[text[p]]) * half, segment, score) for p, segment, score in sorted(found)]
+
+
+def leaks(index: Index, texts, threshold: float, similar: float, least_part: float) -> list[tuple]:
+    """(text, item_id, score, question overlap, answer overlap, leak) of each test item retrieved for a text, at its best place.
+
+    ``texts`` is what ``terms_of`` gives.
+    """
+    hashes, places, sizes = texts
+    best: dict[tuple[int, int], tuple] = {}
     memo: dict[tuple[int, int, int], np.ndarray] = {}
-    last = -1
+    last, begin = None, np.cumsum(sizes) - sizes
 
     def found(part: np.ndarray, at: int, size: int, around: int) -> int:
         place = (max(0, at - around), at + PASSAGE + around, size)
@@ -141,58 +227,120 @@ def leaks(index: Index, words: np.ndarray, threshold: float, similar: float, lea
             memo[place] = np.unique(shingles(words[place[0] : place[1]], size))
         return int(np.isin(part, memo[place], assume_unique=True).sum())
 
-    for at, segment, score in retrieved(index, words, threshold):
+    for text, at, segment, score in retrieved(index, hashes, places, sizes, threshold):
         i = int(index.owner[segment])
-        if at != last:
+        if (text, at) != last:
             memo.clear()
-            last = at
+            last = (text, at)
+            words = hashes[places[begin[text] : begin[text] + sizes[text]]]
         q, a = index.questions[i], index.answers[i]
-        *sizes, own = index.sizes[i]
-        in_q, in_a = (found(x, at, k, index.longest if k == SHINGLE else own) if len(x) else 0 for x, k in zip((q, a), sizes, strict=True))
+        *own, length = index.sizes[i]
+        in_q, in_a = (found(x, at, k, index.longest if k == SHINGLE else length) if len(x) else 0 for x, k in zip((q, a), own, strict=True))
         whole = (in_q + in_a) / (len(q) + len(a))
         part_q, part_a = (in_q / len(q) if len(q) else 1.0), (in_a / len(a) if len(a) else 1.0)
         leak = whole >= similar and min(part_q, part_a) >= least_part
         row = (leak, whole, score, part_q, part_a)
-        best[i] = max(best.get(i, row), row)
-    return [(index.ids[i], score, q, a, leak) for i, (leak, _, score, q, a) in sorted(best.items())]
+        best[text, i] = max(best.get((text, i), row), row)
+    return [(text, index.ids[i], score, q, a, leak) for (text, i), (leak, _, score, q, a) in sorted(best.items())]
 
 
-def find(docs: DataFrame, items: DataFrame, threshold: float = 0.5, similar: float = 0.8, least_part: float = 0.5, index_bytes: int = 512 << 10) -> DataFrame:
+def shaped(items: DataFrame, index_bytes: int) -> DataFrame:
+    """part, item_id and the terms of question and answer of each different item with a word."""
+    items = items.select(F.col("item_id").cast("long"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer")).distinct()
+    size = items.agg(F.sum(F.octet_length("question").cast("long") + F.octet_length("answer"))).first()[0] or 0
+    items = items.select(F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(max(1, -(-size // index_bytes)))).cast("int").alias("part"), "item_id", "question", "answer")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = []
+            for column in batch.columns[2:]:
+                hashes, places, sizes = terms_of(column)
+                lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(hashes[places], pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *lists], ["part", "item_id", "question", "answer"])
+
+    return items.mapInArrow(run, "part int, item_id long, question array<long>, answer array<long>").where(F.size("question") + F.size("answer") > 0)
+
+
+def write_index(items: DataFrame, folder: str, index_bytes: int) -> list[str]:
+    """Write the index of items (item_id, question, answer) into files of the folder, a part each; returns their names."""
+    rows = written(shaped(items, index_bytes), "items")
+    words = F.concat("question", "answer")
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(words) / PASSAGE).cast("int") - 1), lambda k: F.slice(words, k * PASSAGE + 1, PASSAGE))
+    segments = rows.select(F.explode(cut).alias("words"))
+    n, mean = segments.agg(F.count("*"), F.avg(F.size("words"))).first()
+    if not n:
+        return []
+    df = segments.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    known = rows.select(F.col("part").alias("of"), F.explode(F.array_distinct(words)).alias("term")).distinct().join(df, "term")
+
+    def write(part: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
+        part, terms = part.sort_values(["item_id"], kind="stable"), terms.sort_values("term")
+        ids = [None if pd.isna(x) else int(x) for x in part["item_id"]]
+        index = build([(i, np.asarray(q, np.int64), np.asarray(a, np.int64)) for i, q, a in zip(ids, part["question"], part["answer"], strict=True)], terms["term"].to_numpy(), terms["df"].to_numpy(), n, mean)
+        fs, root = filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        name, task = f"part-{int(part['part'].iloc[0]):06d}.index", TaskContext.get().taskAttemptId()
+        with fs.open_output_stream(f"{root}/.{name}-{task}") as sink:
+            sink.write(pickle.dumps(index))
+        fs.move(f"{root}/.{name}-{task}", f"{root}/{name}")
+        return pd.DataFrame({"name": [name]})
+
+    names = written(rows.groupBy("part").cogroup(known.groupBy("of")).applyInPandas(write, "name string"), "index-parts")
+    return sorted(r["name"] for r in names.collect())
+
+
+@lru_cache(maxsize=1)
+def read_part(folder: str, name: str) -> Index:
+    """A part of an index; a worker keeps the last."""
+    fs, root = filesystem(folder)
+    with fs.open_input_stream(f"{root}/{name}") as source:
+        return pickle.loads(source.read())
+
+
+def searched(column, folder: str, names: list[str], threshold: float, similar: float, least_part: float):
+    """(first row, rows, hits as ``leaks`` gives them) of some of an Arrow string column's texts at a time."""
+    for low, high in text_slices(column, SLICE):
+        texts = terms_of(column.slice(low, high - low))
+        yield low, high - low, [x for name in names for x in leaks(read_part(folder, name), texts, threshold, similar, least_part)]
+
+
+def find(docs: DataFrame, items: DataFrame, threshold: float = 0.5, similar: float = 0.8, least_part: float = 0.5, index_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, leak: every item retrieved for each of docs (id, text).
 
     ``items`` has item_id, question and answer.
     """
-    size = items.agg(F.sum(F.length("question") + F.length("answer"))).first()[0] or 0
-    parts = -(-size // index_bytes) or 1
-    found = []
-    for k in range(parts):  # each part is small enough for the driver and every task
-        part = items.where(F.pmod(F.xxhash64("item_id", "question"), F.lit(parts)) == k) if parts > 1 else items
-        index = build(sorted((tuple(r) for r in part.select("item_id", F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))).collect()), key=repr))
-        if index is not None:
-            found.append(_find(docs, index, threshold, similar, least_part))
-    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], HITS)
+    folder = new_folder(docs.sparkSession, "bm25")
+    names = write_index(items, folder, index_bytes)
 
+    def run(batches):
+        import pyarrow as pa
 
-def _find(docs: DataFrame, index: Index, threshold: float, similar: float, least_part: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+        for batch in batches:
+            for low, _, hits in searched(batch.column(1), folder, names, threshold, similar, least_part):
+                rows, *cols = zip(*hits, strict=True) if hits else ((),) * 6
+                ids = batch.column(0).take(pa.array([low + i for i in rows], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "leak"])
+
+    return docs.select("id", "text").where("text is not null").mapInArrow(run, HITS)
+
+
+def without_leaks(docs: DataFrame, text: str, items: DataFrame, threshold: float = 0.5, similar: float = 0.8, least_part: float = 0.5, index_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs`` whose own text has no leak; nothing is joined or shuffled, and ids play no part."""
+    folder, at = new_folder(docs.sparkSession, "bm25"), docs.columns.index(text)
+    names = write_index(items, folder, index_bytes)
 
     def run(batches):
         import pyarrow as pa
 
-        ix = shared.value
-        memo = Memo(lambda w: ix.terms.get(normal(w), 0 if normal(w) else -1))
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = as_ids(memo, (text or "").split())
-                memo.trim()
-                words = words[words >= 0]  # bare punctuation isn't a word
-                if len(words):
-                    rows += [(doc_id, *x) for x in leaks(ix, words, threshold, similar, least_part)]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()), strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "leak"])
+            for low, n, hits in searched(batch.column(at), folder, names, threshold, similar, least_part):
+                keep = np.ones(n, bool)
+                keep[[i for i, *_, leak in hits if leak]] = False
+                yield batch.slice(low, n).filter(pa.array(keep))
 
-    return docs.select("id", "text").where("text is not null").mapInArrow(run, HITS)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def halves(items: DataFrame) -> DataFrame:
@@ -209,6 +357,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a leak."""
-    hits = find(docs.select(F.col("doc_id").alias("id"), "text"), halves(table(spark, sf_dir, "benchmark")))
-    return docs.join(hits.where("leak").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows without a leak: decided row by row, so a null or repeated doc_id neither keeps nor loses another row."""
+    return without_leaks(docs, "text", halves(table(spark, sf_dir, "benchmark")))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import limit_threads, split_words, table, text_slices, written
+from millrace.llm.common import as_items, limit_threads, run_sums, split_words, table, text_slices, written
 
 HEAD, CLASSES, SUBS, ANCHORS = 1 << 16, 24, 16, 32
 BATCH = 1 << 15  # tokens in a gradient step
@@ -302,34 +302,6 @@ def classed(codes: DataFrame, keys: np.ndarray, counts: np.ndarray, rounds: int
     return Classes(keys, near, sub)
 
 
-def as_items(rows: np.ndarray) -> np.ndarray:
-    """A view of a matrix whose rows are single items, which numpy puts in place faster than rows."""
-    return rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel()
-
-
-def run_sums(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of rows[order] over the runs that begin at ``first``: each turn adds up pairs of all runs not done."""
-    length = np.diff(first, append=len(order))
-    out = np.empty((len(first), rows.shape[1]), rows.dtype)
-    put = as_items(out)
-    one = np.flatnonzero(length == 1)
-    put[one] = as_items(rows.take(order[first[one]], axis=0, mode="clip"))
-    run = np.flatnonzero(length > 1)
-    length, start, at = length[run], first[run], order
-    while len(run):
-        pairs = length // 2
-        begin = np.cumsum(pairs) - pairs
-        left = np.repeat(start - 2 * begin, pairs) + 2 * np.arange(int(pairs.sum()))
-        half = rows.take(at[left], axis=0, mode="clip")
-        half += rows.take(at[left + 1], axis=0, mode="clip")
-        odd = np.flatnonzero(length % 2)
-        as_items(half)[begin[odd]] = as_items(half.take(begin[odd], axis=0, mode="clip") + rows.take(at[start[odd] + length[odd] - 1], axis=0, mode="clip"))
-        done, more = np.flatnonzero(pairs == 1), np.flatnonzero(pairs > 1)
-        put[run[done]] = as_items(half.take(begin[done], axis=0, mode="clip"))
-        rows, at, run, length, start = half, np.arange(len(half)), run[more], pairs[more], begin[more]
-    return out
-
-
 class Learner:
     """AdaGrad steps on one softmax, in batches of tokens."""
 

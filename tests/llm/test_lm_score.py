@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from millrace.llm import lm_score
-from millrace.llm.common import table
+from millrace.llm.common import run_sums, table
 from tests.llm.conftest import rows
 
 MASK = (1 << 64) - 1
@@ -112,7 +112,7 @@ def test_run_sums():
     rows = rng.normal(size=(300, 3)).astype(np.float32)
     for runs in ([1] * 5, [7, 1, 2, 300, 3, 64, 65], [1000]):
         order, first = rng.integers(0, 300, sum(runs)), np.cumsum([0, *runs[:-1]])
-        assert np.allclose(lm_score.run_sums(rows, order, first), np.add.reduceat(rows[order], first, axis=0), atol=1e-3)
+        assert np.allclose(run_sums(rows, order, first), np.add.reduceat(rows[order], first, axis=0), atol=1e-3)
 
 
 def test_codes_hold_every_token(spark, odd):

@@ -196,25 +196,6 @@ def test_op7_finds_the_planted_item_only(spark, odd):
     assert {(r.doc_id, r.item_id) for r in got} == {(81, 1)}
 
 
-def test_op7_wand_matches_brute_force():
-    rng = np.random.default_rng(3)
-    vocab = [f"w{i}" for i in range(400)]
-    zipf = 1 / np.arange(1, 401)
-    draw = lambda n: [vocab[i] for i in rng.choice(400, n, p=zipf / zipf.sum())]
-    items = [(k, " ".join(draw(25)), " ".join(draw(12))) for k in range(60)]
-    ix = decontaminate.build(items)
-    for k in range(30):
-        text = draw(150) + (items[k][1] + " " + items[k][2]).split() + draw(70)
-        words = np.array([ix.terms.get(w, 0) for w in text])
-        want = set()
-        for s in range(0, len(words), decontaminate.PASSAGE // 2):
-            full = decontaminate.scores(ix, np.unique(words[s : s + decontaminate.PASSAGE]))
-            want |= {(s, i) for i in np.flatnonzero(full >= 0.5)}
-        got = decontaminate.retrieved(ix, words, 0.5)
-        assert {(s, i) for s, i, _ in got} == want
-        assert k in {x[0] for x in decontaminate.leaks(ix, words, 0.5, 0.8, 0.5) if x[4]}
-
-
 def test_op7_finds_short_items_and_short_answers(spark):
     qa = [(1, "which river runs through the old town of zembla", "blue wolga"), (2, "name of zembla capital", "onhava"), (3, "who wrote the long green poem about a waxwing and its azure window", "shade")]
     whole = [(11, "quartz vixen jumps nightly"), (12, "seven brass kettles whistle near amber docks while tired porters count turnips")]
@@ -230,7 +211,7 @@ def test_op7_finds_short_items_and_short_answers(spark):
 
 def test_op8_classes_match_brute_force(spark, odd):
     docs, memo = rows()[0], Memo(word_hash)
-    bags = [(i, neardup.multiset(t, memo)) for i, t, _, _ in docs if i is not None]
+    bags = [(i, neardup.multiset(t, memo)) for i, t, _, _ in docs if i is not None]  # rows that repeat an id repeat its text here
     head = {i: i for i, _ in bags}
 
     def top(x):
@@ -259,15 +240,6 @@ def test_op8_signatures_estimate_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - neardup.overlap(*bags)) < 0.04
 
 
-def test_op8_blocks_join_what_pairs_would():
-    import pandas as pd
-
-    base = [f"w{i}" for i in range(100)]
-    texts = [" ".join(base), " ".join(base[:95] + ["x"] * 5), " ".join(["y"] * 30 + base[30:]), " ".join(["y"] * 30 + base[30:98])]
-    got = neardup.joined_up(pd.DataFrame({"id": [1, 2, 3, 4], "root": [1, 2, 3, 4], "block": [0, 0, 0, 0], "text": texts}), 0.8)
-    assert {tuple(r) for r in got.itertuples(index=False)} == {(1, 2), (3, 4)}
-
-
 def test_op9_counts_and_base_scores(spark, odd):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -281,14 +253,6 @@ def test_op9_counts_and_base_scores(spark, odd):
     assert all(r.score < 0 for r in got)
 
 
-def test_op9_classes_sum_to_one():
-    rng = np.random.default_rng(2)
-    w = rng.normal(size=(lm_score.BUCKETS, lm_score.CLASSES)).astype(np.float32)
-    at = lm_score.features(np.array([1, -5, 7, 3, 2]), np.array([3, 2]))
-    assert np.allclose(np.exp(lm_score.log_classes(w, at)).sum(1), 1)
-    assert (at[0, 1:] == at[3, 1:]).all()  # both begin a text
-
-
 def test_op9_tells_more_than_twenty_contexts_apart(spark, tmp_path):
     """22 groups of words follow each other in a ring: who knows the group loses 0.60 a token, base scores 1.94."""
     rng = np.random.default_rng(4)
