@@ -76,14 +76,15 @@ def vector(text: str) -> np.ndarray | None:
     return counts / np.sqrt(counts @ counts)
 
 
-def fit(rows: DataFrame, per_language: int = 600, rounds: int = 200, l2: float = 1e-5) -> Codes | None:
-    """Fit on ``rows`` (id, text, lang), at most about ``per_language`` of each language."""
+def fit(rows: DataFrame, per_language: int = 600, sample_rows: int = 20_000, rounds: int = 200, l2: float = 1e-5) -> Codes | None:
+    """Fit on ``rows`` (id, text, lang), at most about ``per_language`` of each language and ``sample_rows`` in all."""
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
-    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
+    each = min(per_language, sample_rows / len(counts))
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])
+    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).dropDuplicates(["id", "lang"]).select("lang", "text")
 
     def run(batches):
         import pyarrow as pa

@@ -64,17 +64,20 @@ def posteriors(docs: DataFrame, model: tuple[list[str], list[float], DataFrame])
     return mass.select("id", "n_tokens", *[(F.col(f"e{k}") / reduce(Column.__add__, [F.col(f"e{j}") for j in range(len(domains))])).alias(f"p{k}") for k in range(len(domains))])
 
 
-def tempered(totals: list[float], power: float = 0.7, margin: float = 1.05) -> list[float]:
-    """Targets in the ratio of the totals to a power, large enough that no domain has to shrink.
+def tempered(totals: list[float], power: float = 0.7, grow: bool = False, margin: float = 1.05) -> list[float]:
+    """Targets in the ratio of the totals to a power, with the same sum: large domains shrink and small ones grow.
 
-    The margin keeps the rate of every document over 1 where posteriors are a little off, so none is left out.
+    ``grow`` makes them large enough that no domain has to shrink; the margin then keeps the rate of every document
+    over 1 where posteriors are a little off, so none is left out.
     """
     weight = [x**power for x in totals]
+    if not grow:
+        return [w * sum(totals) / sum(weight) if sum(weight) else 0.0 for w in weight]
     scale = max((x / w for x, w in zip(totals, weight, strict=True) if w > 0), default=0.0)
     return [w * scale * margin for w in weight]
 
 
-def matched(soft: DataFrame, k: int, targets: list[float] | None = None, tolerance: float = 1e-6, most: int = 1000, at_once: int = 8) -> DataFrame:
+def matched(soft: DataFrame, k: int, targets: list[float] | None = None, grow: bool = False, tolerance: float = 1e-6, most: int = 1000, at_once: int = 8) -> DataFrame:
     """soft (id, n_tokens, p0 ...) with the column ``rate``; targets default to ``tempered`` totals.
 
     Steps end where the targets are met or, as they can't all be, where a projected step moves no rate; without either
@@ -87,7 +90,7 @@ def matched(soft: DataFrame, k: int, targets: list[float] | None = None, toleran
 
     soft = soft.withColumn("rate", F.lit(1.0))
     base = totals(soft)
-    targets = tempered(base) if targets is None else targets
+    targets = tempered(base, grow=grow) if targets is None else targets
     rate, fixed = F.col("rate"), soft
     for step in range(1, most + 1):
         have = totals(fixed.withColumn("rate", rate))
@@ -103,17 +106,17 @@ def matched(soft: DataFrame, k: int, targets: list[float] | None = None, toleran
     raise RuntimeError(f"rates are still moving after {most} steps; the largest share missed of a domain is {max(map(abs, miss)):.3g}")
 
 
-def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:
+def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, grow: bool = False) -> tuple[DataFrame, list[str]]:
     """(id, n_tokens, p0 ..., rate) of docs (id, text), and the domains in the order of p0 ...
 
-    ``labelled`` has id, text and domain; ``targets`` gives the tokens wanted of each domain.
+    ``labelled`` has id, text and domain; ``targets`` gives the tokens wanted of each domain, by default ``tempered``.
     """
     model = learned(labelled)
     if model is None:
         none = docs.select("id", F.size(F.filter(words_of(F.col("text")), lambda w: w != "")).cast("long").alias("n_tokens"))
         return none.withColumn("rate", F.lit(1.0)), []
     soft = written(posteriors(docs, model), "posteriors")
-    return matched(soft, len(model[0]), None if targets is None else [targets.get(d, 0.0) for d in model[0]]), model[0]
+    return matched(soft, len(model[0]), None if targets is None else [targets.get(d, 0.0) for d in model[0]], grow), model[0]
 
 
 def labelled_rows(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -123,7 +126,7 @@ def labelled_rows(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, domain (the likeliest), its probability and the document's rate."""
+    """doc_id, n_tokens, domain (the likeliest), its probability and the document's rate, for tempered targets of the same sum."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found, domains = rates(docs.select(F.col("doc_id").alias("id"), "text"), labelled_rows(spark, docs, sf_dir))
     if not domains:
@@ -135,9 +138,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as their rates say: the whole part of a rate, and once more by chance for the rest.
 
+    The targets let no domain shrink, as what the stages before kept is to stay.
+
     The chance is a hash of the doc_id, so that the outcome is the same on every run.
     """
-    found, _ = rates(docs.select(F.col("doc_id").alias("id"), "text"), labelled_rows(spark, docs, sf_dir))
+    found, _ = rates(docs.select(F.col("doc_id").alias("id"), "text"), labelled_rows(spark, docs, sf_dir), grow=True)
     rate, draw = F.round("rate", 3), F.pmod(F.xxhash64("id", F.lit("copies")), F.lit(1_000_000)) / 1_000_000
     wanted = found.groupBy("id").agg(F.min("rate").alias("rate")).select("id", (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("int").alias("copies"))
     n, key = fresh(docs, "copies"), fresh(docs, "id_")

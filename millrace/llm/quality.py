@@ -79,7 +79,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 9000, rounds: int
     grades, each = sorted(counts), sample_rows / len(counts)
     share = F.create_map(*[F.lit(x) for g in grades for x in (g, min(1.0, each / counts[g]))])
     picked = labels.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("grade")] * 1_000_000)
-    joined = docs.join(F.broadcast(picked), "id").select("grade", "text")  # the sample's size is bounded
+    # An id that labels or documents repeat is drawn once for each of its grades, so the sample's size is bounded.
+    joined = docs.join(F.broadcast(picked.select("id", "grade").distinct()), "id").dropDuplicates(["id", "grade"]).select("grade", "text")
 
     def run(batches):
         import pyarrow as pa

@@ -30,7 +30,7 @@ from millrace.llm.common import filesystem, new_folder, table, written
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MEMBER_BYTES = 64 << 20
+MEMBER_BYTES, PACKAGE_BYTES = 64 << 20, 1 << 30
 READ_BYTES = 4 << 20
 LEVEL = 4
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, package string, offset long"
@@ -90,10 +90,11 @@ def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return base.join(later, base["page_id"].eqNullSafe(later["p"]) & (base["digest"] == later["d"]), "left").select("page_id", "url", "payload", "digest", "first", F.col("first").isNotNull().alias("revisit"))
 
 
-def write_packages(rows: DataFrame, folder: str) -> DataFrame:
-    """Write a package for each partition of ``decided`` rows; returns the manifest (path, records, bytes), read back.
+def write_packages(rows: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+    """Write packages of about ``package_bytes`` at most from ``decided`` rows; returns the manifest (path, records, bytes).
 
-    A task writes under a name of its own and renames it when done, so a task that is run again leaves one file.
+    A package is renamed when it is whole, and its name tells the attempt that wrote it: the manifest has those of the
+    attempts that ended, whatever others left behind.
     """
 
     def run(batches) -> Iterator:
@@ -101,9 +102,9 @@ def write_packages(rows: DataFrame, folder: str) -> DataFrame:
 
         fs, root = filesystem(folder)
         part = TaskContext.get()
-        final = f"{root}/part-{part.partitionId():06d}.zip"
-        temp = f"{root}/.writing-{part.partitionId():06d}-{part.taskAttemptId()}"
-        total, package, member, index, k, sink = 0, None, None, [], 0, None
+        name = f"{part.partitionId():06d}-{part.taskAttemptId()}"
+        package, member, index, k, sink = None, None, [], 0, None
+        done = total = size = 0  # packages; records and bytes of the open one
 
         def end_member():
             nonlocal member, index, k
@@ -111,27 +112,36 @@ def write_packages(rows: DataFrame, folder: str) -> DataFrame:
             package.writestr(f"indexes/data-{k}.jsonl", "".join(json.dumps(x) + "\n" for x in index))
             member, index, k = None, [], k + 1
 
+        def end_package():
+            nonlocal package, done, total, size, k
+            if member is not None:
+                end_member()
+            package.close()
+            sink.close()
+            final = f"{root}/part-{name}-{done:04d}.zip"
+            fs.move(f"{root}/.writing-{name}", final)
+            line = pa.RecordBatch.from_pydict({"path": [final], "records": [total], "bytes": [fs.get_file_info(final).size]})
+            package, done, total, size, k = None, done + 1, 0, 0, 0
+            return line
+
         for batch in batches:
             for page_id, url, payload, digest, first, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if package is None:
                     fs.create_dir(root, recursive=True)
-                    sink = fs.open_output_stream(temp)
+                    sink = fs.open_output_stream(f"{root}/.writing-{name}")
                     package = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED, allowZip64=True)
                 if member is None:
                     member, at = package.open(f"archive/data-{k}.warc.gz", "w", force_zip64=True), 0
                 raw = gzip.compress(record(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), first, revisit), LEVEL, mtime=0)
                 member.write(raw)
                 index.append([at, len(raw), "revisit" if revisit else "response"])
-                at, total = at + len(raw), total + 1
-                if at >= MEMBER_BYTES:
+                at, total, size = at + len(raw), total + 1, size + len(raw)
+                if size >= package_bytes:
+                    yield end_package()
+                elif at >= MEMBER_BYTES:
                     end_member()
         if package is not None:
-            if member is not None:
-                end_member()
-            package.close()
-            sink.close()
-            fs.move(temp, final)
-            yield pa.RecordBatch.from_pydict({"path": [final], "records": [total], "bytes": [fs.get_file_info(final).size]})
+            yield end_package()
 
     return written(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
