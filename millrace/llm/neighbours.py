@@ -224,22 +224,21 @@ def nearest(
         if not len(queries) or not len(held):
             return empty
         x, y = (np.stack(p["vector"].to_numpy()) for p in (queries, held))
-        ids, of = np.concatenate(held["ids"].to_numpy()), np.repeat(np.arange(len(held)), held["ids"].map(len))
+        asked, ids, copies = queries["query_id"].to_numpy(), np.concatenate(held["ids"].to_numpy()), held["ids"].map(len).to_numpy()
         rough = (y * y).sum(1) - 2 * x @ y.T  # squared distances but for the query's own part
         keep = min(k, len(y) - 1)  # the query itself may be one of them
-        bound = np.partition(rough, keep, axis=1)[:, keep]
-        slack = 1e-9 * (1 + np.abs(rough).max(1))
-        out = []
-        for q, v, r, limit in zip(queries["query_id"], x, rough, bound + slack, strict=True):
-            near = np.flatnonzero(r <= limit)
-            gap = y[near] - v
-            d = np.sqrt((gap * gap).sum(1))
-            some = np.flatnonzero(np.isin(of, near))
-            d = d[np.searchsorted(near, of[some])]
-            order = np.lexsort((ids[some], d))
-            order = order[ids[some[order]] != q][:k]
-            out.append(pd.DataFrame({"query_id": q, "vec_id": ids[some[order]], "score": d[order]}))
-        return pd.concat(out)
+        bound = np.partition(rough, keep, axis=1)[:, keep] + 1e-9 * (1 + np.abs(rough).max(1))
+        q, near = np.nonzero(rough <= bound[:, None])
+        gap = y[near] - x[q]
+        d, n = np.sqrt((gap * gap).sum(1)), copies[near]
+        of = np.repeat(np.arange(len(near)), n)
+        vec = ids[np.repeat((np.cumsum(copies) - copies)[near] - (np.cumsum(n) - n), n) + np.arange(len(of))]
+        q, d = q[of], d[of]
+        other = np.flatnonzero(vec != asked[q])
+        order = other[np.lexsort((vec[other], d[other], q[other]))]
+        nth = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+        order = order[nth < k]
+        return pd.DataFrame({"query_id": asked[q[order]], "vec_id": vec[order], "score": d[order]})
 
     where = ["tree", "leaf", "block", "part"]
     found = asked.groupBy(*where).cogroup(held.select(*where, "ids", "vector").groupBy(*where)).applyInPandas(rerank, "query_id long, vec_id long, score double")

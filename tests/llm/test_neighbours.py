@@ -39,7 +39,7 @@ def test_work_for_a_query_does_not_grow_with_the_table(spark, monkeypatch):
     real = neighbours.grown_on
     monkeypatch.setattr(neighbours, "grown_on", lambda *a: deep.append(real(*a)) or deep[-1])
     figures = []
-    for n in (1000, 3000, 9000):
+    for n in (800, 2400, 7200):
         x = gathered(n)
         step = n // 50
         got = neighbours.nearest(frame(spark, x), F.col("id") % step == 0, trees=4, leaf_rows=60, sample_rows=200, split=25, candidates=600).collect()
