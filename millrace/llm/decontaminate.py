@@ -75,20 +75,18 @@ def term_of(word: str) -> int:
     return word_hash(word) if word else -1
 
 
-_TERMS = Memo(term_of)  # a worker's; it goes from task to task
-
-
 def ascending(values: np.ndarray) -> np.ndarray:
     """The distinct values in order, by sorting."""
     values = np.sort(values)
     return values[np.diff(values, prepend=-1) != 0]
 
 
-def terms_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def terms_of(texts, memo: Memo | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of distinct terms, term of each word, words of each text) of an Arrow string array."""
     words, places, sizes = split_words(texts)
-    hashes, to = np.unique(as_ids(_TERMS, words), return_inverse=True)
-    _TERMS.trim()
+    memo = Memo(term_of) if memo is None else memo
+    hashes, to = np.unique(as_ids(memo, words), return_inverse=True)
+    memo.trim()
     places = to[places]
     if len(hashes) and hashes[0] < 0:
         kept = places > 0
@@ -299,10 +297,10 @@ def read_part(folder: str, name: str) -> Index:
         return pickle.loads(source.read())
 
 
-def searched(column, folder: str, names: list[str], threshold: float, similar: float, least_part: float):
+def searched(column, memo: Memo, folder: str, names: list[str], threshold: float, similar: float, least_part: float):
     """(first row, rows, hits as ``leaks`` gives them) of some of an Arrow string column's texts at a time."""
     for low, high in text_slices(column, SLICE):
-        texts = terms_of(column.slice(low, high - low))
+        texts = terms_of(column.slice(low, high - low), memo)
         yield low, high - low, [x for name in names for x in leaks(read_part(folder, name), texts, threshold, similar, least_part)]
 
 
@@ -317,8 +315,9 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = 0.5, similar: flo
     def run(batches):
         import pyarrow as pa
 
+        memo = Memo(term_of)
         for batch in batches:
-            for low, _, hits in searched(batch.column(1), folder, names, threshold, similar, least_part):
+            for low, _, hits in searched(batch.column(1), memo, folder, names, threshold, similar, least_part):
                 rows, *cols = zip(*hits, strict=True) if hits else ((),) * 6
                 ids = batch.column(0).take(pa.array([low + i for i in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "leak"])
@@ -334,8 +333,9 @@ def without_leaks(docs: DataFrame, text: str, items: DataFrame, threshold: float
     def run(batches):
         import pyarrow as pa
 
+        memo = Memo(term_of)
         for batch in batches:
-            for low, n, hits in searched(batch.column(at), folder, names, threshold, similar, least_part):
+            for low, n, hits in searched(batch.column(at), memo, folder, names, threshold, similar, least_part):
                 keep = np.ones(n, bool)
                 keep[[i for i, *_, leak in hits if leak]] = False
                 yield batch.slice(low, n).filter(pa.array(keep))

@@ -222,7 +222,7 @@ def with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
     """Rows (u, v) with the m of their u in ``least`` (u, m, n); centres of over a share of all edges, which are few, by broadcast."""
     most = max(SHARE, edges // 10_000)
     hot, other = F.broadcast(least.where(F.col("n") > most).drop("n")), least.where(F.col("n") <= most).drop("n")
-    return rows.join(other, "u").unionByName(rows.join(hot, "u"))
+    return rows.join(hot.select("u"), "u", "left_anti").join(other, "u").unionByName(rows.join(hot, "u"))
 
 
 def components(links: DataFrame) -> DataFrame:
