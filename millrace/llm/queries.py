@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, html_text, language, lm_score, mixing, neardup, neighbours, quality, token_store, warc_zip
+from millrace.llm import decontaminate, hard_negatives, html_text, language, lm_score, mixing, neardup, neighbours, quality, token_store, voronoi_join, warc_zip, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,11 @@ def queries() -> dict[str, Query]:
         "op8_neardup": neardup.query,
         "op9_lm_score": lm_score.query,
         "op10_mixing": mixing.query,
+        "op11_hard_negatives": hard_negatives.query,
+        "op12_voronoi_join": voronoi_join.query,
+        "op13_whitening": whitening.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc_zip.SQL}
+    return {"op5_warc": warc_zip.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_voronoi_join": voronoi_join.SQL}
