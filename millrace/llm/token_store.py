@@ -9,7 +9,8 @@ packs and verifies every digest and root.
 
 Packs, of about ``pack_bytes`` of text each, are first drafted by range of doc_id, each task storing a chunk once; then
 the smallest place of each digest among all packs is found from the digests alone, and every pack is written from its
-draft without the chunks owned elsewhere. Texts are shuffled once, ids never; no row or task holds more than a pack.
+draft without the chunks owned elsewhere. Texts are shuffled once, ids never; no row holds more than a pack, and a task
+goes through its packs one after the other.
 
 Files (in the shared folder): ``packs/part-N.ids`` (zstd frames of about 64 k little-endian unsigned ids, each after
 a header of its bytes and the ids' width) and the Parquet tables ``recipes`` (doc_id, start, n_tokens, root, places)
@@ -111,8 +112,9 @@ class Encoder:
 
     Where the file drops white space and lets no piece cross it, the words between it are encoded once and remembered
     for as long as they keep coming: what isn't met while ``most`` / 2 others are is forgotten. Any other file encodes
-    whole texts. New words of letters only are encoded together, a thousand in one text: such a word is one piece to
-    the tokenizer, and its last id is one that ends a word.
+    whole texts, and so is a text with one of the separators that only tokenizers don't take for white space. New words of
+    letters only are encoded together, a thousand in one text: such a word is one piece to the tokenizer, and its last id
+    is one that ends a word. Words that hold the text of an added token, in any case, are never taken apart.
     """
 
     def __init__(self, path: str, most: int = 800_000):
@@ -123,6 +125,8 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.by_words = drops_white_space(json.loads(self.tokenizer.to_str()))
+        added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}, key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -130,6 +134,11 @@ class Encoder:
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def holds_added(self, word: str) -> bool:
+        """Whether an added token may be found in a word, as it is or as the tokenizer normalises it."""
+        normal = self.tokenizer.normalizer
+        return bool(self.added.search(word)) or (normal is not None and not word.isascii() and bool(self.added.search(normal.normalize_str(word))))
+
     def together(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, as many as there are words, or of each by itself where the ends don't show them."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
@@ -141,10 +150,12 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Take up words, from before if they were met then; one with ASCII signs at its end from its two parts."""
-        parts, new = {}, []
+        parts, new, rest = {}, [], []
         for w in words:
             if w in self.before:
                 self.known[w] = self.before[w]
+            elif self.holds_added(w):
+                rest.append(w)
             elif m := _TAIL.match(w):
                 parts[w] = m.span(2)[0]
             else:
@@ -156,7 +167,7 @@ class Encoder:
         for at in range(0, len(letters), 1000):
             some = letters[at : at + 1000]
             self.known.update(zip(some, self.together(some), strict=True))
-        rest = [w for w in new if not w.isalpha()]
+        rest += [w for w in new if not w.isalpha()]
         self.known.update(zip(rest, self.plain(rest), strict=True))
         self.known.update((w, self.known[w[:cut]] + self.known[w[cut:]]) for w, cut in parts.items())
 
@@ -165,9 +176,19 @@ class Encoder:
         import pyarrow.compute as pc
 
         texts = pc.fill_null(texts, "")
-        if not self.by_words or pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():  # these are white space to Python and Arrow but not to tokenizers
-            raw = self.plain(texts.to_pylist())
+        odd = pc.match_substring_regex(texts, "[\x1c-\x1f]")  # white space to Python and Arrow but not to tokenizers
+        if not self.by_words or pc.any(odd).as_py():
+            whole = texts if not self.by_words else texts.filter(odd)
+            raw = self.plain(whole.to_pylist())
+            if len(whole) < len(texts):
+                ids, sizes = self.encode_words(pc.if_else(odd, "", texts))
+                each = np.split(ids.view(np.uint8), np.cumsum(sizes[:-1]) * 4)
+                given = iter(raw)
+                raw = [next(given) if o else x.tobytes() for o, x in zip(odd.to_pylist(), each, strict=True)]
             return np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw], np.int64)
+        return self.encode_words(texts)
+
+    def encode_words(self, texts) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.most // 2:
             self.known, self.before = {}, self.known
         words, places, sizes = split_words(texts)

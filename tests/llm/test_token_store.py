@@ -12,17 +12,29 @@ from millrace.llm.common import new_folder, split_words, text_slices
 from tests.llm.conftest import sentence
 
 
+def encoded(encoder, texts):
+    ids, sizes = encoder.encode(pa.array(texts))
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
 def test_words_are_encoded_as_the_tokenizer_does():
+    """Alone, together, and beside texts with separators that send them to the plain tokenizer."""
     import random
 
     encoder, rng = token_store.Encoder(token_store.word_tokenizer()), random.Random(5)
     assert encoder.by_words
-    texts = ["x<|ENDOFTEXT|>y.", "x<|endoftext|>y. a <|endoftext|> b", "", "  ", "İstanbul. İ' İ! ΟΔΟΣ. Σ, dont's, it's. 's 'S x'S. a²! ½? é. é!", "a\x1cb c.", "ড়! གྷ+ ≮<", "don't!! 'll, <|startoftext|>."]
+    texts = ["x<|ENDOFTEXT|>y.", "x<|endoftext|>y. a <|endoftext|> b", "", "  ", "İstanbul. İ' İ! ΟΔΟΣ. Σ, dont's, it's. 's 'S x'S. a²! ½? é. é!", "ড়! གྷ+ ≮<", "don't!! 'll, <|startoftext|>."]
+    texts += ["say <|endoftext|> now", "hello.<|endoftext|>", '<|endoftext|>"', "a<|endoftext|>, b", "é<|EndOfText|>!", "<|endoftext|>", "<|endoftext|><|startoftext|>.", "<|endoftext |>"]
     signs = list("aAbBzéÉß'\"<|>.,;:!?#%&*_-=+1½ΣσςİıǅŒ中あ한  \t\n") + ["<|endoftext|>", "the ", "ড়"]
     texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
-    ids, sizes = encoder.encode(pa.array(texts))
-    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    odd = ["a\x1cb c.", "\x1f", "x <|endoftext|>\x1d."]
+    want = {t: e.ids for t, e in zip([*texts, *odd], encoder.tokenizer.encode_batch([*texts, *odd], add_special_tokens=False), strict=True)}
+    assert encoded(encoder, texts) == [want[t] for t in texts]
+    mixed = [x for k, t in enumerate(texts) for x in ([t, odd[k % 3]] if k % 7 == 0 else [t])]
+    assert encoded(token_store.Encoder(token_store.word_tokenizer()), mixed) == [want[t] for t in mixed]
+    alone = token_store.Encoder(token_store.word_tokenizer())
+    assert all(encoded(alone, [t]) == [want[t]] for t in [*texts[:60], *odd])
+    assert want["say <|endoftext|> now"] == [1451, 49407, 692]
 
 
 def test_a_file_that_keeps_white_space_encodes_whole_texts():
