@@ -12,7 +12,9 @@ Texts are cut into words once: the table of codes that this gives is what the co
 scoring passes read. Counts, neighbours and weights are learned from all training texts. The weights are trained by
 distributed gradient updates: in each round every task starts from the shared weights, takes AdaGrad steps over its
 own texts in sparse numpy batches, and the tasks' weights are averaged for each feature by how often each task has
-seen it. The head fits in every task; the counts of all other words are joined by word.
+seen it. The number of these replicas follows from the training tokens (``replica_tokens``), not from the cluster; which
+texts a replica reads, and in which order, follows from the input's files and splits. Classes and sub-classes without a
+word have no share, so the probabilities of all words, with one unknown word of each form, add up to one. The head fits in every task; the counts of all other words are joined by word.
 
 Tokens are runs of bytes other than ASCII white space, A to Z lower-cased, and one end for each text. Words are told
 apart by 58 bits of a hash. Base scores are add-one unigram log10 probabilities over the same counts.
@@ -131,8 +133,14 @@ class Weights:
     second: np.ndarray  # buckets + CLASSES x SUBS
 
     @staticmethod
-    def zero(buckets: int) -> Weights:
-        return Weights(np.zeros((buckets + 1, CLASSES), np.float32), np.zeros((buckets + CLASSES, SUBS), np.float32))
+    def start(buckets: int, classes: Classes) -> Weights:
+        """Zeros, but for outcomes without a word: those stay at minus infinity."""
+        live = np.zeros((CLASSES, SUBS), bool)
+        live[classes.of, classes.sub], live[CLASSES - 1, :FORMS] = True, True
+        out = Weights(np.zeros((buckets + 1, CLASSES), np.float32), np.zeros((buckets + CLASSES, SUBS), np.float32))
+        out.first[buckets, ~live.any(1)] = -np.inf
+        out.second[buckets:][~live] = -np.inf
+        return out
 
 
 @dataclass
@@ -332,11 +340,11 @@ class Learner:
         self.seen[b] += np.diff(first, append=len(hit))
 
 
-def trained(codes: DataFrame, classes: Classes, buckets: int, rounds: tuple[int, ...] = (1, 2), rate: float = 0.3) -> Weights:
+def trained(codes: DataFrame, classes: Classes, buckets: int, replicas: int, rounds: tuple[int, ...] = (1, 2), rate: float = 0.3) -> Weights:
     """Weights of both softmaxes after each of the rounds of gradient updates over its own texts."""
     spark = codes.sparkSession
-    weights = Weights.zero(buckets)
-    codes = codes.coalesce(spark.sparkContext.defaultParallelism)  # each task sends back weights: one for each core does
+    weights = Weights.start(buckets, classes)
+    codes = codes.coalesce(replicas)  # each task sends back its weights
     names = [f"w{k}" for k in range(max(CLASSES, SUBS))]
     for which in rounds:
         shared = spark.sparkContext.broadcast((classes, weights))
@@ -388,13 +396,13 @@ def trained(codes: DataFrame, classes: Classes, buckets: int, rounds: tuple[int,
     return weights
 
 
-def learned(codes: DataFrame) -> tuple[Model | None, DataFrame]:
+def learned(codes: DataFrame, replica_tokens: int = 16_000_000) -> tuple[Model | None, DataFrame]:
     """The model of the training texts among encoded ones, and the table (key, n) of all word counts."""
     with few_rows(codes.sparkSession):
-        return _learned(codes)
+        return _learned(codes, replica_tokens)
 
 
-def _learned(codes: DataFrame) -> tuple[Model | None, DataFrame]:
+def _learned(codes: DataFrame, replica_tokens: int) -> tuple[Model | None, DataFrame]:
     counts = written(counted(codes), "word-counts")
     form = F.col("key").bitwiseAND(F.lit(FORMS - 1)).cast("int").alias("form")
     sums = counts.groupBy(form).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()  # FORMS rows
@@ -404,7 +412,7 @@ def _learned(codes: DataFrame) -> tuple[Model | None, DataFrame]:
     head = counts.orderBy((F.col("key") != END), F.desc("n"), "key").limit(HEAD).toArrow().sort_by("key")
     keys, n = head["key"].to_numpy(), head["n"].to_numpy()
     classes = classed(codes, keys, n)
-    weights = trained(codes, classes, buckets_for(total))
+    weights = trained(codes, classes, buckets_for(total), -(-total // replica_tokens))
     place = classes.of * SUBS + classes.sub
     mass = np.bincount(place, weights=n, minlength=CLASSES * SUBS)
     tail = np.ones(FORMS)  # an unknown word of each form

@@ -76,18 +76,39 @@ def test_scores_are_those_of_a_plain_loop(spark, tmp_path, monkeypatch):
     assert any(h and k not in count for (_, ks), h in zip(texts, held, strict=True) for k in ks)
 
 
-def test_shares_of_all_words_add_up_to_one():
-    rng = np.random.default_rng(2)
-    buckets = 1 << 12
-    w = lm_score.Weights(rng.normal(size=(buckets + 1, lm_score.CLASSES)).astype(np.float32), rng.normal(size=(buckets + lm_score.CLASSES, lm_score.SUBS)).astype(np.float32))
-    words = lm_score.hashed(np.array([11, 5, 7, 3], np.int64))
-    at = lm_score.context(words, np.array([0, 1, 2, 3, 0]), np.array([3, 2]))
-    assert (at[:, 0] == at[:, 3]).all()  # both begin a text
-    total = 0
-    for c in range(lm_score.CLASSES):
-        for s in range(lm_score.SUBS):
-            total = total + 10 ** lm_score.log_model(w, at, np.full(5, c), np.full(5, s))
+def test_all_words_and_an_unknown_of_each_form_add_up_to_one(spark, odd, monkeypatch):
+    """In several contexts, the ends of texts and words beyond the head included."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lm_score, "HEAD", 60)
+    docs = table(spark, odd, "documents").select("text", F.monotonically_increasing_id().alias("id"))
+    model, counts = lm_score.learned(lm_score.encoded(docs.withColumn("round", (F.col("id") % 2 + 1).cast("int"))))
+    head = {int(k): n for n, k in enumerate(model.classes.keys)}
+    tail = [(r.key, r.n) for r in counts.collect() if r.key not in head]
+    assert len(head) == 60 and len(tail) > 20
+    words = lm_score.hashed(np.array([lm_score.word_key(w) for w in (b"the", b"of", b"zyzzyva", b"12,")], np.int64))
+    at = lm_score.context(words, np.array([0, 1, 2, 3, 0, 1]), np.array([4, 2]))
+    total = 0.0
+    for k, c, s in zip(model.inside, model.classes.of, model.classes.sub, strict=True):
+        total = total + 10 ** (lm_score.log_model(model.weights, at, np.full(6, c), np.full(6, s)) + k)
+    form = {s: 10 ** lm_score.log_model(model.weights, at, np.full(6, lm_score.CLASSES - 1), np.full(6, s)) / 10 ** model.forms[s] for s in range(lm_score.FORMS)}
+    for key, n in [*tail, *((s, 0) for s in range(lm_score.FORMS))]:
+        total = total + form[key & 15] * (n + 1)
     assert np.allclose(total, 1, atol=1e-4)
+    ends = np.full(6, lm_score.ENDING)
+    assert np.allclose(lm_score.log_share(model.weights.second, lm_score.features(at, len(model.weights.first) - 1, ends), len(model.weights.first) - 1 + ends, np.zeros(6, int)), 0, atol=1e-6)
+
+
+def test_replicas_follow_from_the_tokens(spark, odd, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = []
+    real = lm_score.trained
+    monkeypatch.setattr(lm_score, "trained", lambda codes, classes, buckets, replicas: seen.append(replicas) or real(codes, classes, buckets, replicas))
+    codes = lm_score.encoded(table(spark, odd, "documents").select("text", F.lit(1).cast("long").alias("id"), F.lit(2).alias("round")))
+    tokens = lm_score.learned(codes)[0].total
+    lm_score.learned(codes, replica_tokens=tokens // 3)
+    assert seen == [1, 4]
 
 
 def test_a_step_follows_the_gradient():
