@@ -19,13 +19,13 @@ MOST, OVERLAP = 480, 50
 Counter = SignTokens | WordPiece
 
 
-def sentences_of(text: Column) -> Column:
-    return F.filter(F.transform(T.sentences(text), T.stripped), lambda s: s != "")
+def sentences_of(text: Column, split: Callable[[Column], Column] = T.sentences) -> Column:
+    return F.filter(F.transform(split(text), T.stripped), lambda s: s != "")
 
 
-def packed(text: Column, counter: Counter, most: int = MOST) -> Column:
+def packed(text: Column, counter: Counter, most: int = MOST, split: Callable[[Column], Column] = T.sentences) -> Column:
     """Pieces of a cleaned text: whole if it fits, else sentences packed greedily, an oversize one cut into windows."""
-    counted = counter.measure(sentences_of(text), most, OVERLAP)
+    counted = counter.measure(sentences_of(text, split), most, OVERLAP)
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("done"), F.lit(None).cast("string").alias("held"), F.lit(0).alias("n"))
 

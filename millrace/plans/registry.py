@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.functions import text as T
+from millrace.functions import sentence_model, text as T
 from millrace.functions.lexicon import any_of, hits, vocabulary
 from millrace.functions.tokens import SignTokens
 from millrace.operators import chunks as C, claims as K, evaluate, layout as L
@@ -90,6 +90,23 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
     return K.drop_counts(reasoned(spark, d)).groupBy("reason").agg(F.sum("n").alias("n"))
 
 
+def noted_pages(spark: SparkSession, d: str) -> DataFrame:
+    return derived.claim_pages(spark, d).unionByName(derived.order_notes(spark, d))
+
+
+def sentence_ends(spark: SparkSession, d: str) -> sentence_model.SentenceModel:
+    """Learned from every page, each text once: the known sentences come again and again."""
+    return sentence_model.learned(noted_pages(spark, d).select("text").distinct(), sinks.kept)
+
+
+def packing_trained(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's notes as one text, packed at 60 tokens between learned sentence ends."""
+    notes = derived.order_notes(spark, d).join(derived.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey"), "doc_id")
+    texts = notes.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda r: r["text"]), " ").alias("text"))
+    split = sentence_ends(spark, d).split
+    return texts.select("o_custkey", F.posexplode(C.packed(F.col("text"), COUNTER, 60, split)).alias("piece_idx", "text"))
+
+
 def packing(spark: SparkSession, d: str) -> DataFrame:
     docs = derived.table(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("text"))
     return docs.select("doc_id", F.posexplode(C.packed(F.col("text"), COUNTER)).alias("piece_idx", "text"))
@@ -173,6 +190,8 @@ def queries() -> dict[str, Query]:
     return {
         "claims": claims,
         "g01_sentences": lambda s, d: K.sentences(derived.claim_pages(s, d)),
+        "g01_trained": lambda s, d: K.sentences(noted_pages(s, d), sentence_ends(s, d).split),
+        "g02_trained": packing_trained,
         "p01_clean": of_sentences(s=lambda: F.col("s")),
         "p02_lower": of_sentences(low=lambda: F.col("low")),
         "p03_words": of_sentences(words=lambda: F.col("words")),

@@ -169,6 +169,75 @@ TOLD = f"""told AS (
   SELECT doc_id, 'extraction' AS phase, n_pages AS page_number, 0 AS seq, 0 AS sub, CASE WHEN doc_id % 8 = 0 THEN 'extraction error: no such font' ELSE 'text extraction returned empty' END AS message FROM n WHERE doc_id % 4 = 0
   UNION ALL SELECT doc_id, 'chunking', page_number, place, k, 'sentence exceeded 480 tokens (' || CAST(st AS VARCHAR) || '); split on tokens with 50-token overlap' FROM numbered_sents JOIN (SELECT doc_id, page_number, kind, src_idx, row_number() OVER (PARTITION BY doc_id ORDER BY {ORDER}) AS place FROM placed) USING ({KEY}) WHERE st > 480 AND kind = 0
 ), warned AS (SELECT doc_id, phase, page_number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY phase <> 'extraction', page_number, seq, sub) AS INTEGER) AS seq, 'page ' || CAST(page_number AS VARCHAR) || ': ' || message AS message FROM told)"""
+NOTES = """notes AS (
+  SELECT o_orderkey AS doc_id, o_custkey, 'Order No. ' || CAST(o_orderkey AS VARCHAR) || ' of Dr. ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' holds approx. ' || CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) || ' crowns and may cost more crowns. It was placed on '
+    || strftime(o_orderdate, '%Y-%m-%d') || ' by mail. Is it urgent? The desk of J. ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' holds more mail, cf. note ' || CAST(o_orderkey AS VARCHAR) || '.' AS text
+  FROM orders JOIN customer ON c_custkey = o_custkey
+), noted AS (
+  SELECT doc_id, 1 AS page_number, text FROM documents
+  UNION ALL SELECT d.doc_id, 2, a.sentence || ' ' || b.sentence FROM documents d JOIN golden a ON a.id = d.doc_id % 35 + 1 JOIN golden b ON b.id = (d.doc_id * 2 + 31) % 35 + 1
+  UNION ALL SELECT doc_id, 3, text FROM notes
+)"""
+
+
+def word(x: str) -> str:
+    bare = rf"regexp_replace(regexp_replace(lower({x}), '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}]*$', '')"
+    return rf"CASE WHEN regexp_matches({bare}, '^[\p{{N}}.,:/-]*\p{{N}}[\p{{N}}.,:/-]*$') THEN '#' ELSE {bare} END"
+
+
+def ending(x: str) -> str:
+    return rf"CASE WHEN regexp_matches({x}, '[\p{{L}}\p{{N}}]\.$') THEN '.' WHEN regexp_matches({x}, '[.!?]$') THEN '!' ELSE '' END"
+
+
+def case_of(x: str) -> str:
+    first = rf"regexp_extract({x}, '\p{{L}}|\p{{N}}')"
+    return rf"CASE WHEN regexp_matches({first}, '\p{{Lu}}') THEN 'upper' WHEN regexp_matches({first}, '\p{{Ll}}') THEN 'lower' ELSE 'other' END"
+
+
+def likelihood(k: str, n: str, p: str) -> str:
+    held = f"least(greatest({p}, 1e-10::DOUBLE), 1 - 1e-10::DOUBLE)"
+    return f"(({k}) * ln({held}) + (({n}) - ({k})) * ln(1 - {held}))"
+
+
+def tied(first: str, total: str, least: float) -> str:
+    """paired and second are columns; first and total expressions."""
+    rest, out = f"greatest({total} - {first}, 0)", "greatest(second - paired, 0)"
+    ratio = f"-2 * ({likelihood('paired', first, f'second / {total}')} + {likelihood(out, rest, f'second / {total}')} - {likelihood('paired', first, f'paired / {first}')} - {likelihood(out, rest, f'CASE WHEN {rest} > 0 THEN {out} / {rest} ELSE 0 END')})"
+    return f"({ratio} >= {least} AND paired / {first} > second / {total})"
+
+
+LENGTH = "length(replace(word, '.', ''))::DOUBLE"
+SINGLE = r"regexp_matches({}, '^\p{{L}}$')"
+LEARNED = rf"""{GOLDEN}, {NOTES}, toks AS (
+  SELECT t[i] AS tok, CASE WHEN i > 1 THEN t[i - 1] END AS prev FROM (
+    SELECT t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT list_filter(string_split_regex(replace(text, chr(1), ' '), '{WS}+'), lambda x: x <> '') AS t FROM (SELECT DISTINCT text FROM noted)))
+), shaped AS (SELECT CASE WHEN ended = '.' THEN {word("prev")} ELSE '' END AS before, ended, {word("tok")} AS word, {ending("tok")} = '.' AS stop, {case_of("tok")} AS letter FROM (SELECT *, CASE WHEN prev IS NULL THEN '!' ELSE {ending("prev")} END AS ended FROM toks)),
+counts AS (SELECT *, count(*)::DOUBLE AS n FROM shaped GROUP BY ALL),
+words AS (SELECT word, sum(n) AS n, coalesce(sum(n) FILTER (WHERE stop), 0) AS k FROM counts WHERE word <> '' GROUP BY 1),
+abbreviated AS (
+  SELECT word FROM words, (SELECT sum(k) AS stops, sum(n) AS tokens FROM words) WHERE k > 0 AND regexp_matches(word, '\p{{L}}') AND NOT {SINGLE.format("word")}
+  AND -2 * ({likelihood("k", "n", "stops / tokens")} - {likelihood("k", "n", "0.99::DOUBLE")}) * (length(word) - {LENGTH} + 1) * exp(-{LENGTH}) * exp(-(n - k) * ln({LENGTH})) >= 0.3
+), after AS (SELECT *, before IN (SELECT word FROM abbreviated) OR before = '#' OR {SINGLE.format("before")} AS unsure FROM counts WHERE ended <> ''),
+total AS (SELECT sum(n) AS total FROM counts), breaks AS (SELECT sum(n) AS first FROM after WHERE ended = '!' OR NOT unsure),
+every AS (SELECT word, sum(n) AS second, coalesce(sum(n) FILTER (WHERE letter = 'lower'), 0) AS low, coalesce(sum(n) FILTER (WHERE letter = 'upper' AND ended = ''), 0) AS inside FROM counts GROUP BY 1),
+starters AS (
+  SELECT word FROM (SELECT word, sum(n) AS paired FROM after WHERE (ended = '!' OR NOT unsure) AND regexp_matches(word, '\p{{L}}') GROUP BY 1) JOIN every USING (word), breaks, total WHERE {tied("first", "total", 30.0)}
+), collocated AS (
+  SELECT before, word FROM (SELECT before, word, sum(n) AS paired FROM after WHERE ended = '.' AND word <> '' AND before <> '' AND (unsure OR word = '#') GROUP BY ALL HAVING sum(n) > 1)
+  JOIN (SELECT word AS before, sum(n) AS first FROM counts WHERE stop AND word <> '' GROUP BY 1) USING (before) JOIN every USING (word), total WHERE word NOT IN (SELECT word FROM starters) AND {tied("first", "total", 7.88)}
+), openers AS (SELECT word FROM every WHERE low > 0 AND inside = 0 AND word IN (SELECT word FROM after WHERE unsure AND ended = '.' AND letter = 'upper'))"""
+
+
+def learned_pieces(source: str, key: str) -> str:
+    """split(key, i, sentence) of a source with a text, by the learned lists."""
+    return rf"""cut_up AS (SELECT {key}, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT {key}, string_split(regexp_replace(replace(text, chr(1), ' '), '([.!?])({WS}+)', '\1' || chr(1) || '\2' || chr(1), 'g'), chr(1)) AS p FROM {source} WHERE text IS NOT NULL)),
+near AS (SELECT {key}, i, p[i] AS x, {word("l")} AS lw, {word("r")} AS rw, {case_of("r")} AS letter, {ending("l")} AS mark FROM (SELECT *, regexp_extract(p[i - 1], '[^\s]+$') AS l, regexp_extract(p[i + 1], '^[^\s]+') AS r FROM cut_up)),
+judged AS (SELECT *, letter = 'upper' AND rw IN (SELECT word FROM openers) AS opens, letter = 'upper' AND rw IN (SELECT word FROM starters) AS starts, (lw, rw) IN (SELECT (before, word) FROM collocated) AS close FROM near),
+ended AS (SELECT *, i % 2 = 0 AND (mark <> '.' OR NOT ((close AND NOT opens) OR CASE WHEN lw IN (SELECT word FROM abbreviated) THEN NOT (starts OR opens)
+  WHEN lw = '#' OR {SINGLE.format("lw")} THEN letter = 'lower' OR ({SINGLE.format("lw")} AND letter = 'upper' AND NOT (starts OR opens)) ELSE false END)) AS cut FROM judged),
+split AS (SELECT {key}, g AS i, string_agg(x, '' ORDER BY i) AS sentence FROM (SELECT *, sum(cut::INTEGER) OVER (PARTITION BY {key} ORDER BY i) AS g FROM ended) WHERE NOT cut GROUP BY ALL)"""
+
+
 CHUNK_ID = "'chunk_' || CASE WHEN number < 10000 THEN lpad(CAST(number AS VARCHAR), 4, '0') ELSE CAST(number AS VARCHAR) END"
 SENT_KEYS = "doc_id, page_number, sent_idx"
 
@@ -178,6 +247,11 @@ def queries() -> dict[str, str]:
     return {
         "claims": f"WITH {CLAIMS} SELECT * FROM claims",
         "g01_sentences": f"WITH {SENTS} SELECT {SENT_KEYS}, raw FROM sents",
+        "g01_trained": f"WITH {LEARNED}, {learned_pieces('noted', 'doc_id, page_number')} SELECT doc_id, page_number, i::INTEGER AS sent_idx, sentence AS raw FROM split",
+        "g02_trained": f"""WITH RECURSIVE {LEARNED}, texts AS (SELECT o_custkey, string_agg(text, ' ' ORDER BY doc_id) AS text FROM notes GROUP BY 1), {learned_pieces("texts", "o_custkey")},
+  sized AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY i) AS k, {stripped("sentence")} AS s, {tokens("sentence")} AS st FROM split),
+  walk AS (SELECT o_custkey, k, st AS n, 0 AS c FROM sized WHERE k = 1 UNION ALL SELECT w.o_custkey, s.k, CASE WHEN w.n + s.st > 60 THEN s.st ELSE w.n + s.st END, CASE WHEN w.n + s.st > 60 THEN w.c + 1 ELSE w.c END FROM walk w JOIN sized s ON s.o_custkey = w.o_custkey AND s.k = w.k + 1)
+  SELECT o_custkey, c::INTEGER AS piece_idx, string_agg(s, ' ' ORDER BY k) AS text FROM walk JOIN sized USING (o_custkey, k) GROUP BY ALL""",
         "p01_clean": f"WITH {FEATS} SELECT {SENT_KEYS}, s FROM feats",
         "p02_lower": f"WITH {FEATS} SELECT {SENT_KEYS}, low FROM feats",
         "p03_words": f"WITH {FEATS} SELECT {SENT_KEYS}, words FROM feats",

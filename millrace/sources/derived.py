@@ -32,6 +32,18 @@ def claim_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.lit(1).alias("page_number"), "text").unionByName(both)
 
 
+def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page_number, text: a third page for each order, four sentences with abbreviations, an initial and numbers inside."""
+    segments = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.initcap(F.lower("c_mktsegment")).alias("who"))
+    rows = table(spark, sf_dir, "orders").join(segments, "o_custkey")
+    key, price = F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("long").cast("string")
+    text = F.concat(
+        F.lit("Order No. "), key, F.lit(" of Dr. "), "who", F.lit(" holds approx. "), price, F.lit(" crowns and may cost more crowns. It was placed on "), F.date_format("o_orderdate", "yyyy-MM-dd"),
+        F.lit(" by mail. Is it urgent? The desk of J. "), "who", F.lit(" holds more mail, cf. note "), key, F.lit("."),
+    )
+    return rows.select(F.col("o_orderkey").alias("doc_id"), F.lit(3).alias("page_number"), text.alias("text"))
+
+
 def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of pages of eight lines of text, with a running header, a page number, captions, lists and headings."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
