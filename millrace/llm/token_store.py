@@ -135,7 +135,7 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def holds_added(self, word: str) -> bool:
-        """Whether an added token may be found in a word, as it is or as the tokenizer normalises it."""
+        """Whether an added token may be found in a word, or in several between blanks, as they are or as the tokenizer normalises them."""
         normal = self.tokenizer.normalizer
         return bool(self.added.search(word)) or (normal is not None and not word.isascii() and bool(self.added.search(normal.normalize_str(word))))
 
@@ -151,10 +151,11 @@ class Encoder:
     def learn(self, words: list[str]) -> None:
         """Take up words, from before if they were met then; one with ASCII signs at its end from its two parts."""
         parts, new, rest = {}, [], []
+        odd = {w for w in words if self.holds_added(w)} if self.holds_added(" ".join(words)) else ()  # hardly ever any
         for w in words:
             if w in self.before:
                 self.known[w] = self.before[w]
-            elif self.holds_added(w):
+            elif w in odd:
                 rest.append(w)
             elif m := _TAIL.match(w):
                 parts[w] = m.span(2)[0]
