@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from millrace.functions import sentence_model, text as T
 from millrace.functions.lexicon import any_of, hits, vocabulary
 from millrace.functions.tokens import SignTokens
-from millrace.operators import chunks as C, claims as K, evaluate, layout as L
+from millrace.operators import chunks as C, claims as K, evaluate, layout as L, versions as V
 from millrace.plans import sql
 from millrace.sources import derived, sinks
 
@@ -172,6 +172,33 @@ def output_names(spark: SparkSession, d: str) -> DataFrame:
     return derived.table(spark, d, "documents").select("doc_id", F.concat("source", ending).alias("url")).withColumn("output", sinks.output_name(F.col("url")))
 
 
+def gold(spark: SparkSession, d: str) -> DataFrame:
+    """Gold rows with the topic of what was written down."""
+    return derived.gold_rows(spark, d).withColumn("topic", K.esg_type(F.lower("original"))).drop("original")
+
+
+def gold_recall(spark: SparkSession, d: str) -> DataFrame:
+    rows = claims(spark, d).select(F.col("Company").cast("long").alias("doc_id"), F.col("Claim_Text").alias("text"), F.col("ESG_Type").alias("topic"))
+    return evaluate.recall(evaluate.found_gold(gold(spark, d), rows, ["doc_id"]), "topic")
+
+
+def versioned(spark: SparkSession, d: str) -> DataFrame:
+    return V.claims(V.first_of(V.judged(feats(spark, d))))
+
+
+def version_gold(spark: SparkSession, d: str) -> DataFrame:
+    """Recall and precision of each version on the gold rows."""
+    names = F.array(*[F.lit(v.name) for v in V.VERSIONS])
+    asked = gold(spark, d).withColumn("version", F.explode(names))
+    return evaluate.recall(evaluate.found_gold(asked, versioned(spark, d), ["version", "doc_id"]), "version")
+
+
+def judge_reliability(spark: SparkSession, d: str) -> DataFrame:
+    """Of all three judges."""
+    each = F.explode(F.array("reader", "length_rule", "tone_rule")).alias("answer")
+    return evaluate.reliability(derived.judges(spark, d).select("lang", F.col("doc_id").alias("unit"), each), "lang")
+
+
 def any_lists() -> dict:
     return {f"any_{x}": (lambda x=x: any_of(F.col("low"), x)) for x in vocabulary() if x != "section_nav_words"}
 
@@ -248,8 +275,14 @@ def queries() -> dict[str, Query]:
         "a09_precision": lambda s, d: evaluate.precision(evaluate.judgements(s, d), "lang"),
         "a09_error_kinds": lambda s, d: evaluate.error_kinds(evaluate.judgements(s, d), "source"),
         "a09_pivot": lambda s, d: evaluate.pivoted(evaluate.judgements(s, d), "source", "lang", ["de", "en", "es", "fr"]),
-        "a09_agreement": lambda s, d: evaluate.agreement(derived.table(s, d, "labels"), "quality", "toxic"),
-        "a09_recall": lambda s, d: evaluate.supported(claims(s, d)),
+        "a09_label_pairs": lambda s, d: evaluate.contingency(derived.table(s, d, "labels"), "quality", "toxic"),
+        "a09_supported": lambda s, d: evaluate.supported(claims(s, d)),
+        "a09_recall": gold_recall,
+        "a09_agreement": lambda s, d: evaluate.agreement(derived.judges(s, d), "reader", "length_rule", "lang"),
+        "a09_reliability": judge_reliability,
+        "a09_versions": lambda s, d: V.progress(versioned(s, d)),
+        "a09_version_changes": lambda s, d: V.changes(V.first_of(V.judged(feats(s, d)))),
+        "a09_version_gold": version_gold,
     }
 
 

@@ -238,6 +238,52 @@ ended AS (SELECT *, i % 2 = 0 AND (mark <> '.' OR NOT ((close AND NOT opens) OR
 split AS (SELECT {key}, g AS i, string_agg(x, '' ORDER BY i) AS sentence FROM (SELECT *, sum(cut::INTEGER) OVER (PARTITION BY {key} ORDER BY i) AS g FROM ended) WHERE NOT cut GROUP BY ALL)"""
 
 
+TOLD_GOLD = """gold_told AS (
+  SELECT doc_id, gold_id, sentence AS original, quality = 1 AS is_real, CASE doc_id % 4 WHEN 0 THEN sentence WHEN 1 THEN upper(sentence) WHEN 2 THEN array_to_string(w[1 : greatest(len(w) - 1, 1)], ' ')
+    ELSE array_to_string(w[1 : len(w) // 2], ' ') || ' and so on, in other terms that nobody kept' END AS text
+  FROM (SELECT doc_id, gold_id, quality, sentence, string_split(sentence, ' ') AS w FROM (
+    SELECT doc_id, max(quality) AS quality, unnest([0, 1]) AS gold_id FROM labels GROUP BY doc_id) JOIN golden ON id = CASE gold_id WHEN 0 THEN doc_id % 35 + 1 ELSE (doc_id * 2 + 31) % 35 + 1 END)
+)"""
+
+
+def distinct_tokens(x: str) -> str:
+    return rf"list_distinct(regexp_extract_all(lower({clean(x)}), '[\p{{L}}\p{{N}}]+'))"
+
+
+def gold_found(claims: str, keys: str, gold: str) -> str:
+    """found(gold columns, as_topic or null): every gold row against every claim of its keys."""
+    on = " AND ".join(f"c.{k.strip()} = g.{k.strip()}" for k in keys.split(","))
+    same = ", ".join(f"g.{k.strip()}" for k in keys.split(","))
+    return f"""pairs AS (
+  SELECT {same}, g.gold_id, c.topic AS as_topic, c.text AS claim_text, len(list_intersect({distinct_tokens("g.text")}, {distinct_tokens("c.text")})) AS held, len({distinct_tokens("g.text")}) AS wanted FROM {gold} g JOIN {claims} c ON {on}
+), best AS (SELECT {keys}, gold_id, as_topic FROM pairs WHERE held > 0 AND held * 100 >= wanted * 80 QUALIFY row_number() OVER (PARTITION BY {keys}, gold_id ORDER BY held DESC, claim_text) = 1),
+found AS (SELECT g.*, b.as_topic, b.gold_id IS NOT NULL AS hit FROM {gold} g LEFT JOIN best b USING ({keys}, gold_id))"""
+
+
+def recall_by(key: str) -> str:
+    return f"""SELECT {key}, count(*) FILTER (WHERE is_real) AS real, count(*) FILTER (WHERE is_real AND hit) AS found, avg(hit::INTEGER::DOUBLE) FILTER (WHERE is_real) AS recall, count(*) FILTER (WHERE NOT is_real AND hit) AS admitted,
+  avg(is_real::INTEGER::DOUBLE) FILTER (WHERE hit) AS precision, avg((topic = as_topic)::INTEGER::DOUBLE) FILTER (WHERE is_real AND hit) AS typed FROM found WHERE is_real IS NOT NULL GROUP BY {key}"""
+
+
+GOLD = f"{TOLD_GOLD}, gold AS (SELECT doc_id, gold_id, text, is_real, ESG_Type AS topic FROM {TYPED % '(SELECT *, lower(original) AS low FROM gold_told)'})"
+_NO_ENVIRONMENT = f"NOT ((quantity OR {any_of('action_keywords')}) AND {ENVIRONMENT} > 0)"
+_PLAIN = f"CASE WHEN {hits('social_keywords')} > {ENVIRONMENT} AND {hits('social_keywords')} >= {hits('governance_keywords')} THEN 'S' WHEN {hits('governance_keywords')} > {ENVIRONMENT} THEN 'G' ELSE 'E' END"
+
+
+def reason_of(reasons: tuple[str, ...], own: dict[str, str] | None = None) -> str:
+    return "CASE " + " ".join(f"WHEN {(PREDICATES | (own or {}))[r]} THEN '{r}'" for r in reasons) + " END"
+
+
+#: Each version by itself: its reasons, its first uses, its topics.
+V1 = ("length", "not_assertion", "boilerplate", "reference_dense")
+V2 = (*V1, "navigation", "methodology", "general_statement", "risk_description")
+VERSIONED = f"""{FEATS}, r1 AS (SELECT *, {reason_of(V1, {"not_assertion": _NO_ENVIRONMENT})} AS reason, {_PLAIN} AS topic FROM feats),
+r2 AS (SELECT * EXCLUDE (e, o, g, ESG_Type), ESG_Type AS topic FROM {TYPED % f"(SELECT *, {reason_of(V2)} AS reason FROM feats)"}), r3 AS (SELECT * EXCLUDE (e, o, g, ESG_Type), ESG_Type AS topic FROM {TYPED % f"(SELECT *, {reason_of(REASONS)} AS reason FROM feats)"}),
+judged AS (SELECT 'v1' AS version, * FROM r1 UNION ALL BY NAME SELECT 'v2' AS version, * FROM r2 UNION ALL BY NAME SELECT 'v2.1' AS version, * FROM r3),
+versioned AS (SELECT version, doc_id, page_number, sent_idx, s AS text, topic, low FROM judged WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY version, doc_id, low ORDER BY page_number, sent_idx) = 1)"""
+JUDGES = "judges AS (SELECT l.doc_id, lang, quality AS reader, CASE WHEN text IS NOT NULL AND doc_id % 11 <> 0 THEN (len(string_split(trim(text), ' ')) >= 20)::INTEGER END AS length_rule, 1 - toxic AS tone_rule FROM labels l JOIN documents d USING (doc_id))"
+
+
 CHUNK_ID = "'chunk_' || CASE WHEN number < 10000 THEN lpad(CAST(number AS VARCHAR), 4, '0') ELSE CAST(number AS VARCHAR) END"
 SENT_KEYS = "doc_id, page_number, sent_idx"
 
@@ -314,6 +360,22 @@ def queries() -> dict[str, str]:
         "a09_precision": "SELECT d.lang, count(*) AS judged, avg(CAST(quality AS DOUBLE)) AS precision FROM labels l JOIN documents d USING (doc_id) GROUP BY d.lang",
         "a09_error_kinds": "SELECT d.source, sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END)::BIGINT AS rejected, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END)::BIGINT AS abusive, count(*) AS judged FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source",
         "a09_pivot": "SELECT d.source, " + ", ".join(f"count(*) FILTER (WHERE d.lang = '{x}') AS {x}" for x in ("de", "en", "es", "fr")) + " FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 1 GROUP BY d.source",
-        "a09_agreement": "SELECT quality AS first, toxic AS second, count(*) AS n FROM labels GROUP BY ALL",
-        "a09_recall": f"WITH {CLAIMS} SELECT Company, count(*) AS found, count(*) FILTER (WHERE Evidence_Exists = 'Yes') * 1.0::DOUBLE / count(*) AS supported FROM claims GROUP BY Company",
+        "a09_label_pairs": "SELECT quality AS first, toxic AS second, count(*) AS n FROM labels GROUP BY ALL",
+        "a09_agreement": f"""WITH {JUDGES}, pairs AS (SELECT lang, reader AS a, length_rule AS b FROM judges WHERE reader IS NOT NULL AND length_rule IS NOT NULL), n AS (SELECT lang, count(*)::DOUBLE AS n, count(*) FILTER (WHERE a = b)::DOUBLE AS same FROM pairs GROUP BY 1),
+  shares AS (SELECT lang, v, count(*) FILTER (WHERE one)::DOUBLE AS a, count(*) FILTER (WHERE NOT one)::DOUBLE AS b FROM (SELECT lang, a AS v, true AS one FROM pairs UNION ALL SELECT lang, b, false FROM pairs) GROUP BY ALL),
+  chance AS (SELECT lang, sum(a * b) AS cross_, sum((a + b) * (a + b)) AS square FROM shares GROUP BY 1), every AS (SELECT lang, count(*) AS rows FROM judges GROUP BY 1)
+  SELECT e.lang, e.rows, coalesce(n, 0)::BIGINT AS paired, same / nullif(n, 0) AS observed, (same / n - cross_ / (n * n)) / nullif(1 - cross_ / (n * n), 0) AS kappa, 1 - (2 * n - 1) * 2 * (n - same) / nullif(4 * n * n - square, 0) AS alpha
+  FROM every e LEFT JOIN n ON n.lang IS NOT DISTINCT FROM e.lang LEFT JOIN chance c ON c.lang IS NOT DISTINCT FROM e.lang""",
+        "a09_reliability": f"""WITH {JUDGES}, answers AS (SELECT lang, doc_id AS unit, unnest([reader, length_rule, tone_rule]) AS answer FROM judges), cells AS (SELECT lang, unit, answer, count(*)::DOUBLE AS n FROM answers WHERE answer IS NOT NULL GROUP BY ALL),
+  units AS (SELECT lang, unit, sum(n) AS m, sum(n * n) AS square FROM cells GROUP BY ALL HAVING sum(n) > 1), apart AS (SELECT lang, count(*) AS units, sum(m) AS m, sum((m * m - square) / (m - 1)) AS apart FROM units GROUP BY 1),
+  totals AS (SELECT lang, sum(n * n) AS square FROM (SELECT c.lang, c.answer, sum(c.n) AS n FROM cells c JOIN units u ON u.unit = c.unit AND u.lang IS NOT DISTINCT FROM c.lang GROUP BY ALL) GROUP BY 1)
+  SELECT a.lang, a.units, a.m::BIGINT AS answers, 1 - (m - 1) * apart / nullif(m * m - t.square, 0) AS alpha FROM apart a JOIN totals t ON t.lang IS NOT DISTINCT FROM a.lang""",
+        "a09_recall": f"WITH {CLAIMS}, {GOLD}, made AS (SELECT Company::BIGINT AS doc_id, Claim_Text AS text, ESG_Type AS topic FROM claims), {gold_found('made', 'doc_id', 'gold')} {recall_by('topic')}",
+        "a09_versions": f"WITH {VERSIONED} SELECT version, " + ", ".join(f"count(*) FILTER (WHERE topic = '{t}') AS {t}" for t in "ESG") + ", count(*) AS claims FROM versioned GROUP BY version",
+        "a09_version_changes": f"""WITH {VERSIONED}, all_first AS (SELECT * FROM judged WHERE low IS NOT NULL QUALIFY row_number() OVER (PARTITION BY version, doc_id, low, reason IS NULL ORDER BY page_number, sent_idx) = 1), texts AS (SELECT DISTINCT doc_id, low FROM versioned),
+  side AS (SELECT version, doc_id, low, any_value(reason) AS reason, any_value(topic) AS topic FROM all_first JOIN texts USING (doc_id, low) GROUP BY ALL), steps(older, newer) AS (VALUES ('v1', 'v2'), ('v2', 'v2.1')),
+  moved AS (SELECT older, newer, a.topic AS old, b.topic AS new, a.reason AS was, b.reason AS now FROM steps JOIN side a ON a.version = older JOIN side b ON b.version = newer AND b.doc_id = a.doc_id AND b.low = a.low WHERE a.reason IS NULL OR b.reason IS NULL)
+  SELECT older, newer, CASE WHEN was IS NOT NULL THEN 'gained' WHEN now IS NOT NULL THEN 'lost' WHEN old <> new THEN 'relabelled' ELSE 'kept' END AS change, CASE WHEN was IS NOT NULL THEN new ELSE old END AS topic, CASE WHEN was IS NOT NULL THEN was WHEN now IS NOT NULL THEN now WHEN old <> new THEN new ELSE '' END AS detail, count(*) AS n FROM moved GROUP BY ALL""",
+        "a09_version_gold": f"WITH {VERSIONED}, {GOLD}, asked AS (SELECT *, unnest(['v1', 'v2', 'v2.1']) AS version FROM gold), {gold_found('versioned', 'version, doc_id', 'asked')} {recall_by('version')}",
+        "a09_supported": f"WITH {CLAIMS} SELECT Company, count(*) AS found, count(*) FILTER (WHERE Evidence_Exists = 'Yes') * 1.0::DOUBLE / count(*) AS supported FROM claims GROUP BY Company",
     }

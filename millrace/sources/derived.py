@@ -32,6 +32,30 @@ def claim_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.lit(1).alias("page_number"), "text").unionByName(both)
 
 
+def gold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, gold_id, text, original, is_real: the known sentences of each labelled document as annotators wrote them down.
+
+    One in four is as it was, one in capitals, one without its last word, and one retold so that it can't be recognised.
+    A sentence is real where the document's label says so.
+    """
+    known = F.broadcast(spark.createDataFrame([r[:2] for r in golden()], "id int, sentence string"))  # 35 rows
+    n = len(golden())
+    each = F.posexplode(F.array(F.col("doc_id") % n + 1, (F.col("doc_id") * 2 + 31) % n + 1)).alias("gold_id", "id")
+    rows = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")).select("doc_id", "quality", each).join(known, "id")
+    words = F.split("sentence", " ")
+    told = F.when(F.col("doc_id") % 4 == 0, F.col("sentence")).when(F.col("doc_id") % 4 == 1, F.upper("sentence")).when(F.col("doc_id") % 4 == 2, F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), " "))
+    retold = F.concat(F.array_join(F.slice(words, F.lit(1), F.floor(F.size(words) / 2).cast("int")), " "), F.lit(" and so on, in other terms that nobody kept"))
+    return rows.select("doc_id", "gold_id", F.coalesce(told, retold).alias("text"), F.col("sentence").alias("original"), (F.col("quality") == 1).alias("is_real"))
+
+
+def judges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, reader, length_rule, tone_rule: three answers to whether a document is good, some of them missing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    words = F.size(F.split(F.trim("text"), " "))
+    length = F.when(F.col("text").isNotNull() & (F.col("doc_id") % 11 != 0), (words >= 20).cast("int"))
+    return table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", "lang", F.col("quality").alias("reader"), length.alias("length_rule"), (1 - F.col("toxic")).alias("tone_rule"))
+
+
 def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_number, text: a third page for each order, four sentences with abbreviations, an initial and numbers inside."""
     segments = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.initcap(F.lower("c_mktsegment")).alias("who"))
