@@ -1,7 +1,7 @@
 """Command line: ``claims`` and ``chunks`` over a folder of reports, or over Parquet tables of pages and layouts.
 
-    python -m millrace claims FOLDER OUTPUT [--company NAME] [--pages-table] [--text-folders]
-    python -m millrace chunks FOLDER OUTPUT [--company NAME] [--year YEAR] [--report-type TYPE] [--layout-tables]
+    python -m millrace claims FOLDER OUTPUT [--company NAME] [--pages-table] [--text-folders] [--report-files] [--learn-sentences]
+    python -m millrace chunks FOLDER OUTPUT [--company NAME] [--year YEAR] [--report-type TYPE] [--layout-tables] [--report-files]
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.functions import sentence_model, text as T
 from millrace.operators import chunks as C, claims as K, layout as L
 from millrace.sources import reports, sinks
 
@@ -32,8 +33,12 @@ def run_claims(spark: SparkSession, args: argparse.Namespace) -> int:
     if pages.isEmpty():
         print(f"no reports in {args.folder}", file=sys.stderr)
         return 1
-    sinks.write_page_text(pages, f"{args.output}/text", args.text_folders)
-    reasoned = sinks.kept(K.with_reason(K.features(K.sentences(pages))), "sentences")
+    if args.report_files:
+        sinks.write_page_files(pages, f"{args.output}/text")
+    else:
+        sinks.write_page_text(pages, f"{args.output}/text", args.text_folders)
+    split = sentence_model.learned(pages.select("text").distinct(), sinks.kept).split if args.learn_sentences else T.sentences
+    reasoned = sinks.kept(K.with_reason(K.features(K.sentences(pages, split))), "sentences")
     rows = K.classified(K.first_seen(reasoned))
     if args.company:
         rows = rows.withColumn("Company", F.lit(args.company))
@@ -66,7 +71,10 @@ def run_chunks(spark: SparkSession, args: argparse.Namespace) -> int:
     about = counted.select("doc_id", name.alias("source_pdf"), F.lit(args.company).alias("company"), F.lit(args.year).cast("int").alias("year"), F.lit(args.report_type).alias("report_type"), "total_pages")
     items = sinks.kept(C.ordered_items(blocks, tables, pages), "items")
     nested = sinks.kept(C.reports(C.chunks(items), C.warnings(items, blocks, pages), about), "reports")
-    sinks.write_json(nested, args.output)
+    if args.report_files:
+        sinks.write_json_files(nested, args.output)
+    else:
+        sinks.write_json(nested, args.output)
     total = nested.agg(F.sum(F.size("chunks")).alias("chunks"), F.sum(F.size("extraction_warnings")).alias("warnings")).first()
     print(f"{total.chunks} chunks, {total.warnings} warnings")
     return 0
@@ -80,9 +88,11 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("folder")
         p.add_argument("output")
         p.add_argument("--company")
+        p.add_argument("--report-files", action="store_true", help="one file for each report, all or none of a run")
         if name == "claims":
             p.add_argument("--pages-table", action="store_true")
             p.add_argument("--text-folders", action="store_true", help="page text in one folder for each report")
+            p.add_argument("--learn-sentences", action="store_true", help="learn abbreviations from the pages before they are cut into sentences")
         else:
             p.add_argument("--year", type=int)
             p.add_argument("--report-type")

@@ -11,7 +11,7 @@ from millrace.functions.lexicon import any_of, hits, vocabulary
 from millrace.functions.tokens import SignTokens
 from millrace.operators import chunks as C, claims as K, evaluate, layout as L, versions as V
 from millrace.plans import sql
-from millrace.sources import derived, sinks
+from millrace.sources import derived, reports as report_source, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 SENT = ("doc_id", "page_number", "sent_idx")
@@ -135,12 +135,32 @@ def nested_reports(spark: SparkSession, d: str) -> DataFrame:
     return C.reports(C.chunks(items), C.warnings(items, blocks(spark, d), p), meta)
 
 
+def chunk_fields(found: DataFrame) -> DataFrame:
+    """Every field of every chunk of the reports, but the time."""
+    rows = found.select("report_metadata.*", F.explode("chunks").alias("c"), F.size("extraction_warnings").alias("n_warnings"))
+    return rows.select("source_pdf", "company", "year", "report_type", "total_pages", "n_warnings", *[f"c.{x}" for x in ("chunk_id", "page_number", "content_type", "text", "token_count", "heading_context")], *[F.col("c.bbox")[k].alias(x) for k, x in enumerate(BOX)])
+
+
 def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Every field of every chunk of the reports, but the time, as it comes back from JSON."""
+    """What comes back from JSON, an object to a line."""
     nested, folder = nested_reports(spark, d), sinks.scratch(spark, "reports-json")
     sinks.write_json(nested, folder)
-    found = sinks.read_json(spark, folder, nested.drop("doc_id").schema).select("report_metadata.*", F.explode("chunks").alias("c"), F.size("extraction_warnings").alias("n_warnings"))
-    return found.select("source_pdf", "company", "year", "report_type", "total_pages", "n_warnings", *[f"c.{x}" for x in ("chunk_id", "page_number", "content_type", "text", "token_count", "heading_context")], *[F.col("c.bbox")[k].alias(x) for k, x in enumerate(BOX)])
+    return chunk_fields(sinks.read_json(spark, folder, nested.drop("doc_id").schema))
+
+
+def json_files(spark: SparkSession, d: str) -> DataFrame:
+    """What comes back from an indented JSON file for each report."""
+    nested, folder = nested_reports(spark, d), sinks.scratch(spark, "report-files")
+    sinks.write_json_files(nested, folder)
+    return chunk_fields(sinks.read_json_files(spark, folder, nested.drop("doc_id").schema))
+
+
+def page_files(spark: SparkSession, d: str) -> DataFrame:
+    """name, text of the page text's file of each document."""
+    folder = sinks.scratch(spark, "page-files")
+    sinks.write_page_files(derived.claim_pages(spark, d), folder)
+    found = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
+    return found.select(sinks.stem(F.col("_metadata.file_path")).alias("name"), F.col("value").alias("text"))
 
 
 def warnings(spark: SparkSession, d: str) -> DataFrame:
@@ -272,6 +292,9 @@ def queries() -> dict[str, Query]:
         "a08_reports": reports,
         "a08_warnings": warnings,
         "s09_json_round_trip": json_round_trip,
+        "s03_blocks": lambda s, d: report_source.blocks(derived.text_spans(s, d)),
+        "s07_page_files": page_files,
+        "s09_report_files": json_files,
         "a09_precision": lambda s, d: evaluate.precision(evaluate.judgements(s, d), "lang"),
         "a09_error_kinds": lambda s, d: evaluate.error_kinds(evaluate.judgements(s, d), "source"),
         "a09_pivot": lambda s, d: evaluate.pivoted(evaluate.judgements(s, d), "source", "lang", ["de", "en", "es", "fr"]),

@@ -290,7 +290,7 @@ SENT_KEYS = "doc_id, page_number, sent_idx"
 
 def queries() -> dict[str, str]:
     any_lists = ["topic_keywords", "social_keywords", "governance_keywords", *(x for x in vocabulary() if x not in ("topic_keywords", "social_keywords", "governance_keywords", "section_nav_words"))]
-    return {
+    found = {
         "claims": f"WITH {CLAIMS} SELECT * FROM claims",
         "g01_sentences": f"WITH {SENTS} SELECT {SENT_KEYS}, raw FROM sents",
         "g01_trained": f"WITH {LEARNED}, {learned_pieces('noted', 'doc_id, page_number')} SELECT doc_id, page_number, i::INTEGER AS sent_idx, sentence AS raw FROM split",
@@ -357,6 +357,13 @@ def queries() -> dict[str, str]:
         "a08_reports": f"WITH RECURSIVE {CHUNKS} SELECT doc_id, CAST(coalesce(n_chunks, 0) AS INTEGER) AS n_chunks, coalesce(outline, '') AS outline, n_pages AS total_pages FROM n LEFT JOIN (SELECT doc_id, count(*) AS n_chunks, string_agg({CHUNK_ID} || ':' || content_type, ',' ORDER BY number) AS outline FROM chunks GROUP BY doc_id) USING (doc_id)",
         "a08_warnings": f"WITH RECURSIVE {CHUNKS}, {TOLD} SELECT * FROM warned",
         "s09_json_round_trip": f"WITH RECURSIVE {CHUNKS}, {TOLD} SELECT 'reports/doc-' || CAST(doc_id AS VARCHAR) || '.pdf' AS source_pdf, 'Acme' AS company, 2024 AS year, CAST(NULL AS VARCHAR) AS report_type, n_pages AS total_pages, CAST(coalesce(n_warnings, 0) AS INTEGER) AS n_warnings, {CHUNK_ID} AS chunk_id, page_number, content_type, text, {tokens('text')} AS token_count, heading_context, x0, y0, x1, y1 FROM chunks JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_warnings FROM warned GROUP BY 1) USING (doc_id)",
+        "s03_blocks": f"""WITH {BLOCKS}, split_words AS (SELECT *, unnest(range(0, len(ws))) AS i FROM (SELECT *, string_split(regexp_replace(text, '( )', ' ' || chr(1), 'g'), chr(1)) AS ws FROM blocks)),
+  spans AS (SELECT {KEY}, i // 8 AS line, i AS span, ws[i + 1] AS word, CASE WHEN i % 3 <> 2 THEN max_font - i % 2 END AS size FROM split_words UNION ALL SELECT {KEY}, 1 << 20, 0, '  ', max_font + 2 FROM blocks WHERE (doc_id + src_idx) % 2 = 0),
+  span_lines AS (SELECT {KEY}, line, string_agg(word, '' ORDER BY span) AS text FROM spans GROUP BY ALL), shown AS (SELECT {KEY}, {stripped("string_agg(text, chr(10) ORDER BY line)")} AS text FROM span_lines WHERE NOT regexp_full_match(text, '{WS}*') GROUP BY ALL),
+  sizes AS (SELECT {KEY}, coalesce(max(size) FILTER (WHERE size <> 0), 0.0) AS max_font, coalesce(median(size) FILTER (WHERE size <> 0), 0.0) AS median_font FROM spans GROUP BY ALL)
+  SELECT doc_id, page_number, CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY src_idx) AS INTEGER) AS src_idx, s.text, x0, y0, x1, y1, z.max_font, z.median_font, page_height FROM shown s JOIN sizes z USING ({KEY}) JOIN blocks b USING ({KEY}) WHERE s.text <> ''""",
+        "s07_page_files": f"""WITH {GOLDEN}, pages AS (SELECT doc_id, 1 AS page_number, coalesce(text, '') AS text FROM documents UNION ALL SELECT d.doc_id, 2, a.sentence || ' ' || b.sentence FROM documents d JOIN golden a ON a.id = d.doc_id % 35 + 1 JOIN golden b ON b.id = (d.doc_id * 2 + 31) % 35 + 1)
+  SELECT CAST(doc_id AS VARCHAR) AS name, string_agg('========== PAGE ' || CAST(page_number AS VARCHAR) || ' ==========' || chr(10) || regexp_replace(text, '{WS}+$', '') || chr(10) || chr(10), '' ORDER BY page_number) AS text FROM pages GROUP BY doc_id""",
         "a09_precision": "SELECT d.lang, count(*) AS judged, avg(CAST(quality AS DOUBLE)) AS precision FROM labels l JOIN documents d USING (doc_id) GROUP BY d.lang",
         "a09_error_kinds": "SELECT d.source, sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END)::BIGINT AS rejected, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END)::BIGINT AS abusive, count(*) AS judged FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source",
         "a09_pivot": "SELECT d.source, " + ", ".join(f"count(*) FILTER (WHERE d.lang = '{x}') AS {x}" for x in ("de", "en", "es", "fr")) + " FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 1 GROUP BY d.source",
@@ -379,3 +386,4 @@ def queries() -> dict[str, str]:
         "a09_version_gold": f"WITH {VERSIONED}, {GOLD}, asked AS (SELECT *, unnest(['v1', 'v2', 'v2.1']) AS version FROM gold), {gold_found('versioned', 'version, doc_id', 'asked')} {recall_by('version')}",
         "a09_supported": f"WITH {CLAIMS} SELECT Company, count(*) AS found, count(*) FILTER (WHERE Evidence_Exists = 'Yes') * 1.0::DOUBLE / count(*) AS supported FROM claims GROUP BY Company",
     }
+    return found | {"s09_report_files": found["s09_json_round_trip"]}

@@ -111,3 +111,13 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of each layout block: one at the largest size, two at the median, one without a size."""
     sizes = F.array("max_font", "median_font", F.col("median_font") - 1, F.lit(0.0))
     return layout_blocks(spark, sf_dir).select("doc_id", "page_number", "src_idx", F.explode(sizes).alias("size"))
+
+
+def text_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each layout block as spans: a line of eight words, a span of a word with the blank after it, and an empty line of a larger size in some."""
+    found = layout_blocks(spark, sf_dir).withColumn("words", F.split("text", "(?<= )"))
+    even = (F.col("doc_id") + F.col("src_idx")) % 2 == 0
+    words = found.select("*", F.posexplode("words").alias("i", "word")).withColumns({"line": F.floor(F.col("i") / 8).cast("int"), "span": F.col("i") % 8, "size": F.when(F.col("i") % 3 == 2, F.lit(None).cast("double")).otherwise(F.col("max_font") - F.col("i") % 2)})
+    blank = found.where(even).withColumns({"word": F.lit("  "), "line": F.lit(1 << 20), "span": F.lit(0), "size": F.col("max_font") + 2})
+    columns = ["doc_id", "page_number", F.col("src_idx").alias("block"), "line", "span", F.col("word").alias("text"), "size", "x0", "y0", "x1", "y1", "page_height"]
+    return words.select(*columns).unionByName(blank.select(*columns))

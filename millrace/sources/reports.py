@@ -1,5 +1,5 @@
-"""PDF reports as tables. A Python data source reads one file a partition and gives a row for each page, block span
-or table; the parser is optional and pluggable, and everything downstream works on the tables.
+"""PDF reports as tables. A Python data source reads files packed into partitions by their bytes and gives a row for each
+page, block span or table; the parser is optional and pluggable, and everything downstream works on the tables.
 
 A parser is a function from a file's bytes to a ``Parsed``. The default uses PyMuPDF and pdfplumber where they are
 installed and says what is missing where they aren't.
@@ -8,14 +8,16 @@ installed and says what is missing where they aren't.
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-from millrace.operators import layout
+from millrace.functions import text as T
+from millrace.sources.paths import opened
 
 PAGES = "path string, page_number int, text string, page_height double, status string, error string"
 SPANS = "path string, page_number int, block int, line int, span int, text string, size double, x0 double, y0 double, x1 double, y1 double, page_height double"
@@ -88,7 +90,11 @@ def _or_nothing(read: Callable[[], list]) -> list:
 
 
 class ReportSource(DataSource):
-    """``spark.read.format("report").option("part", "pages" | "spans" | "tables").load(folder)`` after ``register``."""
+    """``spark.read.format("report").option("part", "pages" | "spans" | "tables").load(folder)`` after ``register``.
+
+    ``readStream`` takes reports up as they come into the folder; it keeps what it has seen in the folder of the option ``log``,
+    which driver restarts must find again. A report is to be put in place whole, by a rename, as with Spark's file streams.
+    """
 
     parser: Callable[[bytes], Parsed] = staticmethod(parse_pdf)
 
@@ -102,50 +108,121 @@ class ReportSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options), type(self).parser)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802  Spark's name
+        return _StreamReader(dict(self.options), type(self).parser)
+
 
 @dataclass
-class _File(InputPartition):
-    path: str
+class _Files(InputPartition):
+    paths: list[str]
+
+
+def listed(folder: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the reports in a folder, or of the one file given, by path."""
+    from pyarrow import fs
+
+    where, root = opened(folder)
+    info = where.get_file_info(root)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(folder)
+    found = [info] if info.is_file else where.get_file_info(fs.FileSelector(root))
+    return sorted((f.path, f.size or 0) for f in found if f.is_file and f.path.lower().endswith(".pdf"))
+
+
+def packed(files: list[tuple[str, int]], most: int, opening: int) -> list[_Files]:
+    """Files in runs of about ``most`` bytes, each counted as its size and ``opening`` bytes more; a larger one is by itself."""
+    out, held = [], 0
+    for path, size in files:
+        if not out or held + size + opening > most:
+            out.append(_Files([]))
+            held = 0
+        out[-1].paths.append(path)
+        held += size + opening
+    return out
+
 
+class _Parsing:
+    """What batch and stream share: options, packing, and the rows of files."""
 
-class _Reader(DataSourceReader):
     def __init__(self, options: dict, parser: Callable[[bytes], Parsed]):
         self.path, self.part, self.parser = options["path"], options.get("part", "pages"), parser
         self.strict = options.get("strict", "false").lower() == "true"
+        self.most, self.opening = int(options.get("partitionbytes", 32 << 20)), int(options.get("openingbytes", 256 << 10))
 
-    def partitions(self) -> list[_File]:
-        from pyarrow import fs
-
-        where, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-        if where.get_file_info(root).type == fs.FileType.NotFound:
-            raise FileNotFoundError(self.path)
-        found = [root] if where.get_file_info(root).is_file else [f.path for f in where.get_file_info(fs.FileSelector(root)) if f.is_file]
-        return [_File(p) for p in sorted(found) if p.lower().endswith(".pdf")]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        from pyarrow import fs
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        where = opened(self.path)[0]
+        for path in partition.paths:
+            yield from self.rows(where, path)
 
-        where = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
+    def rows(self, where, path: str) -> Iterator[tuple]:
         try:
-            with where.open_input_stream(partition.path) as f:
+            with where.open_input_stream(path) as f:
                 found = self.parser(f.read())
         except Exception as e:
             if self.strict:
                 raise
             if self.part == "pages":  # one bad file doesn't end the run
-                yield (partition.path, None, None, None, "failed", str(e))
+                yield (path, None, None, None, "failed", str(e))
             return
         heights = [h for _, h, _ in found.pages]
         if self.part == "pages":
             for k, (text, height, error) in enumerate(found.pages, 1):
-                yield (partition.path, k, text, height, "failed" if error else "ok", error)
+                yield (path, k, text, height, "failed" if error else "ok", error)
         elif self.part == "spans":
             for page, block, line, span, text, size, box in found.spans:
-                yield (partition.path, page, block, line, span, text, float(size) if size else None, *map(float, box), heights[page - 1])
+                yield (path, page, block, line, span, text, float(size) if size else None, *map(float, box), heights[page - 1])
         else:
             for k, (page, grid, box) in enumerate(found.tables):
                 if grid and any((c or "").strip() for row in grid for c in row):
-                    yield (partition.path, page, k, [[None if c is None else str(c) for c in row] for row in grid], *(map(float, box) if box else [None] * 4))
+                    yield (path, page, k, [[None if c is None else str(c) for c in row] for row in grid], *(map(float, box) if box else [None] * 4))
+
+
+class _Reader(_Parsing, DataSourceReader):
+    def partitions(self) -> list[_Files]:
+        return packed(listed(self.path), self.most, self.opening)
+
+
+class _StreamReader(_Parsing, DataSourceStreamReader):
+    """Offsets count listings: listing n is the file ``n.json`` of the log, with the reports that were new then."""
+
+    def __init__(self, options: dict, parser: Callable[[bytes], Parsed]):
+        super().__init__(options, parser)
+        if "log" not in options:
+            raise ValueError("a stream of reports needs the option log, a folder that outlives the driver")
+        self.log, self.at, self.seen = options["log"].rstrip("/"), None, set()
+
+    def recover(self) -> None:
+        """What earlier listings saw, once."""
+        from pyarrow import fs
+
+        if self.at is None:
+            where, root = opened(self.log)
+            where.create_dir(root, recursive=True)
+            numbers = sorted(int(f.base_name[:-5]) for f in where.get_file_info(fs.FileSelector(root)) if f.base_name.endswith(".json"))
+            self.at = numbers[-1] if numbers else 0
+            self.seen = {path for n in numbers for path, _ in self.listing(n)}
+
+    def listing(self, n: int) -> list[tuple[str, int]]:
+        where, root = opened(self.log)
+        with where.open_input_stream(f"{root}/{n}.json") as f:
+            return [tuple(x) for x in json.loads(f.read())]
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"listing": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        self.recover()
+        if new := [f for f in listed(self.path) if f[0] not in self.seen]:
+            where, root = opened(self.log)
+            with where.open_output_stream(f"{root}/.{self.at + 1}") as f:
+                f.write(json.dumps(new).encode())
+            where.move(f"{root}/.{self.at + 1}", f"{root}/{self.at + 1}.json")  # whole or not at all
+            self.at += 1
+            self.seen.update(path for path, _ in new)
+        return {"listing": self.at}
+
+    def partitions(self, start: dict, end: dict) -> list[_Files]:
+        return packed([f for n in range(start["listing"] + 1, end["listing"] + 1) for f in self.listing(n)], self.most, self.opening)
 
 
 def register(spark: SparkSession, parser: Callable[[bytes], Parsed] | None = None) -> None:
@@ -155,11 +232,18 @@ def register(spark: SparkSession, parser: Callable[[bytes], Parsed] | None = Non
 
 
 def blocks(spans: DataFrame) -> DataFrame:
-    """Text blocks with their fonts from spans (doc_id, …): lines without text don't show but their sizes count."""
+    """Text blocks with their fonts from spans (doc_id, …): lines without text don't show but their sizes count.
+
+    One aggregation: a block's spans are gathered in order and put together in the row. Blocks are numbered by page
+    in the same partitioning's order.
+    """
     keys = ["doc_id", "page_number", "block"]
-    lines = spans.groupBy(*keys, "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("span", "text"))), lambda s: F.coalesce(s["text"], F.lit(""))), "").alias("text"))
-    shown = lines.where(F.rlike("text", F.lit(r"(?U)[^\s\x1c-\x1f]"))).groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n").alias("text"))
-    boxes = spans.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("x0", "y0", "x1", "y1", "page_height")])
-    fonts = layout.block_fonts(spans.withColumnRenamed("block", "src_idx")).withColumnRenamed("src_idx", "block")
-    found = shown.join(boxes, keys).join(fonts, keys).withColumn("text", F.regexp_replace("text", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
-    return found.select("doc_id", "page_number", F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("block")).alias("src_idx"), "text", "x0", "y0", "x1", "y1", "max_font", "median_font", "page_height")
+    sized = F.when(F.col("size") != 0, F.col("size"))
+    found = spans.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("line", "span", "text"))).alias("s"), F.coalesce(F.max(sized), F.lit(0.0)).alias("max_font"), F.coalesce(F.median(sized), F.lit(0.0)).alias("median_font"),
+        *[F.first(c).alias(c) for c in ("x0", "y0", "x1", "y1", "page_height")],
+    )
+    lines = F.transform(F.array_distinct(F.transform("s", lambda s: s["line"])), lambda n: F.array_join(F.transform(F.filter("s", lambda s: s["line"] == n), lambda s: F.coalesce(s["text"], F.lit(""))), ""))
+    shown = F.filter(lines, lambda x: F.rlike(x, F.lit(r"(?U)[^\s\x1c-\x1f]")))
+    told = found.withColumn("text", T.stripped(F.array_join(shown, "\n"))).where("text <> ''")
+    return told.select("doc_id", "page_number", F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("block")).alias("src_idx"), "text", "x0", "y0", "x1", "y1", "max_font", "median_font", "page_height")

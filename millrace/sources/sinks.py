@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from millrace.sources.report_files import ReportFiles
+
 # Options under which the writer's bytes equal those of a csv module with minimal quoting.
 TSV = {"sep": "\t", "header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\r\n", "encoding": "UTF-8"}
 
@@ -55,6 +57,32 @@ def write_page_text(pages: DataFrame, folder: str, folders: bool = False) -> Non
         ordered.select(page_dump(F.col("doc_id")).alias("value")).write.text(folder)
 
 
+def write_report_files(rows: DataFrame, folder: str, suffix: str, mode: str = "append", indent: int | None = None) -> None:
+    """One file for each name of rows (name, content) or (name, order, content), in that order; all of them or none."""
+    rows.sparkSession.dataSource.register(ReportFiles)
+    if "order" in rows.columns:
+        rows = rows.repartition("name").sortWithinPartitions("name", "order").select("name", "content")
+    out = rows.write.format("report-files").option("suffix", suffix).mode(mode)
+    (out if indent is None else out.option("indent", indent)).save(folder)
+
+
+def write_page_files(pages: DataFrame, folder: str, mode: str = "append") -> None:
+    """A text file for each document: its pages in order."""
+    write_report_files(pages.select(F.col("doc_id").cast("string").alias("name"), F.col("page_number").alias("order"), F.concat(page_dump(), F.lit("\n")).alias("content")), folder, ".txt", mode)
+
+
+def write_json_files(reports: DataFrame, folder: str, mode: str = "append") -> None:
+    """An indented JSON file for each report, null fields kept, named like its source."""
+    body = [c for c in reports.columns if c != "doc_id"]
+    named = reports.select(stem(F.col("report_metadata.source_pdf")).alias("name"), F.to_json(F.struct(*body), {"ignoreNullFields": "false"}).alias("content"))
+    write_report_files(named, folder, ".json", mode, indent=2)
+
+
+def read_json_files(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """What ``write_json_files`` wrote."""
+    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+
+
 def write_tsv(rows: DataFrame, folder: str) -> None:
     rows.write.options(**TSV).csv(folder)
 
