@@ -38,15 +38,14 @@ def run_claims(spark: SparkSession, args: argparse.Namespace) -> int:
     else:
         sinks.write_page_text(pages, f"{args.output}/text", args.text_folders)
     split = sentence_model.learned(pages.select("text").distinct(), sinks.kept).split if args.learn_sentences else T.sentences
-    reasoned = sinks.kept(K.with_reason(K.features(K.sentences(pages, split))), "sentences")
-    rows = K.classified(K.first_seen(reasoned))
+    rows, told = K.observed(pages, split)
     if args.company:
         rows = rows.withColumn("Company", F.lit(args.company))
     sinks.write_tsv(rows, f"{args.output}/claims")
-    for r in rows.groupBy("Claim_Type").count().orderBy("Claim_Type").collect():
-        print(f"{r.Claim_Type}: {r['count']}")
-    for r in K.drop_counts(reasoned).groupBy("reason").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "reason").collect():
-        print(f"dropped, {r.reason}: {r.n}")
+    for kind, n in sorted(told.types().items()):
+        print(f"{kind}: {n}")
+    for reason, n in sorted(told.dropped().items(), key=lambda x: (-x[1], x[0])):
+        print(f"dropped, {reason}: {n}")
     return 0
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from millrace.functions import text as T
 from millrace.functions.lexicon import any_of, hits
@@ -16,6 +16,7 @@ from millrace.functions.lexicon import any_of, hits
 #: Reasons in the order in which the first that holds is given.
 REASONS = ("length", "not_assertion", "boilerplate", "reference_dense", "navigation", "governance_plumbing", "activity_report", "methodology", "general_statement", "risk_description")
 MIN_WORDS, MAX_WORDS = 4, 45
+CLAIM_TYPES = ("Strong", "Future Promise", "Vague")
 
 # Fixed values: (claim type, evidence, risk signal).
 RISK = (
@@ -154,3 +155,56 @@ def drop_counts(reasoned: DataFrame) -> DataFrame:
 
 def type_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("Company", "Claim_Type").agg(F.count("*").alias("n"))
+
+
+LEVELS = (("Company", "ESG_Type", "Claim_Type"), ("Company", "ESG_Type"), ("Company",), ("ESG_Type", "Claim_Type"), ("ESG_Type",), ("Claim_Type",), ())
+
+
+def level_counts(rows: DataFrame, levels: tuple[tuple[str, ...], ...] = LEVELS) -> DataFrame:
+    """level, Company, ESG_Type, Claim_Type, claims, pages, supported: one pass over the claims for all levels.
+
+    ``level`` names the columns that a row is of, "all" for the total; the others are null in it.
+    """
+    names = list(dict.fromkeys(c for level in levels for c in level))
+    named = F.concat_ws(",", *[F.when(F.grouping(c) == 0, F.lit(c)) for c in names])
+    counts = [F.count("*").alias("claims"), F.count_distinct("Company", "Page").alias("pages"), F.count_if(F.col("Evidence_Exists") == "Yes").alias("supported")]
+    found = rows.groupingSets([[F.col(c) for c in level] for level in levels], *names).agg(F.when(named == "", "all").otherwise(named).alias("level"), *counts)
+    return found.select("level", *names, "claims", "pages", "supported")
+
+
+def text_sketches(rows: DataFrame, *by: str, size: int = 12) -> DataFrame:
+    """by, claims, sketch: how many claims, and a mergeable sketch of their different texts (2^size registers at most).
+
+    Kept for each report, such sketches answer for any set of reports without reading claims again.
+    """
+    return rows.groupBy(*by).agg(F.count("*").alias("claims"), F.hll_sketch_agg(F.lower("Claim_Text"), F.lit(size)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """by, claims, distinct_texts: sketches of smaller groups put together; distinct_texts is an estimate."""
+    return sketches.groupBy(*by).agg(F.sum("claims").alias("claims"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_texts"))
+
+
+class Summary:
+    """Totals of a run, observed while its claims are written; ask after that."""
+
+    def __init__(self):
+        self.sentences, self.rows = Observation(), Observation()
+
+    def dropped(self) -> dict[str, int]:
+        """Sentences lost to each reason that took any, repeated claims as "duplicate"."""
+        seen = self.sentences.get
+        counts = {r: seen[r] or 0 for r in REASONS} | {"duplicate": (seen["kept"] or 0) - (self.rows.get["claims"] or 0)}
+        return {k: n for k, n in counts.items() if n}
+
+    def types(self) -> dict[str, int]:
+        return {t: n for t in CLAIM_TYPES if (n := self.rows.get[t] or 0)}
+
+
+def observed(pages: DataFrame, split: Callable[[Column], Column] = T.sentences) -> tuple[DataFrame, Summary]:
+    """The claims of ``claims`` and a summary that fills while they are written, so that pages are read once."""
+    summary = Summary()
+    reasons = [F.count_if(F.col("reason") == r).alias(r) for r in REASONS]
+    reasoned = with_reason(features(sentences(pages, split))).observe(summary.sentences, F.count_if(F.col("reason").isNull()).alias("kept"), *reasons)
+    kinds = [F.count_if(F.col("Claim_Type") == t).alias(t) for t in CLAIM_TYPES]
+    return classified(first_seen(reasoned)).observe(summary.rows, F.count("*").alias("claims"), *kinds), summary

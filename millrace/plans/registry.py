@@ -155,6 +155,35 @@ def json_files(spark: SparkSession, d: str) -> DataFrame:
     return chunk_fields(sinks.read_json_files(spark, folder, nested.drop("doc_id").schema))
 
 
+def json_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of reports with fields that no schema names, by path; every third report has a remark, every chunk a score."""
+    nested, folder = nested_reports(spark, d), sinks.scratch(spark, "reports-variant")
+    score = F.transform("chunks", lambda c: c.withField("extra", F.struct((c["token_count"] * 2).alias("score"))))
+    remark = F.when(F.col("doc_id") % 3 == 0, F.struct(F.lit("checked").alias("state")))
+    sinks.write_json(nested.withColumns({"chunks": score, "remark": remark}), folder)
+    found = sinks.read_variants(spark, folder)
+    get = lambda p, kind: F.try_variant_get("chunk", p, kind)
+    state = found.select(F.try_variant_get("report", "$.report_metadata.source_pdf", "string").alias("source_pdf"), F.try_variant_get("report", "$.remark.state", "string").alias("state"))
+    rows = sinks.variant_chunks(found).select("source_pdf", "total_pages", (F.col("pos") + 1).alias("number"), get("$.chunk_id", "string").alias("chunk_id"), get("$.content_type", "string").alias("content_type"), get("$.text", "string").alias("text"), get("$.bbox[1]", "double").alias("top"), get("$.extra.score", "int").alias("score"), get("$.nowhere", "string").alias("nowhere"))
+    return rows.join(state, "source_pdf")
+
+
+def observed_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The totals of ``summary``, observed while claims are written."""
+    rows, told = K.observed(derived.claim_pages(spark, d))
+    rows.write.parquet(sinks.scratch(spark, "claims"))
+    return spark.createDataFrame(sorted(told.dropped().items()), "reason string, n long")  # a row for each reason
+
+
+def distinct_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Claims and their different texts by topic, exact, and whether sketches kept for each report are within 5 % of it."""
+    rows = claims(spark, d)
+    kept = sinks.kept(K.text_sketches(rows, "Company", "ESG_Type"), "sketches")
+    exact = rows.groupBy("ESG_Type").agg(F.count_distinct(F.lower("Claim_Text")).alias("exact"))
+    near = F.abs(F.col("distinct_texts") - F.col("exact")) <= F.col("exact") * 0.05
+    return K.merged_sketches(kept, "ESG_Type").join(exact, "ESG_Type").select("ESG_Type", "claims", F.col("exact").alias("distinct_texts"), near.alias("sketch_is_near"))
+
+
 def page_files(spark: SparkSession, d: str) -> DataFrame:
     """name, text of the page text's file of each document."""
     folder = sinks.scratch(spark, "page-files")
@@ -261,6 +290,9 @@ def queries() -> dict[str, Query]:
         "a01_drop_counts": lambda s, d: K.drop_counts(reasoned(s, d)),
         "a02_type_counts": lambda s, d: K.type_counts(claims(s, d)),
         "s12_summary": summary,
+        "s12_observed": observed_summary,
+        "a02_levels": lambda s, d: K.level_counts(claims(s, d)),
+        "a07_distinct_claims": distinct_claims,
         "s07_page_dump": lambda s, d: derived.claim_pages(s, d).select("doc_id", "page_number", sinks.page_dump().alias("dump")),
         "s08_tsv_round_trip": tsv_round_trip,
         "s10_output_names": output_names,
@@ -295,6 +327,7 @@ def queries() -> dict[str, Query]:
         "s03_blocks": lambda s, d: report_source.blocks(derived.text_spans(s, d)),
         "s07_page_files": page_files,
         "s09_report_files": json_files,
+        "s09_variants": json_variants,
         "a09_precision": lambda s, d: evaluate.precision(evaluate.judgements(s, d), "lang"),
         "a09_error_kinds": lambda s, d: evaluate.error_kinds(evaluate.judgements(s, d), "source"),
         "a09_pivot": lambda s, d: evaluate.pivoted(evaluate.judgements(s, d), "source", "lang", ["de", "en", "es", "fr"]),

@@ -320,6 +320,10 @@ def queries() -> dict[str, str]:
         "a01_drop_counts": f"WITH {SEEN} SELECT doc_id, reason, count(*) AS n FROM (SELECT doc_id, reason FROM reasoned WHERE reason IS NOT NULL UNION ALL SELECT doc_id, 'duplicate' FROM numbered WHERE seen > 1) GROUP BY ALL",
         "a02_type_counts": f"WITH {CLAIMS} SELECT Company, Claim_Type, count(*) AS n FROM claims GROUP BY ALL",
         "s12_summary": f"WITH {SEEN} SELECT reason, count(*) AS n FROM (SELECT reason FROM reasoned WHERE reason IS NOT NULL UNION ALL SELECT 'duplicate' FROM numbered WHERE seen > 1) GROUP BY ALL",
+        "a02_levels": f"""WITH {CLAIMS} SELECT coalesce(nullif(concat_ws(',', CASE WHEN grouping(Company) = 0 THEN 'Company' END, CASE WHEN grouping(ESG_Type) = 0 THEN 'ESG_Type' END, CASE WHEN grouping(Claim_Type) = 0 THEN 'Claim_Type' END), ''), 'all') AS level, Company, ESG_Type, Claim_Type,
+  count(*) AS claims, count(DISTINCT (Company, Page)) AS pages, count(*) FILTER (WHERE Evidence_Exists = 'Yes') AS supported FROM claims GROUP BY GROUPING SETS ((Company, ESG_Type, Claim_Type), (Company, ESG_Type), (Company), (ESG_Type, Claim_Type), (ESG_Type), (Claim_Type), ())""",
+        "a07_distinct_claims": f"WITH {CLAIMS} SELECT ESG_Type, count(*) AS claims, count(DISTINCT lower(Claim_Text)) AS distinct_texts, true AS sketch_is_near FROM claims GROUP BY 1",
+        "s09_variants": f"""WITH RECURSIVE {CHUNKS} SELECT 'reports/doc-' || CAST(doc_id AS VARCHAR) || '.pdf' AS source_pdf, n_pages AS total_pages, number, {CHUNK_ID} AS chunk_id, content_type, text, y0 AS top, 2 * {tokens('text')} AS score, CAST(NULL AS VARCHAR) AS nowhere, CASE WHEN doc_id % 3 = 0 THEN 'checked' END AS state FROM chunks JOIN n USING (doc_id)""",
         "s07_page_dump": f"WITH {GOLDEN} SELECT doc_id, page_number, '========== PAGE ' || CAST(page_number AS VARCHAR) || ' ==========' || chr(10) || regexp_replace(text, '{WS}+$', '') || chr(10) AS dump FROM (SELECT doc_id, 1 AS page_number, coalesce(text, '') AS text FROM documents UNION ALL SELECT d.doc_id, 2, a.sentence || ' ' || b.sentence FROM documents d JOIN golden a ON a.id = d.doc_id % 35 + 1 JOIN golden b ON b.id = (d.doc_id * 2 + 31) % 35 + 1)",
         "s08_tsv_round_trip": f"WITH {CLAIMS} SELECT * FROM claims",
         "s10_output_names": "SELECT doc_id, url, regexp_replace(url, '(?i)\\.(tsv|csv|txt)$', '') || '.tsv' AS output FROM (SELECT doc_id, source || CASE doc_id % 5 WHEN 0 THEN '.tsv' WHEN 1 THEN '.CSV' WHEN 2 THEN '.Txt' WHEN 3 THEN '.pdf' ELSE '' END AS url FROM documents)",
@@ -386,4 +390,4 @@ def queries() -> dict[str, str]:
         "a09_version_gold": f"WITH {VERSIONED}, {GOLD}, asked AS (SELECT *, unnest(['v1', 'v2', 'v2.1']) AS version FROM gold), {gold_found('versioned', 'version, doc_id', 'asked')} {recall_by('version')}",
         "a09_supported": f"WITH {CLAIMS} SELECT Company, count(*) AS found, count(*) FILTER (WHERE Evidence_Exists = 'Yes') * 1.0::DOUBLE / count(*) AS supported FROM claims GROUP BY Company",
     }
-    return found | {"s09_report_files": found["s09_json_round_trip"]}
+    return found | {"s09_report_files": found["s09_json_round_trip"], "s12_observed": found["s12_summary"]}

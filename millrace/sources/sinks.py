@@ -99,6 +99,21 @@ def read_json(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(folder)
 
 
+def read_variants(spark: SparkSession, folder: str, whole_files: bool = False) -> DataFrame:
+    """report: each JSON report as a variant, whatever fields it has; null where a line isn't JSON.
+
+    One object to a line, or to a file with ``whole_files``. Fields are taken by path: ``F.variant_get("report", "$.a.b", "int")``.
+    """
+    return spark.read.text(folder, wholetext=whole_files).select(F.try_parse_json("value").alias("report"))
+
+
+def variant_chunks(reports: DataFrame) -> DataFrame:
+    """source_pdf, total_pages, pos, chunk: a row for each chunk of variant reports, the chunk itself a variant."""
+    path = lambda p, kind: F.try_variant_get("report", p, kind)
+    named = reports.select(path("$.report_metadata.source_pdf", "string").alias("source_pdf"), path("$.report_metadata.total_pages", "int").alias("total_pages"), path("$.chunks", "array<variant>").alias("chunks"))
+    return named.select("source_pdf", "total_pages", F.posexplode("chunks").alias("pos", "chunk"))
+
+
 def write_json(reports: DataFrame, folder: str) -> None:
     """A JSON object for each report, null fields kept, one to a line."""
     body = [c for c in reports.columns if c != "doc_id"]
