@@ -26,6 +26,7 @@ import hashlib
 import json
 import re
 import struct
+import unicodedata
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import cache, reduce
@@ -127,6 +128,9 @@ class Encoder:
         self.by_words = drops_white_space(json.loads(self.tokenizer.to_str()))
         added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}, key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
+        # A sign that each added token has, and what normalisers may turn into it: words without these can't hold one.
+        signs = {next((c for c in t if not c.isalnum()), "") for t in added}
+        self.signs = [c for c in map(chr, range(0x10000)) if c in signs or not c.isascii() and signs.intersection(unicodedata.normalize("NFKD", c))] + [""] * ("" in signs)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -135,7 +139,7 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def holds_added(self, word: str) -> bool:
-        """Whether an added token may be found in a word, or in several between blanks, as they are or as the tokenizer normalises them."""
+        """Whether an added token may be found in a word, as it is or as the tokenizer normalises it."""
         normal = self.tokenizer.normalizer
         return bool(self.added.search(word)) or (normal is not None and not word.isascii() and bool(self.added.search(normal.normalize_str(word))))
 
@@ -151,7 +155,8 @@ class Encoder:
     def learn(self, words: list[str]) -> None:
         """Take up words, from before if they were met then; one with ASCII signs at its end from its two parts."""
         parts, new, rest = {}, [], []
-        odd = {w for w in words if self.holds_added(w)} if self.holds_added(" ".join(words)) else ()  # hardly ever any
+        together = " ".join(words)
+        odd = {w for w in words if self.holds_added(w)} if any(c in together for c in self.signs) else ()  # hardly ever any
         for w in words:
             if w in self.before:
                 self.known[w] = self.before[w]
