@@ -11,7 +11,8 @@ article take part, and its borders decide nothing.
 Scripts without blanks between words are measured by function characters, and their characters count as three columns.
 Elements end where HTML implies their ends: with their parent, at the next item, cell, row or block, and a head where
 the body's first element begins. A page that leaves another unseen element open to its end is read again, with elements
-of that name ending at the next block.
+of that name ending at the next block; a boilerplate element that only the page's end closes ends at its first block
+that reads like text.
 
 Defined cases: null or empty html gives the empty text and 0 characters; repeated rows are extracted alike; broken
 markup is read as far as it goes. No block is cut and no page is skipped, however long.
@@ -63,6 +64,7 @@ MARKS = frozenset(
     "search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
 STRONG = frozenset("ad ads advert adverts advertisement comment comments cookie cookies consent disqus footer nav navbar navigation newsletter replies respond sidebar sidenav".split())
+COMMENTS = frozenset("comment comments discussion disqus replies respond".split())
 PAGE_MARKS = frozenset({"header", "masthead"})  # these mark boilerplate outside an article only
 
 # Frequent function words of several European languages.
@@ -90,12 +92,16 @@ class State:
     """What the open elements around a place say of it."""
 
     unseen: bool = False  # isn't shown
-    off: bool = False  # stands in a boilerplate element
+    offs: tuple[int, ...] = ()  # numbers of the boilerplate elements it stands in
     mark: int = -1  # number of the innermost container whose names speak against it
     article: int = 0  # number of the article it stands in, 0 for none
     heading: bool = False
     link: bool = False
 
+    @property
+    def off(self) -> bool:
+        return bool(self.offs)
+
 
 @dataclass
 class Block:
@@ -113,6 +119,7 @@ class Mark:
 
     outer: int
     strong: bool
+    comments: bool = False
 
 
 PLAIN = State()
@@ -137,6 +144,8 @@ class _Blocks(HTMLParser):
         self.marks: list[Mark] = []
         self.articles = 0
         self.left: set[str] = set()  # unseen elements that only the page's end closed
+        self.offs = 0  # boilerplate elements so far
+        self.unclosed: set[int] = set()  # those that only the page's end closed
 
     @property
     def state(self) -> State:
@@ -151,8 +160,11 @@ class _Blocks(HTMLParser):
         """Close the open elements from number ``to`` on."""
         for tag, state in reversed(self.open[to:]):
             self.count[tag] -= 1
-            if own in ("", "body", "html") and tag in UNSEEN and tag != "head" and state.unseen:
-                self.left.add(tag)
+            if own in ("", "body", "html"):
+                if tag in UNSEEN and tag != "head" and state.unseen:
+                    self.left.add(tag)
+                elif tag in ASIDE and state.offs:
+                    self.unclosed.add(state.offs[-1])
         del self.open[to:]
 
     def last(self, tags: frozenset[str], barrier: frozenset[str]) -> int:
@@ -202,7 +214,7 @@ class _Blocks(HTMLParser):
         named = " ".join(v for k in ("class", "id") if (v := names.get(k)))
         words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower())) if named else set()
         if tag == "form" or words & (MARKS if inside else MARKS | PAGE_MARKS):
-            return Mark(self.state.mark, bool(words & STRONG))
+            return Mark(self.state.mark, bool(words & STRONG), bool(words & COMMENTS))
         return None
 
     def set_cdata_mode(self, elem, **options):
@@ -227,8 +239,9 @@ class _Blocks(HTMLParser):
         if tag in UNSEEN:
             state = replace(state, unseen=True) if tag not in self.loose or tag != "head" else state
         elif not state.unseen:
-            if not state.off and self.boilerplate(tag, names, inside):
-                state = replace(state, off=True)
+            if self.boilerplate(tag, names, inside):
+                self.offs += 1
+                state = replace(state, offs=(*state.offs, self.offs))
             elif mark := self.marked(tag, names, inside):
                 self.marks.append(mark)
                 state = replace(state, mark=len(self.marks) - 1)
@@ -288,9 +301,22 @@ def blocks_of(html: str) -> tuple[list[Block], list[Mark]]:
         if b.text:
             b.columns = len(b.text) + 2 * wide(b.text)
             out.append(b)
+    if parser.unclosed:
+        close_at_text(out, parser.unclosed)
     return out, parser.marks
 
 
+def close_at_text(blocks: list[Block], unclosed: set[int]) -> None:
+    """Let boilerplate elements that a page never closes end at their first block that reads like text."""
+    ended: set[int] = set()
+    for b in blocks:
+        if open_here := unclosed.intersection(b.state.offs) - ended:
+            if b.columns >= SHORT and b.linked <= LINKED * len(b.text) and density(b.text) >= FEW and not set(b.state.offs) - unclosed:
+                ended |= open_here
+        if ended:
+            b.state = replace(b.state, offs=tuple(k for k in b.state.offs if k not in ended))
+
+
 def density(text: str) -> float:
     """Share of function words; of function characters, twice, in a script without blanks."""
     if 3 * wide(text) > len(text):
@@ -302,9 +328,11 @@ def density(text: str) -> float:
 
 def first_pass(b: Block) -> str:
     """good, near, bad or short (undecided), from the block alone."""
-    if b.state.off or b.linked > LINKED * len(b.text):
+    if b.state.off:
+        return "bad"
+    if b.linked > LINKED * len(b.text) and not (b.state.article and b.columns >= SHORT and sentence(b)):  # an article may link a sentence
         return "bad"
-    if "©" in b.text and b.columns < LONG:
+    if "©" in b.text and b.columns < LONG and not b.state.article:
         return "bad"
     if b.columns < SHORT:
         return "bad" if b.linked else "short"
@@ -317,20 +345,24 @@ def first_pass(b: Block) -> str:
 def weigh_marks(blocks: list[Block], marks: list[Mark]) -> None:
     """Blocks of a container with speaking names are bad, unless it holds the page's text.
 
-    A weak name yields where the container has more dense text than all that is outside it, a strong one only where
-    nothing outside is certainly text.
+    A weak name yields where the container has more dense text than all that is outside it, some of it certainly text
+    if the page has such; a strong one only where nothing outside is certainly text, comments only where nothing outside
+    so much as reads like a sentence.
     """
     if not marks:
         return
-    inside, sure = [0] * len(marks), [0] * len(marks)
+    none = all(b.label != "good" for b in blocks)
+    inside, sure, said = ([0] * len(marks) for _ in range(3))
+    text = all_sure = all_said = 0
     for b in blocks:
+        dense = b.label in ("good", "near")
+        size, certain, says = b.columns * dense, b.label == "good", dense or b.label == "short" and sentence(b)
+        text, all_sure, all_said = text + size, all_sure + certain, all_said + says
         k = b.state.mark
         while k >= 0:
-            inside[k] += b.columns * (b.label in ("good", "near"))
-            sure[k] += b.label == "good"
+            inside[k], sure[k], said[k] = inside[k] + size, sure[k] + certain, said[k] + says
             k = marks[k].outer
-    text, all_sure = sum(b.columns for b in blocks if b.label in ("good", "near")), sum(b.label == "good" for b in blocks)
-    holds = [sure[k] and (sure[k] == all_sure if m.strong else 2 * inside[k] > text) for k, m in enumerate(marks)]
+    holds = [(sure[k] or none and not m.strong) and (said[k] == all_said if m.comments else sure[k] == all_sure if m.strong else 2 * inside[k] > text) for k, m in enumerate(marks)]
     for b in blocks:
         k = b.state.mark
         while k >= 0:

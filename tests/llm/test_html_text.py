@@ -50,6 +50,49 @@ def test_names_speak_against_what_is_beside_the_text(name):
     assert (kept(f'<body><p>{LONG}</p><div class="{name}">{many}</div></body>') == [LONG]) == (name not in ("related", "social"))  # strong names stand however much there is
 
 
+NEAR = "It was the best of the times and it was the worst of the times for all of us, and the town that we had known was gone to the dogs by then, as it was."
+
+
+def test_a_page_inside_a_form_is_a_page():
+    assert len(NEAR) < 200
+    assert kept("<form>" + f"<p>{NEAR}</p>" * 6 + "</form>") == [NEAR] * 6
+    assert kept(f"<p>{NEAR}</p><p>{NEAR}</p><form><p>Name of you and of the town: in the box.</p></form>") == [NEAR, NEAR]
+
+
+@pytest.mark.parametrize("tag", ["nav", "aside", "menu"])
+def test_boilerplate_that_is_never_closed_ends_at_the_text(tag):
+    menu = "<a href=/a>home</a> <a href=/b>more</a>"
+    assert kept(f"<body><{tag}>{menu}<div>{LONG}</div><div>Brief.</div><div>{LONG}</div></body>") == [LONG, "Brief.", LONG]
+    assert kept(f"<body><{tag}>{menu}<div>{LONG}</div><footer>{LONG}</footer></body>") == [LONG]
+    assert kept(f"<body><{tag}>{menu}<div>{LONG}</div></{tag}><div>{LONG}</div></body>") == [LONG]
+
+
+def test_signs_and_links_inside_an_article():
+    sign, link = "All of it is © of the town and of us, as it was and as it will be for you.", "It was the best of the times and it was the worst of the times for us all."
+    assert kept(f"<article><p>{LONG}</p><p>{sign}</p><p>{LONG}</p></article>") == [LONG, sign, LONG]
+    assert kept(f"<div><p>{LONG}</p><p>{LONG}</p></div><div>{sign}</div>") == [LONG, LONG]
+    assert kept(f"<article><p>{LONG}</p><p><a href=/x>{link}</a></p><p>{LONG}</p></article>") == [LONG, link, LONG]
+    assert kept(f"<article><p>{LONG}</p><ul><li><a href=/x>More of it</a></ul></article>") == [LONG]
+
+
+@pytest.mark.parametrize("name", ["comments", "disqus_thread", "replies"])
+def test_comments_go_also_beside_a_brief_article(name):
+    for text in (NEAR, "We saw it on the hill in the rain."):
+        assert kept(f"<div><h1>Title</h1><p>{text}</p></div><div class={name}><p>{LONG}</p><p>{LONG}</p></div>")[-1] == text
+    assert kept(f"<div class={name}><p>{LONG}</p></div>") == [LONG]
+
+
+def test_the_passes_decide_pages_without_marks():
+    """No article, nav or footer: what the rules keep differs from all that is shown."""
+    for k in range(40):
+        paragraphs = [sentence(k + 7 * i, 24 + (k * 13 + i * 29) % 40) + "." for i in range(2 + k % 4)]
+        links = "".join(f"<div><a href=/{i}>{sentence(i, 3)}</a></div>" for i in range(6))
+        page = f"<body><div>{links}</div><div><h2>{sentence(k, 5)}</h2>" + "".join(f"<div>{p}</div>" for p in paragraphs) + f"</div><div>{links}</div><div>&copy; me</div></body>"
+        assert kept(page) == [sentence(k, 5), *paragraphs]
+        blocks, _ = html_text.blocks_of(page)
+        assert len(blocks) == 14 + len(paragraphs) and {html_text.first_pass(b) for b in blocks} >= {"bad", "short"}  # headings and links
+
+
 def test_elements_and_roles_are_verdicts():
     for tag in ("nav", "aside", "footer", "dialog", "menu"):
         assert kept(f"<p>{LONG}</p><{tag}><p>{LONG}</p><p>{LONG}</p></{tag}>") == [LONG]
