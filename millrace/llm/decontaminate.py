@@ -16,8 +16,9 @@ words is a run of its own length, looked for in the passage and as many words ar
 
 Passages overlap by half, so an item of up to half a passage lies whole in one. Document frequencies and the mean
 length are those of the whole benchmark. Its index is built by tasks and kept in the shared folder in parts of
-``index_bytes`` of text; a task holds one part and some texts at a time and reads the corpus once, however many parts
-there are, and the parts don't change the result.
+``index_bytes`` of text. A task reads its texts once, as term ids of up to ``HELD`` bytes at a time, and holds one part of
+the index beside them; so it reads each part once for each ``HELD`` bytes (once in all if there is one part), and the parts
+don't change the result.
 
 Defined cases: null and empty texts and items have no words and match nothing; parts of under five words are one
 run; repeated documents each get their rows; equal rows of a benchmark count once, others that repeat an item_id count
@@ -42,6 +43,7 @@ BLOCK, COARSE = 8, 32  # items of a block; parts of an index in the first look a
 K1, B = 1.2, 0.75
 SHINGLE = 5
 SLICE = 1 << 22  # bytes of text searched together
+HELD = 1 << 26  # bytes of texts and term ids held while the parts of an index pass by
 TOGETHER, CURSORS = 1 << 11, 1 << 14  # passages looked at together, cursors moved side by side
 HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, leak boolean"
 
@@ -297,11 +299,31 @@ def read_part(folder: str, name: str) -> Index:
         return pickle.loads(source.read())
 
 
-def searched(column, memo: Memo, folder: str, names: list[str], threshold: float, similar: float, least_part: float):
-    """(first row, rows, hits as ``leaks`` gives them) of some of an Arrow string column's texts at a time."""
-    for low, high in text_slices(column, SLICE):
-        texts = terms_of(column.slice(low, high - low), memo)
-        yield low, high - low, [x for name in names for x in leaks(read_part(folder, name), texts, threshold, similar, least_part)]
+def searched(batches, at: int, folder: str, names: list[str], threshold: float, similar: float, least_part: float):
+    """(rows, hits as ``leaks`` gives them) of some rows of Arrow batches at a time, in order; texts are in column ``at``."""
+    memo, held, size = Memo(term_of), [], 0
+
+    def looked_up():
+        hits: list[list] = [[] for _ in held]
+        for name in names:
+            index = read_part(folder, name)
+            for mine, (_, texts) in zip(hits, held, strict=True):
+                mine += leaks(index, texts, threshold, similar, least_part)
+        for (rows, _), mine in zip(held, hits, strict=True):
+            yield rows, mine
+        held.clear()
+
+    for batch in batches:
+        for low, high in text_slices(batch.column(at), SLICE):
+            rows = batch.slice(low, high - low)
+            hashes, places, sizes = terms_of(rows.column(at), memo)
+            held.append((rows, (hashes, places, sizes)))
+            size += rows.nbytes + hashes.nbytes + places.nbytes
+            if size >= (HELD if len(names) > 1 else 0):
+                yield from looked_up()
+                size = 0
+    if held:
+        yield from looked_up()
 
 
 def find(docs: DataFrame, items: DataFrame, threshold: float = 0.5, similar: float = 0.8, least_part: float = 0.5, index_bytes: int = 8 << 20) -> DataFrame:
@@ -315,12 +337,10 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = 0.5, similar: flo
     def run(batches):
         import pyarrow as pa
 
-        memo = Memo(term_of)
-        for batch in batches:
-            for low, _, hits in searched(batch.column(1), memo, folder, names, threshold, similar, least_part):
-                rows, *cols = zip(*hits, strict=True) if hits else ((),) * 6
-                ids = batch.column(0).take(pa.array([low + i for i in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "leak"])
+        for part, hits in searched(batches, 1, folder, names, threshold, similar, least_part):
+            rows, *cols = zip(*hits, strict=True) if hits else ((),) * 6
+            ids = part.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "leak"])
 
     return docs.select("id", "text").where("text is not null").mapInArrow(run, HITS)
 
@@ -333,12 +353,10 @@ def without_leaks(docs: DataFrame, text: str, items: DataFrame, threshold: float
     def run(batches):
         import pyarrow as pa
 
-        memo = Memo(term_of)
-        for batch in batches:
-            for low, n, hits in searched(batch.column(at), memo, folder, names, threshold, similar, least_part):
-                keep = np.ones(n, bool)
-                keep[[i for i, *_, leak in hits if leak]] = False
-                yield batch.slice(low, n).filter(pa.array(keep))
+        for part, hits in searched(batches, at, folder, names, threshold, similar, least_part):
+            keep = np.ones(part.num_rows, bool)
+            keep[[i for i, *_, leak in hits if leak]] = False
+            yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 

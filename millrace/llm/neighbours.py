@@ -185,6 +185,11 @@ def nearest(
     dims = common["n"]
     rows = vectors.where(F.col("id").isNotNull() & usable(F.col("vector"), dims)).select("id", F.col("vector").cast("array<double>").alias("vector")).groupBy("id").agg(F.min("vector").alias("vector"))
     rows = written(rows, "vectors")
+    # Squares of very large or very small components leave the range of doubles: such tables are measured in a power of two.
+    top = rows.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0] or 1.0
+    power = int(np.clip(np.frexp(top)[1], -1000, 1000)) if not 2.0**-300 < top < 2.0**300 else 0
+    if power:
+        rows = rows.withColumn("vector", F.transform("vector", lambda c: c * F.lit(2.0**-power)))
     # Of equal vectors only the k + 1 smallest ids can be among k neighbours.
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("n") <= k + 1)
     points = written(few.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("point"), "ids", "vector"), "points")
@@ -243,7 +248,7 @@ def nearest(
     where = ["tree", "leaf", "block", "part"]
     found = asked.groupBy(*where).cogroup(held.select(*where, "ids", "vector").groupBy(*where)).applyInPandas(rerank, "query_id long, vec_id long, score double")
     ranked = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", (F.col("score") * F.lit(2.0**power)).alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

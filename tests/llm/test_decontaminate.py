@@ -85,3 +85,25 @@ def test_stage_decides_row_by_row(spark, tmp_path):
     got = decontaminate.stage(spark, docs, str(tmp_path))
     assert got.columns == docs.columns
     assert Counter(map(tuple, got.collect())) == Counter(r for r in rows if r[1] != leak)
+
+
+def test_parts_are_read_once_for_the_texts_that_are_held(drawn, monkeypatch):
+    """Twenty parts and many slices: reads don't grow with the slices, and rows and hits stay as they are."""
+    items, texts = drawn
+    index, *_ = one_index(items)
+    reads = []
+    monkeypatch.setattr(decontaminate, "read_part", lambda folder, name: reads.append(name) or index)
+    monkeypatch.setattr(decontaminate, "SLICE", 4096)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + len(texts))), pa.array(texts)], ["id", "text"]) for k in range(6)]
+    names = [f"part-{k}" for k in range(20)]
+    one = list(decontaminate.searched(iter(batches), 1, "", names[:1], 0.5, 0.8, 0.5))
+    assert len(one) > 40 and len(reads) == len(one)  # a single part is looked through slice by slice
+    reads.clear()
+    got = list(decontaminate.searched(iter(batches), 1, "", names, 0.5, 0.8, 0.5))
+    assert reads == names
+    assert [r.column(0).to_pylist() for r, _ in got] == [r.column(0).to_pylist() for r, _ in one] and sum(r.num_rows for r, _ in got) == 6 * len(texts)
+    assert [sorted(h) for _, h in got] == [sorted(h * 20) for _, h in one] and any(h for _, h in got)
+    reads.clear()
+    monkeypatch.setattr(decontaminate, "HELD", sum(b.nbytes for b in batches))
+    assert len(list(decontaminate.searched(iter(batches), 1, "", names, 0.5, 0.8, 0.5))) == len(one) and 40 <= len(reads) <= 200
+    assert list(decontaminate.searched(iter([]), 1, "", names, 0.5, 0.8, 0.5)) == []

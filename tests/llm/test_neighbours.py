@@ -79,3 +79,16 @@ def test_equal_vectors_and_leaves_that_can_not_be_split(spark, leaf_rows):
     ids = {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 1000, 1100)}
     assert ids[1000] == list(range(1001, 1011)) and ids[1100] == list(range(1000, 1010))
     assert ids[0][:9] == list(range(7, 70, 7)) and ids[0][9] == 1
+
+
+@pytest.mark.parametrize("size", [1e-250, 1e200, 1e300])
+def test_components_whose_squares_leave_the_range_of_doubles(spark, size):
+    x = np.random.default_rng(8).normal(size=(200, 8))
+    rows = [(i, (v * size).tolist()) for i, v in enumerate(x)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "id long, vector array<double>"), F.col("id") % 100 == 0).collect()
+    assert len(got) == 20
+    for q in (0, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [i for _, i, _ in mine] == np.argsort(d)[:10].tolist() and np.allclose([s / size for *_, s in mine], np.sort(d)[:10], rtol=1e-9)
