@@ -44,7 +44,7 @@ FRAME_IDS = 1 << 16
 SLICE = 1 << 22  # bytes of text encoded together
 READ_BYTES = 4 << 20  # of ids in a batch read back
 DIGEST = 16
-LEVEL = 3
+LEVEL, DRAFT_LEVEL = 3, 1  # of compression; drafts are read once and removed
 HEADER = struct.Struct("<IB")
 PLACE = "struct<pack:int,at:long,bytes:int,first:int,ids:int,digest:binary>"
 _TAIL = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-įı-ɏ])([!-&(-/:-@\[-`{-~]+)\Z", re.S)  # signs without the apostrophe after a letter that stays one character
@@ -154,18 +154,22 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Take up words, from before if they were met then; one with ASCII signs at its end from its two parts."""
-        parts, new, rest = {}, [], []
+        if self.before:
+            met = [w for w in words if w in self.before]
+            self.known.update((w, self.before[w]) for w in met)
+            words = [w for w in words if w not in self.known] if met else words
         together = " ".join(words)
-        odd = {w for w in words if self.holds_added(w)} if any(c in together for c in self.signs) else ()  # hardly ever any
-        for w in words:
-            if w in self.before:
-                self.known[w] = self.before[w]
-            elif w in odd:
-                rest.append(w)
-            elif m := _TAIL.match(w):
-                parts[w] = m.span(2)[0]
-            else:
-                new.append(w)
+        rest = [w for w in words if self.holds_added(w)] if any(c in together for c in self.signs) else []  # hardly ever any
+        if rest:
+            odd = set(rest)
+            words = [w for w in words if w not in odd]
+        parts, new = {}, [w for w in words if w.isalpha()]
+        for w in words if len(new) < len(words) else ():
+            if not w.isalpha():
+                if m := _TAIL.match(w):
+                    parts[w] = m.start(2)
+                else:
+                    new.append(w)
         for w, cut in parts.items():
             new += [p for p in (w[:cut], w[cut:]) if p not in self.known]
         new = list(dict.fromkeys(new))
@@ -205,7 +209,8 @@ class Encoder:
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         each = lengths[places]
         ends = np.cumsum(each)
-        at = np.repeat((np.cumsum(lengths) - lengths)[places] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+        at = np.arange(ends[-1] if len(ends) else 0)
+        at += np.repeat((np.cumsum(lengths) - lengths)[places] - (ends - each), each)
         before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
         return np.frombuffer(b"".join(found), "<u4")[at], np.diff(before)
 
@@ -229,7 +234,8 @@ def encoder(path: str) -> Encoder:
 class _Pack:
     """A pack being written: chunks gathered into frames."""
 
-    def __init__(self, folder: str, number: int):
+    def __init__(self, folder: str, number: int, level: int = LEVEL):
+        self.level = level
         self.fs, self.root = filesystem(f"{folder}/packs")
         self.fs.create_dir(self.root, recursive=True)
         self.final, self.temp = f"{self.root}/part-{number:06d}.ids", f"{self.root}/.writing-{number:06d}-{TaskContext.get().taskAttemptId()}"
@@ -248,7 +254,7 @@ class _Pack:
         if self.held:
             ids = np.concatenate(self.held)
             width = 2 if ids.max() < 1 << 16 else 4
-            raw = zstandard.compress(ids.astype(f"<u{width}").tobytes(), LEVEL)
+            raw = zstandard.compress(ids.astype(f"<u{width}").tobytes(), self.level)
             self.sink.write(HEADER.pack(len(raw), width) + raw)
             for key, first, n in self.waiting:
                 done[key] = (self.at, HEADER.size + len(raw), first, n)
@@ -276,7 +282,7 @@ def pack(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) ->
                 ids, sizes = words.encode(batch.column(1).slice(low, high - low))
                 ids = np.insert(ids, np.cumsum(sizes), np.uint32(end_id))
                 hits, sizes = hits_of(ids), sizes + 1
-                out, begin = out or _Pack(f"{folder}/draft", number), 0
+                out, begin = out or _Pack(f"{folder}/draft", number, DRAFT_LEVEL), 0
                 lengths, digests, counts = [], [], []
                 raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 for n in sizes.tolist():
