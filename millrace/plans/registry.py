@@ -184,6 +184,14 @@ def distinct_claims(spark: SparkSession, d: str) -> DataFrame:
     return K.merged_sketches(kept, "ESG_Type").join(exact, "ESG_Type").select("ESG_Type", "claims", F.col("exact").alias("distinct_texts"), near.alias("sketch_is_near"))
 
 
+def stand_ins(spark: SparkSession, d: str, part: str) -> DataFrame:
+    """What the report source gives of a folder of reports in a made-up format."""
+    folder = sinks.scratch(spark, "reports")
+    derived.write_stand_ins(spark, d, folder)
+    report_source.register(spark, derived.parse_stand_in)
+    return spark.read.format("report").option("part", part).load(folder).withColumn("report", sinks.stem(F.col("path")))
+
+
 def page_files(spark: SparkSession, d: str) -> DataFrame:
     """name, text of the page text's file of each document."""
     folder = sinks.scratch(spark, "page-files")
@@ -324,6 +332,8 @@ def queries() -> dict[str, Query]:
         "a08_reports": reports,
         "a08_warnings": warnings,
         "s09_json_round_trip": json_round_trip,
+        "s01_pages": lambda s, d: stand_ins(s, d, "pages").select("report", "page_number", "text", "status", "error"),
+        "s04_tables": lambda s, d: stand_ins(s, d, "tables").select("report", "page_number", "src_idx", C.markdown(F.col("data")).alias("markdown"), *BOX),
         "s03_blocks": lambda s, d: report_source.blocks(derived.text_spans(s, d)),
         "s07_page_files": page_files,
         "s09_report_files": json_files,

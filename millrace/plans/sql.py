@@ -361,6 +361,10 @@ def queries() -> dict[str, str]:
         "a08_reports": f"WITH RECURSIVE {CHUNKS} SELECT doc_id, CAST(coalesce(n_chunks, 0) AS INTEGER) AS n_chunks, coalesce(outline, '') AS outline, n_pages AS total_pages FROM n LEFT JOIN (SELECT doc_id, count(*) AS n_chunks, string_agg({CHUNK_ID} || ':' || content_type, ',' ORDER BY number) AS outline FROM chunks GROUP BY doc_id) USING (doc_id)",
         "a08_warnings": f"WITH RECURSIVE {CHUNKS}, {TOLD} SELECT * FROM warned",
         "s09_json_round_trip": f"WITH RECURSIVE {CHUNKS}, {TOLD} SELECT 'reports/doc-' || CAST(doc_id AS VARCHAR) || '.pdf' AS source_pdf, 'Acme' AS company, 2024 AS year, CAST(NULL AS VARCHAR) AS report_type, n_pages AS total_pages, CAST(coalesce(n_warnings, 0) AS INTEGER) AS n_warnings, {CHUNK_ID} AS chunk_id, page_number, content_type, text, {tokens('text')} AS token_count, heading_context, x0, y0, x1, y1 FROM chunks JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_warnings FROM warned GROUP BY 1) USING (doc_id)",
+        "s01_pages": f"""WITH {GOLDEN}, pages AS (SELECT doc_id, 1 AS page_number, coalesce(text, '') AS text FROM documents UNION ALL SELECT d.doc_id, 2, a.sentence || ' ' || b.sentence FROM documents d JOIN golden a ON a.id = d.doc_id % 35 + 1 JOIN golden b ON b.id = (d.doc_id * 2 + 31) % 35 + 1)
+  SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS report, page_number, CASE WHEN page_number = 2 AND doc_id % 5 = 0 THEN '' ELSE text END AS text, CASE WHEN page_number = 2 AND doc_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN page_number = 2 AND doc_id % 5 = 0 THEN 'no such font' END AS error FROM pages WHERE doc_id % 7 <> 0 AND doc_id % 9 <> 0
+  UNION ALL SELECT 'doc-' || CAST(doc_id AS VARCHAR), NULL, NULL, 'failed', 'encrypted' FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 9 = 0""",
+        "s04_tables": f"WITH {TABLES} SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS report, page_number, CAST(1 - doc_id % 2 AS INTEGER) AS src_idx, {markdown('data')} AS markdown, x0, y0, x1, y1 FROM tables WHERE doc_id % 7 <> 0 AND doc_id % 9 <> 0",
         "s03_blocks": f"""WITH {BLOCKS}, split_words AS (SELECT *, unnest(range(0, len(ws))) AS i FROM (SELECT *, string_split(regexp_replace(text, '( )', ' ' || chr(1), 'g'), chr(1)) AS ws FROM blocks)),
   spans AS (SELECT {KEY}, i // 8 AS line, i AS span, ws[i + 1] AS word, CASE WHEN i % 3 <> 2 THEN max_font - i % 2 END AS size FROM split_words UNION ALL SELECT {KEY}, 1 << 20, 0, '  ', max_font + 2 FROM blocks WHERE (doc_id + src_idx) % 2 = 0),
   span_lines AS (SELECT {KEY}, line, string_agg(word, '' ORDER BY span) AS text FROM spans GROUP BY ALL), shown AS (SELECT {KEY}, {stripped("string_agg(text, chr(10) ORDER BY line)")} AS text FROM span_lines WHERE NOT regexp_full_match(text, '{WS}*') GROUP BY ALL),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from functools import cache
 from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.sources import reports, sinks
+
 PAGE_HEIGHT = 792.0
 
 
@@ -121,3 +124,31 @@ def text_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = found.where(even).withColumns({"word": F.lit("  "), "line": F.lit(1 << 20), "span": F.lit(0), "size": F.col("max_font") + 2})
     columns = ["doc_id", "page_number", F.col("src_idx").alias("block"), "line", "span", F.col("word").alias("text"), "size", "x0", "y0", "x1", "y1", "page_height"]
     return words.select(*columns).unionByName(blank.select(*columns))
+
+
+def write_stand_ins(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """A file for each document as the report source may meet it, in a format of our own that ``parse_stand_in`` reads.
+
+    One in seven is no report by its name, of the others one in nine is locked; endings are upper case in every other.
+    Page 2 of one in five is broken; every second report has a blank grid beside its table.
+    """
+    pages = claim_pages(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "text"))).alias("p"))
+    broken = lambda p: (p["page_number"] == 2) & (F.col("doc_id") % 5 == 0)
+    told = F.transform("p", lambda p: F.struct(F.when(broken(p), F.lit("")).otherwise(p["text"]).alias("text"), F.when(broken(p), "no such font").alias("error")))
+    box = F.when(F.col("x0").isNotNull(), F.array("x0", "y0", "x1", "y1"))
+    blank = F.struct(F.lit(1).alias("page"), F.array(F.array(F.lit(" "), F.lit(None).cast("string"))).alias("data"), F.lit(None).cast("array<double>").alias("box"))
+    table_ = F.struct(F.col("page_number").alias("page"), "data", box.alias("box"))
+    grids = F.when(F.col("data").isNotNull(), F.when(F.col("doc_id") % 2 == 0, F.array(blank, table_)).otherwise(F.array(table_)))
+    body = F.to_json(F.struct(told.alias("pages"), grids.alias("tables")), {"ignoreNullFields": "false"})
+    rows = pages.join(layout_tables(spark, sf_dir), "doc_id", "left").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.when(F.col("doc_id") % 9 == 0, "locked").otherwise(body).alias("content"))
+    no_report, odd = F.col("doc_id") % 7 == 0, F.col("doc_id") % 2 == 1
+    for some, suffix in ((~no_report & ~odd, ".pdf"), (~no_report & odd, ".PDF"), (no_report, ".txt")):
+        sinks.write_report_files(rows.where(some).select("name", "content"), folder, suffix)
+
+
+def parse_stand_in(raw: bytes) -> reports.Parsed:
+    if raw == b"locked":
+        raise RuntimeError("encrypted")
+    found = json.loads(raw)
+    pages = [(p["text"] or "", PAGE_HEIGHT, p["error"]) for p in found["pages"]]
+    return reports.Parsed(pages, [], [(t["page"], t["data"], t["box"]) for t in found["tables"] or []])
