@@ -154,32 +154,35 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Take up words, from before if they were met then; one with ASCII signs at its end from its two parts."""
+        known = self.known
         if self.before:
-            met = [w for w in words if w in self.before]
-            self.known.update((w, self.before[w]) for w in met)
-            words = [w for w in words if w not in self.known] if met else words
+            met = list(map(self.before.get, words))
+            known.update((w, x) for w, x in zip(words, met, strict=True) if x is not None)
+            words = [w for w, x in zip(words, met, strict=True) if x is None]
         together = " ".join(words)
-        rest = [w for w in words if self.holds_added(w)] if any(c in together for c in self.signs) else []  # hardly ever any
-        if rest:
-            odd = set(rest)
-            words = [w for w in words if w not in odd]
-        parts, new = {}, [w for w in words if w.isalpha()]
-        for w in words if len(new) < len(words) else ():
-            if not w.isalpha():
-                if m := _TAIL.match(w):
-                    parts[w] = m.start(2)
-                else:
-                    new.append(w)
-        for w, cut in parts.items():
-            new += [p for p in (w[:cut], w[cut:]) if p not in self.known]
-        new = list(dict.fromkeys(new))
-        letters = [w for w in new if w.isalpha()]
+        if any(c in together for c in self.signs):  # hardly ever
+            odd = [w for w in words if self.holds_added(w)]
+            known.update(zip(odd, self.plain(odd), strict=True))
+            words = [w for w in words if w not in known]
+        letters, other, parts = [], [], []
+        for w in words:
+            if w.isalpha():
+                letters.append(w)
+            elif m := _TAIL.match(w):
+                head, tail = m.groups()
+                parts.append((w, head, tail))
+                (letters if head.isalpha() else other).append(head)
+                other.append(tail)
+            else:
+                other.append(w)
+        letters = [w for w in dict.fromkeys(letters) if w not in known]
         for at in range(0, len(letters), 1000):
             some = letters[at : at + 1000]
-            self.known.update(zip(some, self.together(some), strict=True))
-        rest += [w for w in new if not w.isalpha()]
-        self.known.update(zip(rest, self.plain(rest), strict=True))
-        self.known.update((w, self.known[w[:cut]] + self.known[w[cut:]]) for w, cut in parts.items())
+            known.update(zip(some, self.together(some), strict=True))
+        other = [w for w in dict.fromkeys(other) if w not in known]
+        known.update(zip(other, self.plain(other), strict=True))
+        for w, head, tail in parts:
+            known[w] = known[head] + known[tail]
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids of each) of an Arrow string array."""
