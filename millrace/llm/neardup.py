@@ -219,21 +219,26 @@ def joined_up(rows: pd.DataFrame, similar: float) -> pd.DataFrame:
 
 
 def with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
-    """Rows (u, v) with the m of their u in ``least`` (u, m, n); centres of over a share of all edges, which are few, by broadcast."""
+    """Rows (u, v) with the m of their u in the written ``least`` (u, m, n); centres of over a share of all edges, which are few, by broadcast."""
     most = max(SHARE, edges // 10_000)
+    if (least.agg(F.max("n")).first()[0] or 0) <= most:
+        return rows.join(least.drop("n"), "u")
     hot, other = F.broadcast(least.where(F.col("n") > most).drop("n")), least.where(F.col("n") <= most).drop("n")
     return rows.join(hot.select("u"), "u", "left_anti").join(other, "u").unionByName(rows.join(hot, "u"))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, root) for every linked id, root the smallest id of its component: alternating large and small stars."""
+    """(id, root) for every linked id, root the smallest id of its component: alternating large and small stars.
+
+    What a star uses more than once is written, so the plans of a round are small and alike, and so is what the driver holds of them.
+    """
     edges, before = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"), None
     n = edges.count()
     while True:
-        around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = with_least(around, least, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        around = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        least = written(around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = written(with_least(around, least, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        down = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "down")
         small = with_least(large, down, n).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = written(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -87,3 +87,19 @@ def test_of_equal_rows_one_stays(spark):
     text = sentence(4, 80)
     docs = spark.createDataFrame([(5, text, "a"), (5, text, "b"), (5, text, "b"), (6, text, "a"), (None, sentence(50), "c"), (None, sentence(50), "c")], "doc_id long, text string, md5 string")
     assert Counter((r.doc_id, r.text) for r in neardup.stage(spark, docs, "").collect()) == {(5, text): 1, (None, sentence(50)): 1}
+
+
+def test_a_round_of_stars_reads_each_table_a_few_times(spark, monkeypatch):
+    """What a round uses again is written: a plan that holds every earlier step again and again takes the driver's memory."""
+    monkeypatch.setattr(neardup, "SHARE", 3)  # the first round has a centre that goes to every task
+    seen = []
+
+    def counted(df, name):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return written(df, name)
+
+    links = written(spark.createDataFrame([(0, i) for i in range(1, 9)] + [(i, i + 1) for i in range(20, 30)], "a long, b long"), "links")
+    monkeypatch.setattr(neardup, "written", counted)
+    got = {r.id: r.root for r in neardup.components(links).collect()}
+    assert got == {i: 0 for i in range(1, 9)} | {i: 20 for i in range(21, 31)}
+    assert max(seen) <= 6
