@@ -35,17 +35,30 @@ AFTER_ABBREVIATION = 0.99
 
 MARK = "\x01"
 NUMBER = "#"
-_LEAD = r"^[^\p{L}\p{N}]+"
+_BARE = r"(?s)[\p{L}\p{N}](?:.*[\p{L}\p{N}])?"
 _WORD = r"[\p{L}\p{N}]"
 _DIGITS = r"^[\p{N}.,:/-]*\p{N}[\p{N}.,:/-]*$"
 
 
 def word_of(token: Column) -> Column:
     """A token without signs before it and without its last stop, in lower case; numbers are alike; '' without letter or digit."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(token), _LEAD, ""), r"[^\p{L}\p{N}]*$", "")
+    return _or_number(_bare(token))
+
+
+def _bare(token: Column) -> Column:
+    return F.regexp_extract(F.lower(token), _BARE, 0)
+
+
+def _or_number(bare: Column) -> Column:
     return F.when(F.rlike(bare, F.lit(_DIGITS)), NUMBER).otherwise(bare)
 
 
+def _one_of_its_shape(token: Column) -> Column:
+    """A number with each digit as 0: its word, ending and case are the same, and far fewer differ. Other tokens stay."""
+    number = F.left(token, F.lit(1)).between("0", "9") & (F.translate(token, "0123456789.,:/-", "") == "")
+    return F.when(number, F.translate(token, "123456789", "000000000")).otherwise(token)
+
+
 def ending_of(token: Column) -> Column:
     """'.' after a letter or digit, '!' for what surely ends a sentence, or ''."""
     return F.when(F.rlike(token, F.lit(r"[\p{L}\p{N}]\.$")), ".").when(F.rlike(token, F.lit(r"[.!?]$")), "!").otherwise("")
@@ -63,10 +76,12 @@ def counted(texts: DataFrame) -> DataFrame:
     """
     tokens = F.filter(F.split(F.replace(F.col("text"), F.lit(MARK), F.lit(" ")), T.SPACE), lambda t: t != "")
     rows = texts.select(tokens.alias("t")).where(F.size("t") > 0).select("t", F.posexplode("t").alias("i", "token"))
-    # Patterns are matched once for each different token: what stands before matters only where it may end a sentence.
+    # Patterns are matched once for each different token, numbers by their shape, as a corpus has ever more of them; what
+    # stands before matters only where it may end a sentence.
     previous = F.when(F.col("i") > 0, F.element_at("t", F.col("i"))).otherwise("!")  # element_at counts from one
     kept = F.explode(F.array(previous)).alias("p")
-    tokens = rows.select("token", kept).select("token", F.when(F.right("p", F.lit(1)).isin(".", "!", "?"), F.col("p")).otherwise("").alias("p")).groupBy("token", "p").agg(F.count("*").alias("n"))
+    tokens = rows.select("token", kept).select("token", F.when(F.right("p", F.lit(1)).isin(".", "!", "?"), F.col("p")).otherwise("").alias("p"))
+    tokens = tokens.select(_one_of_its_shape(F.col("token")).alias("token"), _one_of_its_shape(F.col("p")).alias("p")).groupBy("token", "p").agg(F.count("*").alias("n"))
     ended = ending_of(F.col("p"))
     shaped = tokens.select(F.when(ended == ".", word_of(F.col("p"))).otherwise("").alias("before"), ended.alias("ended"), word_of(F.col("token")).alias("word"), (ending_of(F.col("token")) == ".").alias("stop"), case_of(F.col("token")).alias("case"), "n")
     return shaped.groupBy("before", "ended", "word", "stop", "case").agg(F.sum("n").alias("n"))
@@ -117,15 +132,33 @@ class SentenceModel:
         return T.let(pieces, lambda p: F.split(F.array_join(F.transform(p, lambda x, i: F.when((i % 2 == 1) & self.ends(p[i - 1], p[i + 1]), F.lit(MARK)).otherwise(x)), ""), MARK))
 
     def ends(self, before: Column, after: Column) -> Column:
-        """Whether a sentence ends between two pieces of text."""
-        last, first = F.regexp_extract(before, r"(?U)(\S+)$", 1), F.regexp_extract(after, r"(?U)^(\S+)", 1)
-        word, following, case = word_of(last), word_of(first), case_of(first)
+        """Whether a sentence ends between two pieces of text.
+
+        Each part is computed once and what follows only where the word before can speak against an end: inside lambdas Spark
+        computes a part anew wherever it stands.
+        """
+        firsts = sorted({*self.abbreviations, *(before for before, _ in self.collocations)})
+        last, first = F.regexp_extract(before, r"(?U)(?<!\S)(\S++)$", 1), F.regexp_extract(after, r"(?U)^(\S+)", 1)
+
+        def told(word: Column) -> Column:
+            asks = _among(word, firsts) | single(word) | (word == NUMBER)
+            return F.when(asks, T.let(first, lambda x: T.let(F.struct(_word(x).alias("w"), case_of(x).alias("c")), lambda y: self._goes_on(word, y["w"], y["c"])))).otherwise(False)
+
+        return T.let(last, lambda x: F.when(ending_of(x) == ".", ~T.let(_word(x), told)).otherwise(True))
+
+    def _goes_on(self, word: Column, following: Column, case: Column) -> Column:
+        """Whether a stop after ``word`` is none of a sentence's end where ``following`` comes next."""
         opens = (case == "upper") & _among(following, self.openers)
         starts = (case == "upper") & (_among(following, self.starters) | opens)
         together = _among(F.concat(word, F.lit(" "), following), [" ".join(c) for c in self.collocations]) & ~opens
         initial = single(word) | (word == NUMBER)
         stays = F.when(_among(word, self.abbreviations), ~starts).when(initial, (case == "lower") | (single(word) & (case == "upper") & ~starts))
-        return (ending_of(last) != ".") | ~(together | F.coalesce(stays, F.lit(False)))
+        return together | F.coalesce(stays, F.lit(False))
+
+
+def _word(token: Column) -> Column:
+    """``word_of`` for use inside a lambda."""
+    return T.let(_bare(token), _or_number)
 
 
 def _among(word: Column, words: list[str]) -> Column:

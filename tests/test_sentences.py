@@ -103,3 +103,16 @@ def test_empty_corpora_and_bounds(spark):
     assert M.learned(spark.createDataFrame([(None,), ("",), ("...",)], "text string"), sinks.kept) == M.SentenceModel()
     with pytest.raises(ValueError, match="over 1"):
         M.learned(corpus(spark), sinks.kept, most=1)
+
+
+def test_numbers_are_counted_by_their_shape(spark):
+    """A corpus has ever more different numbers; what is grouped first must not grow with them."""
+    texts = [f"Order No. {i * 7919 % 100_000:05d} of 2020-01-{i % 28 + 1:02d} costs {i % 900 + 100}.5 crowns. CO2x{i} and {i % 90 + 10}. Then 7%." for i in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    counts = sinks.kept(M.counted(df), "counts")
+    assert counts.agg(F.sum("n")).first()[0] == sum(len(t.split()) for t in texts)
+    assert {r.word for r in counts.collect()} >= {"#", "co2x7", "co2x8"} and counts.where("word = 'no' and stop").count() == 1
+    seen = df.select(F.explode(F.split("text", " ")).alias("token")).select(M._one_of_its_shape(F.col("token")).alias("shape"), "token")
+    assert seen.where("token not like 'CO2%'").select("shape").distinct().count() == 12
+    alike = [getattr(M, f) for f in ("word_of", "ending_of", "case_of")]
+    assert not seen.select(*[(f(F.col("token")) == f(F.col("shape"))).alias(f.__name__) for f in alike]).where("not (word_of and ending_of and case_of)").count()
