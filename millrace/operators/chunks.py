@@ -100,9 +100,8 @@ def ordered_items(blocks: DataFrame, tables: DataFrame, pages: DataFrame | None
 
     ``pages`` (doc_id, page_number) lists all pages of the documents, as those without a block count for headers.
     """
-    cleaned = layout.without_headers(blocks, pages)
-    fonts = layout.page_fonts(cleaned)
-    left = layout.uncovered(cleaned, tables).join(fonts, ["doc_id", "page_number"])
+    cleaned = layout.without_headers(blocks, pages).where("doc_id is not null and page_number is not null")
+    left = layout.uncovered(cleaned.withColumn("page_font", F.coalesce(layout.page_median().over(Window.partitionBy("doc_id", "page_number")), F.lit(layout.DEFAULT_FONT))), tables)
     found = layout.items(left, tables).withColumn("whole", F.when(F.col("kind") == 0, T.clean(F.col("text"))))
     found = found.where((F.col("kind") == 1) | (F.col("whole") != ""))
     typed = found.withColumn("content_type", F.when(F.col("kind") == 1, "table").otherwise(layout.block_type(F.col("text"), F.col("max_font"), F.col("page_font"))))

@@ -62,14 +62,20 @@ def without_headers(blocks: DataFrame, pages: DataFrame | None = None) -> DataFr
     """Blocks without repeated margin texts and margin page numbers."""
     marked = blocks.withColumns({"header": T.clean(F.col("text")), "margin": margin_of_block()})
     numbered = marked.where(~(F.col("margin") & T.is_page_number(F.col("header"))))
-    gone = repeated_texts(blocks, pages).withColumn("margin", F.lit(True))
-    return numbered.join(gone, ["doc_id", "header", "margin"], "left_anti").select(*blocks.columns)
+    # By document alone, so that texts are shuffled once for all steps: a join by more keys would deal them out anew.
+    gone = repeated_texts(blocks, pages).groupBy("doc_id").agg(F.collect_set("header").alias("gone"))
+    shown = ~(F.col("margin") & F.coalesce(F.array_contains("gone", F.col("header")), F.lit(False)))
+    return numbered.join(gone, "doc_id", "left").where(shown).select(*blocks.columns)
+
+
+def page_median() -> Column:
+    """Median of the blocks' positive medians, null without one."""
+    return F.median(F.when(F.col("median_font") > 0, F.col("median_font")))
 
 
 def page_fonts(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page_number, page_font): median of the blocks' positive medians."""
-    sized = F.median(F.when(F.col("median_font") > 0, F.col("median_font")))
-    return blocks.groupBy("doc_id", "page_number").agg(F.coalesce(sized, F.lit(DEFAULT_FONT)).alias("page_font"))
+    """(doc_id, page_number, page_font): a page's median font."""
+    return blocks.groupBy("doc_id", "page_number").agg(F.coalesce(page_median(), F.lit(DEFAULT_FONT)).alias("page_font"))
 
 
 def block_fonts(spans: DataFrame) -> DataFrame:
@@ -80,11 +86,16 @@ def block_fonts(spans: DataFrame) -> DataFrame:
 
 def uncovered(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """Blocks that no table of their page contains or overlaps much."""
-    boxes = tables.where(F.col("x0").isNotNull()).select("doc_id", "page_number", *[F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1", "y1")])
-    a, b = [F.col(c) for c in ("x0", "y0", "x1", "y1")], [F.col(f"t_{c}") for c in ("x0", "y0", "x1", "y1")]
-    left, right = blocks.alias("l"), boxes.alias("r")
-    same = (F.col("l.doc_id") == F.col("r.doc_id")) & (F.col("l.page_number") == F.col("r.page_number"))
-    return left.join(right, same & (contained(a, b) | (iou(a, b) > OVERLAP)), "left_anti")
+    sides = ("x0", "y0", "x1", "y1")
+    boxes = tables.where(F.col("x0").isNotNull()).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("page_number").alias("page"), *sides)).alias("boxes"))
+    a = [F.col(c) for c in sides]
+
+    def covers(t: Column) -> Column:
+        b = [t[c] for c in sides]
+        return (t["page"] == F.col("page_number")) & (contained(a, b) | (iou(a, b) > OVERLAP))
+
+    covered = F.coalesce(F.exists("boxes", covers), F.lit(False))
+    return blocks.join(boxes, "doc_id", "left").where(~covered).select(*blocks.columns)
 
 
 def block_type(text: Column, max_font: Column, page_font: Column) -> Column:
