@@ -231,19 +231,76 @@ def register(spark: SparkSession, parser: Callable[[bytes], Parsed] | None = Non
     spark.dataSource.register(source)
 
 
+def _pieces(batches: Iterator) -> Iterator:
+    """Spans of a block that come one after the other as one row: texts of neighbouring spans of a line as one piece."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys, (line, span, text, size), boxes = batch.columns[:3], batch.columns[3:7], batch.columns[7:]
+
+        def breaks(column, step: int = 0) -> np.ndarray:
+            """Where a value isn't that of the row before and ``step``; nulls are like nothing."""
+            same = pc.equal(column.slice(1), pc.add(column.slice(0, n - 1), step) if step else column.slice(0, n - 1))
+            return np.concatenate([[True], ~pc.fill_null(same, False).to_numpy(zero_copy_only=False)])
+
+        new_row = np.logical_or.reduce([breaks(k) for k in keys])
+        new_piece = new_row | breaks(line) | breaks(span, 1)
+        rows, pieces = np.flatnonzero(new_row), np.flatnonzero(new_piece)
+        text = pc.fill_null(text, "").cast(pa.string())
+        ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + n + 1]
+        bounds = np.append(pieces, n).astype(np.int32)
+        joined = pa.StringArray.from_buffers(len(pieces), pa.py_buffer(ends[bounds].tobytes()), text.buffers()[2] or pa.py_buffer(b""))
+        lengths = pa.ListArray.from_arrays(pa.array(bounds), pc.utf8_length(text))
+        at = pa.array(pieces)
+        parts = pa.StructArray.from_arrays([line.take(at), span.take(at), joined, lengths], ["line", "span", "text", "lengths"])
+        of = np.append(np.cumsum(new_piece)[rows] - 1, len(pieces)).astype(np.int32)
+        # Sizes of each row in order, equal ones counted.
+        sizes, row = size.to_numpy(zero_copy_only=False), np.cumsum(new_row) - 1
+        given = np.flatnonzero(pc.fill_null(pc.not_equal(size, 0.0), False).to_numpy(zero_copy_only=False))
+        given = given[np.lexsort((sizes[given], row[given]))]
+        sizes, row = sizes[given], row[given]
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (sizes[1:] != sizes[:-1]))[: len(given)])
+        counted = pa.StructArray.from_arrays([pa.array(sizes[first], pa.float64()), pa.array(np.diff(np.append(first, len(given))), pa.int32())], ["size", "n"])
+        size_of = np.searchsorted(row[first], np.arange(len(rows) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [*(k.take(pa.array(rows)) for k in keys), pa.ListArray.from_arrays(pa.array(of), parts), pa.ListArray.from_arrays(pa.array(size_of), counted), *(x.take(pa.array(rows)) for x in boxes)],
+            [*batch.schema.names[:3], "pieces", "sizes", *batch.schema.names[7:]],
+        )
+
+
 def blocks(spans: DataFrame) -> DataFrame:
     """Text blocks with their fonts from spans (doc_id, …): lines without text don't show but their sizes count.
 
-    One aggregation: a block's spans are gathered in order and put together in the row. Blocks are numbered by page
-    in the same partitioning's order.
+    Tasks first put together what lies together, so texts are shuffled by line and not by span, once, by page: a block's
+    pieces are gathered in order and joined in the row, and blocks are numbered where they are. Where pieces of a line
+    interleave, which takes spans with the same number, they are taken apart again.
     """
-    keys = ["doc_id", "page_number", "block"]
-    sized = F.when(F.col("size") != 0, F.col("size"))
-    found = spans.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("line", "span", "text"))).alias("s"), F.coalesce(F.max(sized), F.lit(0.0)).alias("max_font"), F.coalesce(F.median(sized), F.lit(0.0)).alias("median_font"),
-        *[F.first(c).alias(c) for c in ("x0", "y0", "x1", "y1", "page_height")],
+    keys, boxes = ["doc_id", "page_number", "block"], ["x0", "y0", "x1", "y1", "page_height"]
+    kind = {f.name: f.dataType.simpleString() for f in spans.schema}
+    schema = ", ".join([*(f"{k} {kind[k]}" for k in keys), "pieces array<struct<line:bigint,span:bigint,text:string,lengths:array<int>>>, sizes array<struct<size:double,n:int>>", *(f"{x} {kind[x]}" for x in boxes)])
+    narrow = spans.select(*keys, F.col("line").cast("long").alias("line"), F.col("span").cast("long").alias("span"), F.col("text").cast("string").alias("text"), F.col("size").cast("double").alias("size"), *boxes)
+    found = narrow.mapInArrow(_pieces, schema).repartition("doc_id", "page_number").groupBy(*keys).agg(
+        F.sort_array(F.flatten(F.collect_list("pieces"))).alias("s"), F.flatten(F.collect_list("sizes")).alias("sizes"), *[F.first(c).alias(c) for c in boxes],
     )
-    lines = F.transform(F.array_distinct(F.transform("s", lambda s: s["line"])), lambda n: F.array_join(F.transform(F.filter("s", lambda s: s["line"] == n), lambda s: F.coalesce(s["text"], F.lit(""))), ""))
+    over = F.transform("s", lambda p, i: T.let(F.get("s", i - 1), lambda b: F.coalesce((p["line"] == b["line"]) & (p["span"] < b["span"] + F.size(b["lengths"])), F.lit(False))))
+    part = lambda line, span, text: F.struct(line.alias("line"), span.alias("span"), text.alias("text"))
+    before = lambda p, i: F.aggregate(F.slice(p["lengths"], F.lit(1), i), F.lit(0), lambda a, n: a + n)
+    apart = F.flatten(F.transform("s", lambda p: F.transform(p["lengths"], lambda n, i: part(p["line"], p["span"] + i, p["text"].substr(before(p, i) + 1, n)))))
+    whole = F.transform("s", lambda p: part(p["line"], p["span"], p["text"]))
+    told = found.withColumn("s", F.when(F.array_contains(over, True), F.sort_array(apart)).otherwise(whole))
+    numbers = F.array_distinct(F.transform("s", lambda p: p["line"]))
+    # A line is one piece as a rule.
+    each = F.transform("s", lambda p: F.when(p["line"].isNotNull(), p["text"]).otherwise(""))
+    joined = F.transform(numbers, lambda n: F.array_join(F.transform(F.filter("s", lambda p: p["line"] == n), lambda p: p["text"]), ""))
+    lines = F.when(F.size(numbers) == F.size("s"), each).otherwise(joined)
     shown = F.filter(lines, lambda x: F.rlike(x, F.lit(r"(?U)[^\s\x1c-\x1f]")))
-    told = found.withColumn("text", T.stripped(F.array_join(shown, "\n"))).where("text <> ''")
-    return told.select("doc_id", "page_number", F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("block")).alias("src_idx"), "text", "x0", "y0", "x1", "y1", "max_font", "median_font", "page_height")
+    told = told.withColumn("text", T.stripped(F.array_join(shown, "\n"))).where("text <> ''")
+    sizes = F.sort_array(F.flatten(F.transform("sizes", lambda x: F.array_repeat(x["size"], x["n"]))))
+    middle = T.let(sizes, lambda a: F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) * 0.5 + F.get(a, F.floor(F.size(a) / 2).cast("int")) * 0.5)
+    fonts = [F.coalesce(F.array_max(F.transform("sizes", lambda x: x["size"])), F.lit(0.0)).alias("max_font"), F.coalesce(middle, F.lit(0.0)).alias("median_font")]
+    return told.select("doc_id", "page_number", F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("block")).alias("src_idx"), "text", "x0", "y0", "x1", "y1", *fonts, "page_height")
