@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import text as T
-from millrace.sources import derived
+from millrace.sources import derived, sinks
 
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -89,9 +89,10 @@ def found_gold(gold: DataFrame, claims: DataFrame, keys: list[str], least: int =
     annotator's shortened or recased copy is found; of several matches that with most words in common wins, then the
     first in order. Candidates come from an inverted index of the claims' words: to hold that many words a
     claim must have one of a gold row's rarest n - ceil(least n / 100) + 1, so only those are looked up. Rows with no word
-    are never found.
+    are never found. Claims are costly to make and used three times, so they are written to the scratch folder once.
     """
     words = claims.select(*keys, F.xxhash64("text").alias("claim"), tokens(F.col("text")).alias("words"), F.col("text").alias("claim_text"), F.col("topic").alias("as_topic")).distinct()
+    words = sinks.kept(words, "claim-words")
     index = words.select(*keys, "claim", F.explode("words").alias("word"))
     often = index.groupBy("word").agg(F.count("*").alias("uses"))
     asked = gold.select(*keys, "gold_id", tokens(F.col("text")).alias("wanted"))
