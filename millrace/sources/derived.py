@@ -101,9 +101,11 @@ def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layout_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid on the first page of two documents in three, from lineitem rows; one in three has no box."""
     docs = table(spark, sf_dir, "documents").where("doc_id % 3 <> 2").select("doc_id")
-    cells = F.array(*[F.col(c).cast("long").cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")], F.col("l_returnflag"), F.col("l_linestatus"))
-    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", cells.alias("cells"))
-    grids = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") - 1).alias("doc_id"), item.alias("r")).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["cells"]).alias("body"))
+    fields = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
+    shown = lambda r: F.array(*[x.cast("long").cast("string") for x in (F.col("doc_id") + 1, *(r[c] for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))], r["l_returnflag"], r["l_linestatus"])
+    # Rows that no document has go before they are gathered; cells are written once they are.
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") - 1).alias("doc_id"), *fields).join(docs, "doc_id", "left_semi")
+    grids = items.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("r")).select("doc_id", F.transform("r", shown).alias("body"))
     head = F.array(F.array(*map(F.lit, ("order", "line", "part", "supplier", "quantity", "flag", "status"))))
     boxed = F.col("doc_id") % 3 == 0
     box = [F.when(boxed, F.lit(x)).alias(k) for k, x in (("x0", 60.0), ("y0", 250.0), ("x1", 560.0), ("y1", 345.0))]
@@ -140,10 +142,9 @@ def write_stand_ins(spark: SparkSession, sf_dir: str, folder: str) -> None:
     table_ = F.struct(F.col("page_number").alias("page"), "data", box.alias("box"))
     grids = F.when(F.col("data").isNotNull(), F.when(F.col("doc_id") % 2 == 0, F.array(blank, table_)).otherwise(F.array(table_)))
     body = F.to_json(F.struct(told.alias("pages"), grids.alias("tables")), {"ignoreNullFields": "false"})
-    rows = pages.join(layout_tables(spark, sf_dir), "doc_id", "left").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.when(F.col("doc_id") % 9 == 0, "locked").otherwise(body).alias("content"))
-    no_report, odd = F.col("doc_id") % 7 == 0, F.col("doc_id") % 2 == 1
-    for some, suffix in ((~no_report & ~odd, ".pdf"), (~no_report & odd, ".PDF"), (no_report, ".txt")):
-        sinks.write_report_files(rows.where(some).select("name", "content"), folder, suffix)
+    ending = F.when(F.col("doc_id") % 7 == 0, ".txt").when(F.col("doc_id") % 2 == 1, ".PDF").otherwise(".pdf")
+    named = pages.join(layout_tables(spark, sf_dir), "doc_id", "left").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), ending).alias("name"), F.when(F.col("doc_id") % 9 == 0, "locked").otherwise(body).alias("content"))
+    sinks.write_report_files(named, folder, "")
 
 
 def parse_stand_in(raw: bytes) -> reports.Parsed:

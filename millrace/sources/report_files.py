@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 from millrace.sources.paths import opened
 
 SCHEMA = "name string, content string"
-MOVES = 16  # renames at once
+MOVES = 16  # renames at once where each is a request; a local file system takes one at a time, threads only wait for each other
 
 
 class ReportFiles(DataSource):
@@ -99,9 +99,13 @@ class _Writer(DataSourceArrowWriter):
             for f in where.get_file_info(fs.FileSelector(root)):
                 if f.is_file and f.base_name.endswith(self.suffix) and f.base_name not in new:
                     where.delete_file(f.path)
-        with ThreadPoolExecutor(MOVES) as pool:
-            moves = [(f"{m.folder}/{n}{self.suffix}", f"{root}/{n}{self.suffix}") for m in parts for n in m.names]
-            list(pool.map(lambda m: where.move(*m), moves))
+        moves = ((f"{m.folder}/{n}{self.suffix}", f"{root}/{n}{self.suffix}") for m in parts for n in m.names)
+        if where.type_name == "local":
+            for move in moves:
+                where.move(*move)
+        else:
+            with ThreadPoolExecutor(MOVES) as pool:
+                list(pool.map(lambda m: where.move(*m), moves))
         self.abort(messages)  # what attempts that don't count have left
         with where.open_output_stream(f"{root}/_SUCCESS"):
             pass

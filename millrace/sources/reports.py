@@ -22,6 +22,7 @@ from millrace.sources.paths import opened
 PAGES = "path string, page_number int, text string, page_height double, status string, error string"
 SPANS = "path string, page_number int, block int, line int, span int, text string, size double, x0 double, y0 double, x1 double, y1 double, page_height double"
 TABLES = "path string, page_number int, src_idx int, data array<array<string>>, x0 double, y0 double, x1 double, y1 double"
+MOST_PARTITIONS = 2000  # of a batch of reports
 SCHEMAS = {"pages": PAGES, "spans": SPANS, "tables": TABLES}
 
 
@@ -179,7 +180,9 @@ class _Parsing:
 
 class _Reader(_Parsing, DataSourceReader):
     def partitions(self) -> list[_Files]:
-        return packed(listed(self.path), self.most, self.opening)
+        files = listed(self.path)
+        whole = sum(size + self.opening for _, size in files)
+        return packed(files, max(self.most, whole // MOST_PARTITIONS), self.opening)  # rows stream, so a large partition takes no more memory
 
 
 class _StreamReader(_Parsing, DataSourceStreamReader):
