@@ -39,6 +39,11 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
+def blank(text: Column) -> Column:
+    """Whether nothing is left once stripped; ends at the first sign that isn't white space."""
+    return ~F.rlike(text, F.lit(r"(?U)[^\s\x1c-\x1f]"))
+
+
 def sentences(text: Column) -> Column:
     """The pieces between sentence ends and the white space after them."""
     return F.split(text, SENTENCE_END)

@@ -2,7 +2,7 @@
 functions; it counts fewer tokens than a subword vocabulary does, which is a known deviation. A ``WordPiece`` strategy
 gives exact counts where a vocabulary file is at hand.
 
-A counter has ``count`` for a text, ``measure`` for the sentences of one, ``rows`` for a grid and ``sign`` for a short
+A counter has ``count`` and ``over`` for a text, ``measure`` for the sentences of one, ``rows`` for a grid and ``sign`` for a short
 constant. Those take whole arrays, so a Python counter needs no place inside a lambda, where Spark allows none.
 """
 
@@ -26,6 +26,10 @@ class SignTokens:
     def count(self, text: Column) -> Column:
         return F.regexp_count(F.lower(text), F.lit(TOKEN))
 
+    def over(self, text: Column, most: int) -> Column:
+        """Whether a text has more tokens; one with no more signs than that isn't counted."""
+        return (F.length(F.lower(text)) > most) & (self.count(text) > most)
+
     def windows(self, text: Column, most: int, overlap: int) -> Column:
         """Overlapping windows of a text's tokens, as it has them; the last one is the first that reaches the end."""
         step = most - overlap
@@ -71,6 +75,9 @@ class WordPiece:
 
         return F.pandas_udf(run, "int")(text)
 
+    def over(self, text: Column, most: int) -> Column:
+        return self.count(text) > most
+
     def measure(self, texts: Column, most: int, overlap: int) -> Column:
         def windows(text: str, offsets: list[tuple[int, int]]) -> list[str] | None:
             if len(offsets) <= most:

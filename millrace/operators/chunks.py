@@ -39,7 +39,7 @@ def packed(text: Column, counter: Counter, most: int = MOST, split: Callable[[Co
         return F.when(x["n"] > most, over).when(acc["held"].isNotNull() & (acc["n"] + x["n"] > most), new).otherwise(more)
 
     fold = F.aggregate(counted, start, step, flushed)
-    return F.when(T.stripped(text) == "", none).when(counter.count(text) <= most, F.array(text)).otherwise(fold)
+    return F.when(T.blank(text), none).when(~counter.over(text, most), F.array(text)).otherwise(fold)
 
 
 def markdown(rows: Column) -> Column:
@@ -113,7 +113,7 @@ def chunks(items: DataFrame, counter: Counter | None = None) -> DataFrame:
     """Of ordered items: doc_id, number, kind, src_idx, chunk_id, page_number, content_type, text, token_count, bbox, heading_context, oversize."""
     counter = counter or SignTokens()
     texts = F.transform(packed(F.col("whole"), counter), lambda s: F.struct(s.alias("text"), F.lit(False).alias("oversize")))
-    pieces = F.when(F.col("kind") == 0, F.filter(texts, lambda p: T.stripped(p["text"]) != "")).otherwise(split_table(F.col("data"), counter))
+    pieces = F.when(F.col("kind") == 0, F.filter(texts, lambda p: ~T.blank(p["text"]))).otherwise(split_table(F.col("data"), counter))
     out = items.select("*", F.posexplode(pieces).alias("piece_idx", "piece")).withColumn("number", F.row_number().over(layout.in_order(F.col("piece_idx"))))
     bbox = F.when(F.col("x0").isNotNull(), F.array("x0", "y0", "x1", "y1"))
     return out.select("doc_id", "number", "kind", "src_idx", T.chunk_id(F.col("number")).alias("chunk_id"), F.col("page_number").cast("int").alias("page_number"), "content_type", F.col("piece.text").alias("text"), counter.count(F.col("piece.text")).cast("int").alias("token_count"), bbox.alias("bbox"), "heading_context", F.col("piece.oversize").alias("oversize"))
@@ -134,7 +134,7 @@ def warnings(items: DataFrame, blocks: DataFrame, pages: DataFrame | None = None
     counter = counter or SignTokens()
     found = items.withColumn("seq", F.row_number().over(layout.in_order()))
     too_long = F.filter(counter.measure(sentences_of(F.col("whole")), MOST, OVERLAP)["n"], lambda n: n > MOST)
-    sents = found.where((F.col("kind") == 0) & (counter.count(F.col("whole")) > MOST)).select("doc_id", "page_number", "seq", F.posexplode(too_long).alias("sub", "n"))
+    sents = found.where((F.col("kind") == 0) & counter.over(F.col("whole"), MOST)).select("doc_id", "page_number", "seq", F.posexplode(too_long).alias("sub", "n"))
     message = F.format_string(LONG_SENTENCE, F.col("n"))
     rows = found.where("kind = 1").select("doc_id", "page_number", "seq", F.posexplode(F.filter(split_table(F.col("data"), counter), lambda p: p["oversize"])).alias("sub", "piece"))
     out = sents.select("doc_id", F.lit("chunking").alias("phase"), "page_number", "seq", "sub", message.alias("message")).unionByName(rows.select("doc_id", F.lit("chunking").alias("phase"), "page_number", "seq", "sub", F.lit(LONG_ROW).alias("message")))
