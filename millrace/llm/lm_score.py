@@ -95,14 +95,22 @@ def opened(batches):
 
 @contextmanager
 def few_rows(spark, rows: int = 16):
-    """Rows of codes are large: jobs run inside hand them to Python a few at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """Rows of codes are large: jobs run inside read them and hand them to Python a few at a time."""
+    names = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name in names:
+            spark.conf.set(name, before[name])
+
+
+def gathered(df: DataFrame, name: str) -> DataFrame:
+    """What a pass over codes makes, written: its small rows are read again as usual."""
+    with few_rows(df.sparkSession):
+        return written(df, name)
 
 
 def codes_of(keys: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -295,7 +303,7 @@ def classed(codes: DataFrame, keys: np.ndarray, counts: np.ndarray, rounds: int
             some = hit[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["cell", "n"])
 
-    cells = codes.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # HEAD x 2 ANCHORS at most
+    cells = gathered(codes.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "lm-cells").toArrow()  # HEAD x 2 ANCHORS at most
     x = np.zeros(len(keys) * wide, np.float32)
     x[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     x = np.log1p(x.reshape(len(keys), wide))
@@ -387,7 +395,7 @@ def trained(codes: DataFrame, classes: Classes, buckets: int, replicas: int, rou
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), which_table), pa.int32()), pa.array(some), pa.array(n, pa.float64()), *cols], ["table", "bucket", "n", *names])
 
         rows = codes.mapInArrow(run, "table int, bucket long, n double, " + ", ".join(f"{x} float" for x in names))
-        mean = rows.groupBy("table", "bucket").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).toArrow()  # a row for each bucket at most
+        mean = gathered(rows.groupBy("table", "bucket").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]), "lm-weights").toArrow()  # a row for each bucket at most
         of = mean["table"].to_numpy()
         for k, to in enumerate((weights.first, weights.second)):
             some = mean.filter(of == k)
@@ -398,12 +406,7 @@ def trained(codes: DataFrame, classes: Classes, buckets: int, replicas: int, rou
 
 def learned(codes: DataFrame, replica_tokens: int = 16_000_000) -> tuple[Model | None, DataFrame]:
     """The model of the training texts among encoded ones, and the table (key, n) of all word counts."""
-    with few_rows(codes.sparkSession):
-        return _learned(codes, replica_tokens)
-
-
-def _learned(codes: DataFrame, replica_tokens: int) -> tuple[Model | None, DataFrame]:
-    counts = written(counted(codes), "word-counts")
+    counts = gathered(counted(codes), "word-counts")
     form = F.col("key").bitwiseAND(F.lit(FORMS - 1)).cast("int").alias("form")
     sums = counts.groupBy(form).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()  # FORMS rows
     total, distinct = sum(r["n"] for r in sums), sum(r["words"] for r in sums)
@@ -452,8 +455,7 @@ def scored(codes: DataFrame, model: Model | None, counts: DataFrame) -> DataFram
             yield pa.RecordBatch.from_arrays([ids, pa.array(row + np.arange(len(sizes))), pa.array(sizes, pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[1]), pa.array(sums[0]), lists], ["id", "row", "n_tokens", "known", "base", "score", "tail"])
             row += len(sizes)
 
-    with few_rows(codes.sparkSession):
-        parts = written(codes.mapInArrow(run, "id long, row long, n_tokens long, known long, base double, score double, tail array<long>"), "lm-parts")
+    parts = gathered(codes.mapInArrow(run, "id long, row long, n_tokens long, known long, base double, score double, tail array<long>"), "lm-parts")
     tail = parts.select("row", F.explode("tail").alias("key"))
     rare = tail.join(counts, "key", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"))
     rest = rare.groupBy("row").agg(F.sum(F.log10((F.col("n") + 1) / F.lit(float(size)))).alias("rest_base"), F.sum(F.log10(F.col("n") + 1.0)).alias("rest_score"), F.sum((F.col("n") > 0).cast("long")).alias("rest_known"))

@@ -153,3 +153,15 @@ def test_codes_hold_every_token(spark, odd):
 def test_buckets_grow_with_the_root_of_the_tokens():
     sizes = [lm_score.buckets_for(n) for n in (0, 10**5, 10**7, 10**9, 10**15)]
     assert sizes == sorted(sizes) and sizes[0] == 1 << 12 and sizes[-1] == 1 << 18 and sizes[2] < sizes[3]
+
+
+def test_rows_of_codes_are_read_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    """A row of codes is a quarter of a megabyte: Parquet's 4,096 rows at once are a gigabyte of an executor's heap."""
+    names, seen = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"), {}
+    usual = [spark.conf.get(k) for k in names]
+    write = lm_score.written
+    monkeypatch.setattr(lm_score, "written", lambda df, name: (seen.update({name: [spark.conf.get(k) for k in names]}), write(df, name))[1])
+    spark.createDataFrame([(i, t) for i, t, _, _ in rows()[0]], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lm_score.query(spark, str(tmp_path)).collect()
+    assert seen.pop("lm-codes") == usual == [spark.conf.get(k) for k in names]
+    assert seen == dict.fromkeys(("word-counts", "lm-cells", "lm-weights", "lm-parts"), ["16", "16"])
