@@ -68,8 +68,7 @@ def run_chunks(spark: SparkSession, args: argparse.Namespace) -> int:
         tables = sinks.kept(read("tables").join(scanned, "doc_id", "left_anti"), "tables")
     counted = (pages if pages is not None else blocks).groupBy("doc_id").agg(F.max("page_number").alias("total_pages"))
     about = counted.select("doc_id", name.alias("source_pdf"), F.lit(args.company).alias("company"), F.lit(args.year).cast("int").alias("year"), F.lit(args.report_type).alias("report_type"), "total_pages")
-    items = sinks.kept(C.ordered_items(blocks, tables, pages), "items")
-    nested = sinks.kept(C.reports(C.chunks(items), C.warnings(items, blocks, pages), about), "reports")
+    nested = sinks.kept(C.reports(C.ordered_items(blocks, tables, pages), blocks, about, pages), "reports")
     if args.report_files:
         sinks.write_json_files(nested, args.output)
     else:

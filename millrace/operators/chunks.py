@@ -101,9 +101,13 @@ def ordered_items(blocks: DataFrame, tables: DataFrame, pages: DataFrame | None
     ``pages`` (doc_id, page_number) lists all pages of the documents, as those without a block count for headers.
     """
     cleaned = layout.without_headers(blocks, pages).where("doc_id is not null and page_number is not null")
-    left = layout.uncovered(cleaned.withColumn("page_font", F.coalesce(layout.page_median().over(Window.partitionBy("doc_id", "page_number")), F.lit(layout.DEFAULT_FONT))), tables)
-    found = layout.items(left, tables).withColumn("whole", F.when(F.col("kind") == 0, T.clean(F.col("text"))))
-    found = found.where((F.col("kind") == 1) | (F.col("whole") != ""))
+    dealt = tables.repartition("doc_id")  # as the blocks are, so that both lie together as they come
+    found = layout.items(layout.with_cover(cleaned, dealt), dealt)
+    # Sorted once, for both windows that follow. Covered blocks count for a page's font.
+    found = found.sortWithinPartitions("doc_id", "page_number", "y", "kind", "src_idx")
+    on_page = Window.partitionBy("doc_id", "page_number")
+    found = found.withColumns({"page_font": F.coalesce(layout.page_median().over(on_page), F.lit(layout.DEFAULT_FONT)), "whole": F.when(F.col("kind") == 0, T.clean(F.col("text")))})
+    found = found.where(~F.col("covered") & ((F.col("kind") == 1) | (F.col("whole") != ""))).drop("covered", "median_font")
     typed = found.withColumn("content_type", F.when(F.col("kind") == 1, "table").otherwise(layout.block_type(F.col("text"), F.col("max_font"), F.col("page_font"))))
     above = F.last(F.when(F.col("content_type") == "heading", F.col("whole")), ignorenulls=True).over(layout.in_order().rowsBetween(Window.unboundedPreceding, 0))
     return typed.withColumn("heading_context", F.when(F.col("content_type") != "heading", above))
@@ -112,11 +116,18 @@ def ordered_items(blocks: DataFrame, tables: DataFrame, pages: DataFrame | None
 def chunks(items: DataFrame, counter: Counter | None = None) -> DataFrame:
     """Of ordered items: doc_id, number, kind, src_idx, chunk_id, page_number, content_type, text, token_count, bbox, heading_context, oversize."""
     counter = counter or SignTokens()
+    out = items.select("*", F.posexplode(pieces(counter)).alias("piece_idx", "piece")).withColumn("number", F.row_number().over(layout.in_order(F.col("piece_idx"))))
+    return out.select("doc_id", "number", "kind", "src_idx", T.chunk_id(F.col("number")).alias("chunk_id"), F.col("page_number").cast("int").alias("page_number"), "content_type", F.col("piece.text").alias("text"), counter.count(F.col("piece.text")).cast("int").alias("token_count"), bbox().alias("bbox"), "heading_context", F.col("piece.oversize").alias("oversize"))
+
+
+def pieces(counter: Counter) -> Column:
+    """(text, oversize) of each piece of an item."""
     texts = F.transform(packed(F.col("whole"), counter), lambda s: F.struct(s.alias("text"), F.lit(False).alias("oversize")))
-    pieces = F.when(F.col("kind") == 0, F.filter(texts, lambda p: ~T.blank(p["text"]))).otherwise(split_table(F.col("data"), counter))
-    out = items.select("*", F.posexplode(pieces).alias("piece_idx", "piece")).withColumn("number", F.row_number().over(layout.in_order(F.col("piece_idx"))))
-    bbox = F.when(F.col("x0").isNotNull(), F.array("x0", "y0", "x1", "y1"))
-    return out.select("doc_id", "number", "kind", "src_idx", T.chunk_id(F.col("number")).alias("chunk_id"), F.col("page_number").cast("int").alias("page_number"), "content_type", F.col("piece.text").alias("text"), counter.count(F.col("piece.text")).cast("int").alias("token_count"), bbox.alias("bbox"), "heading_context", F.col("piece.oversize").alias("oversize"))
+    return F.when(F.col("kind") == 0, F.filter(texts, lambda p: ~T.blank(p["text"]))).otherwise(split_table(F.col("data"), counter))
+
+
+def bbox() -> Column:
+    return F.when(F.col("x0").isNotNull(), F.array("x0", "y0", "x1", "y1"))
 
 
 # Messages as readers of the reports know them.
@@ -125,36 +136,63 @@ LONG_SENTENCE = f"sentence exceeded {MOST} tokens (%d); split on tokens with {OV
 LONG_ROW = f"table row exceeded {MOST} tokens after header; kept as single oversized chunk"
 
 
+def bent(counter: Counter, made: Column) -> Column:
+    """A message for each sentence of an item, or row of its table, that doesn't fit; ``made`` are its pieces."""
+    too_long = F.filter(counter.measure(sentences_of(F.col("whole")), MOST, OVERLAP)["n"], lambda n: n > MOST)
+    rows = F.transform(F.filter(made, lambda p: p["oversize"]), lambda p: F.lit(LONG_ROW))
+    return F.when(F.col("kind") == 1, rows).when(counter.over(F.col("whole"), MOST), F.transform(too_long, lambda n: F.format_string(LONG_SENTENCE, n)))
+
+
+def unread(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, page_number, message of the pages without a block."""
+    bare = pages.join(blocks.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_anti")
+    return bare.select("doc_id", "page_number", F.when(F.col("error").isNotNull(), F.concat(F.lit(FAILED_PAGE), F.col("error"))).otherwise(EMPTY_PAGE).alias("message"))
+
+
+def of_page(page: Column, message: Column) -> Column:
+    return F.concat(F.lit("page "), page.cast("string"), F.lit(": "), message)
+
+
 def warnings(items: DataFrame, blocks: DataFrame, pages: DataFrame | None = None, counter: Counter | None = None) -> DataFrame:
     """doc_id, phase, page_number, seq, message: what extraction and packing had to bend.
 
     ``items`` are ordered ones; ``pages`` (doc_id, page_number, error) lists all pages, so that those without a block
-    are told of.
+    are told of. Messages are made before they are put in order, so no text is sorted or shuffled for them.
     """
     counter = counter or SignTokens()
-    found = items.withColumn("seq", F.row_number().over(layout.in_order()))
-    too_long = F.filter(counter.measure(sentences_of(F.col("whole")), MOST, OVERLAP)["n"], lambda n: n > MOST)
-    sents = found.where((F.col("kind") == 0) & counter.over(F.col("whole"), MOST)).select("doc_id", "page_number", "seq", F.posexplode(too_long).alias("sub", "n"))
-    message = F.format_string(LONG_SENTENCE, F.col("n"))
-    rows = found.where("kind = 1").select("doc_id", "page_number", "seq", F.posexplode(F.filter(split_table(F.col("data"), counter), lambda p: p["oversize"])).alias("sub", "piece"))
-    out = sents.select("doc_id", F.lit("chunking").alias("phase"), "page_number", "seq", "sub", message.alias("message")).unionByName(rows.select("doc_id", F.lit("chunking").alias("phase"), "page_number", "seq", "sub", F.lit(LONG_ROW).alias("message")))
+    place = ("y", "kind", "src_idx")
+    out = items.withColumn("made", pieces(counter)).select("doc_id", F.lit("chunking").alias("phase"), "page_number", *place, F.posexplode(bent(counter, F.col("made"))).alias("sub", "message"))
     if pages is not None:
-        bare = pages.join(blocks.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_anti")
-        why = F.when(F.col("error").isNotNull(), F.concat(F.lit(FAILED_PAGE), F.col("error"))).otherwise(EMPTY_PAGE)
-        out = out.unionByName(bare.select("doc_id", F.lit("extraction").alias("phase"), "page_number", F.lit(0).alias("seq"), F.lit(0).alias("sub"), why.alias("message")))
-    order = Window.partitionBy("doc_id").orderBy(F.col("phase") != "extraction", "page_number", "seq", "sub")
-    return out.select("doc_id", "phase", "page_number", F.row_number().over(order).alias("seq"), F.concat(F.lit("page "), F.col("page_number").cast("string"), F.lit(": "), F.col("message")).alias("message"))
-
-
-def reports(chunk_rows: DataFrame, warning_rows: DataFrame, metadata: DataFrame) -> DataFrame:
-    """One nested row for each report of metadata (doc_id, source_pdf, company, year, report_type, total_pages)."""
-    fields = ("chunk_id", "page_number", "content_type", "text", "token_count", "bbox", "heading_context")
-    nested = chunk_rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("number", *fields))).alias("c"))
-    told = warning_rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "message"))).alias("w"))
+        out = out.unionByName(unread(blocks, pages).withColumn("phase", F.lit("extraction")), allowMissingColumns=True)
+    order = Window.partitionBy("doc_id").orderBy(F.col("phase") != "extraction", "page_number", *place, "sub")
+    return out.select("doc_id", "phase", "page_number", F.row_number().over(order).alias("seq"), of_page(F.col("page_number"), F.col("message")).alias("message"))
+
+
+def reports(items: DataFrame, blocks: DataFrame, metadata: DataFrame, pages: DataFrame | None = None, counter: Counter | None = None) -> DataFrame:
+    """One nested row for each report of metadata (doc_id, source_pdf, company, year, report_type, total_pages): chunks and warnings of its items.
+
+    Items are gathered by document as they lie and numbered in the row, so their texts aren't shuffled or kept for it.
+    """
+    counter = counter or SignTokens()
+    made = items.withColumn("made", pieces(counter)).withColumns({"n": counter.measure(F.transform("made", lambda p: p["text"]), MOST, OVERLAP)["n"], "told": bent(counter, F.col("made")), "bbox": bbox()})
+    parts = F.zip_with("made", "n", lambda p, n: F.struct(p["text"].alias("text"), n.alias("n")))
+    item = F.struct("page_number", "y", "kind", "src_idx", "content_type", "heading_context", "bbox", F.coalesce(parts, F.array().cast("array<struct<text:string,n:int>>")).alias("parts"), F.coalesce("told", F.array().cast("array<string>")).alias("told"))
+    nested = made.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("i"))
     about = F.struct("source_pdf", "company", F.col("year").cast("int").alias("year"), "report_type", F.col("total_pages").cast("int").alias("total_pages"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("extraction_timestamp"))
-    inner = F.transform("c", lambda c: F.struct(*[c[f].alias(f) for f in fields]))
-    full = metadata.join(nested, "doc_id", "left").join(told, "doc_id", "left")
-    return full.select("doc_id", about.alias("report_metadata"), F.coalesce(inner, F.array().cast(chunk_list())).alias("chunks"), F.coalesce(F.transform("w", lambda w: w["message"]), F.array().cast("array<string>")).alias("extraction_warnings"))
+    each = F.flatten(F.transform("i", lambda i: F.transform(i["parts"], lambda p: F.struct(i["page_number"].cast("int").alias("page_number"), i["content_type"].alias("content_type"), p["text"].alias("text"), p["n"].alias("token_count"), i["bbox"].alias("bbox"), i["heading_context"].alias("heading_context")))))
+    fields = ("page_number", "content_type", "text", "token_count", "bbox", "heading_context")
+    numbered = F.transform(each, lambda c, k: F.struct(T.chunk_id(k + 1).alias("chunk_id"), *[c[f].alias(f) for f in fields]))
+    told = F.flatten(F.transform("i", lambda i: F.transform(i["told"], lambda m: of_page(i["page_number"], m))))
+    # Hashed, so that whole reports needn't be sorted to meet what is small.
+    full = metadata.hint("shuffle_hash").join(nested, "doc_id", "left")
+    none = F.array().cast("array<string>")
+    if pages is not None:
+        first = unread(blocks, pages).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "message"))).alias("u"))
+        full = full.join(first.hint("shuffle_hash"), "doc_id", "left")
+        unread_first = F.transform("u", lambda w: of_page(w["page_number"], w["message"]))
+    else:
+        unread_first = none
+    return full.select("doc_id", about.alias("report_metadata"), F.coalesce(numbered, F.array().cast(chunk_list())).alias("chunks"), F.concat(F.coalesce(unread_first, none), F.coalesce(told, none)).alias("extraction_warnings"))
 
 
 def chunk_list() -> str:

@@ -60,12 +60,13 @@ def repeated_texts(blocks: DataFrame, pages: DataFrame | None = None) -> DataFra
 
 def without_headers(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Blocks without repeated margin texts and margin page numbers."""
-    marked = blocks.withColumns({"header": T.clean(F.col("text")), "margin": margin_of_block()})
+    marked = blocks.withColumns({"header": F.when(margin_of_block(), T.clean(F.col("text"))), "margin": margin_of_block()})
     numbered = marked.where(~(F.col("margin") & T.is_page_number(F.col("header"))))
     # By document alone, so that texts are shuffled once for all steps: a join by more keys would deal them out anew.
     gone = repeated_texts(blocks, pages).groupBy("doc_id").agg(F.collect_set("header").alias("gone"))
     shown = ~(F.col("margin") & F.coalesce(F.array_contains("gone", F.col("header")), F.lit(False)))
-    return numbered.join(gone, "doc_id", "left").where(shown).select(*blocks.columns)
+    # Headers of a document are few: hashed, so that the blocks needn't be sorted to meet them.
+    return numbered.join(gone.hint("shuffle_hash"), "doc_id", "left").where(shown).select(*blocks.columns)
 
 
 def page_median() -> Column:
@@ -86,6 +87,11 @@ def block_fonts(spans: DataFrame) -> DataFrame:
 
 def uncovered(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """Blocks that no table of their page contains or overlaps much."""
+    return with_cover(blocks, tables).where(~F.col("covered")).select(*blocks.columns)
+
+
+def with_cover(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """Blocks with ``covered``: does a table of their page contain or much overlap them?"""
     sides = ("x0", "y0", "x1", "y1")
     boxes = tables.where(F.col("x0").isNotNull()).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("page_number").alias("page"), *sides)).alias("boxes"))
     a = [F.col(c) for c in sides]
@@ -95,7 +101,7 @@ def uncovered(blocks: DataFrame, tables: DataFrame) -> DataFrame:
         return (t["page"] == F.col("page_number")) & (contained(a, b) | (iou(a, b) > OVERLAP))
 
     covered = F.coalesce(F.exists("boxes", covers), F.lit(False))
-    return blocks.join(boxes, "doc_id", "left").where(~covered).select(*blocks.columns)
+    return blocks.join(boxes.hint("shuffle_hash"), "doc_id", "left").select(*[blocks[c] for c in blocks.columns], covered.alias("covered"))
 
 
 def block_type(text: Column, max_font: Column, page_font: Column) -> Column:
@@ -108,9 +114,9 @@ def block_type(text: Column, max_font: Column, page_font: Column) -> Column:
 
 
 def items(blocks: DataFrame, tables: DataFrame) -> DataFrame:
-    """Blocks and tables as one list with a place in reading order: page, height to a tenth, blocks before tables."""
-    b = blocks.select("doc_id", "page_number", F.lit(0).alias("kind"), F.col("src_idx").cast("int").alias("src_idx"), "text", F.lit(None).cast("array<array<string>>").alias("data"), "x0", "y0", "x1", "y1", "max_font", "page_font")
-    t = tables.select("doc_id", "page_number", F.lit(1).alias("kind"), F.col("src_idx").cast("int").alias("src_idx"), F.lit(None).cast("string").alias("text"), "data", "x0", "y0", "x1", "y1", F.lit(None).cast("double").alias("max_font"), F.lit(None).cast("double").alias("page_font"))
+    """Blocks with their cover and tables as one list with a place in reading order: page, height to a tenth, blocks before tables."""
+    b = blocks.select("doc_id", "page_number", F.lit(0).alias("kind"), F.col("src_idx").cast("int").alias("src_idx"), "text", F.lit(None).cast("array<array<string>>").alias("data"), "x0", "y0", "x1", "y1", "max_font", "median_font", "covered")
+    t = tables.select("doc_id", "page_number", F.lit(1).alias("kind"), F.col("src_idx").cast("int").alias("src_idx"), F.lit(None).cast("string").alias("text"), "data", "x0", "y0", "x1", "y1", F.lit(None).cast("double").alias("max_font"), F.lit(None).cast("double").alias("median_font"), F.lit(False).alias("covered"))
     return b.unionByName(t).withColumn("y", F.bround(F.coalesce("y0", F.lit(0.0)), 1))
 
 

@@ -129,10 +129,9 @@ def table_split(spark: SparkSession, d: str) -> DataFrame:
 def nested_reports(spark: SparkSession, d: str) -> DataFrame:
     """Each report nested; its items are made once, for chunks and for warnings."""
     p = pages(spark, d)
-    items = sinks.kept(placed(spark, d), "items")
     name = F.concat(F.lit("reports/doc-"), F.col("doc_id").cast("string"), F.lit(".pdf"))
     meta = p.groupBy("doc_id").agg(F.max("page_number").alias("total_pages")).select("doc_id", name.alias("source_pdf"), F.lit("Acme").alias("company"), F.lit(2024).alias("year"), F.lit(None).cast("string").alias("report_type"), "total_pages")
-    return C.reports(C.chunks(items), C.warnings(items, blocks(spark, d), p), meta)
+    return C.reports(placed(spark, d), blocks(spark, d), meta, p)
 
 
 def chunk_fields(found: DataFrame) -> DataFrame:
@@ -201,7 +200,7 @@ def page_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def warnings(spark: SparkSession, d: str) -> DataFrame:
-    return C.warnings(sinks.kept(placed(spark, d), "items"), blocks(spark, d), pages(spark, d))
+    return C.warnings(placed(spark, d), blocks(spark, d), pages(spark, d))
 
 
 def risks(spark: SparkSession, d: str) -> DataFrame:
