@@ -162,9 +162,8 @@ def json_variants(spark: SparkSession, d: str) -> DataFrame:
     sinks.write_json(nested.withColumns({"chunks": score, "remark": remark}), folder)
     found = sinks.read_variants(spark, folder)
     get = lambda p, kind: F.try_variant_get("chunk", p, kind)
-    state = found.select(F.try_variant_get("report", "$.report_metadata.source_pdf", "string").alias("source_pdf"), F.try_variant_get("report", "$.remark.state", "string").alias("state"))
-    rows = sinks.variant_chunks(found).select("source_pdf", "total_pages", (F.col("pos") + 1).alias("number"), get("$.chunk_id", "string").alias("chunk_id"), get("$.content_type", "string").alias("content_type"), get("$.text", "string").alias("text"), get("$.bbox[1]", "double").alias("top"), get("$.extra.score", "int").alias("score"), get("$.nowhere", "string").alias("nowhere"))
-    return rows.join(state, "source_pdf")
+    state = F.try_variant_get("report", "$.remark.state", "string").alias("state")
+    return sinks.variant_chunks(found, state).select("source_pdf", "total_pages", (F.col("pos") + 1).alias("number"), get("$.chunk_id", "string").alias("chunk_id"), get("$.content_type", "string").alias("content_type"), get("$.text", "string").alias("text"), get("$.bbox[1]", "double").alias("top"), get("$.extra.score", "int").alias("score"), get("$.nowhere", "string").alias("nowhere"), "state")
 
 
 def observed_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -107,11 +107,14 @@ def read_variants(spark: SparkSession, folder: str, whole_files: bool = False) -
     return spark.read.text(folder, wholetext=whole_files).select(F.try_parse_json("value").alias("report"))
 
 
-def variant_chunks(reports: DataFrame) -> DataFrame:
-    """source_pdf, total_pages, pos, chunk: a row for each chunk of variant reports, the chunk itself a variant."""
+def variant_chunks(reports: DataFrame, *more: Column) -> DataFrame:
+    """source_pdf, total_pages, pos, chunk: a row for each chunk of variant reports, the chunk itself a variant.
+
+    ``more`` are named columns of the reports that go with each of their chunks.
+    """
     path = lambda p, kind: F.try_variant_get("report", p, kind)
-    named = reports.select(path("$.report_metadata.source_pdf", "string").alias("source_pdf"), path("$.report_metadata.total_pages", "int").alias("total_pages"), path("$.chunks", "array<variant>").alias("chunks"))
-    return named.select("source_pdf", "total_pages", F.posexplode("chunks").alias("pos", "chunk"))
+    named = reports.select(path("$.report_metadata.source_pdf", "string").alias("source_pdf"), path("$.report_metadata.total_pages", "int").alias("total_pages"), path("$.chunks", "array<variant>").alias("chunks"), *more)
+    return named.select(*[c for c in named.columns if c != "chunks"], F.posexplode("chunks").alias("pos", "chunk"))
 
 
 def write_json(reports: DataFrame, folder: str) -> None:

@@ -130,6 +130,15 @@ def test_variants_hold_what_no_schema_names(spark, tmp_path):
     got = sinks.variant_chunks(found).select("source_pdf", "total_pages", "pos", F.try_variant_get("chunk", "$.chunk_id", "string").alias("id"), F.try_variant_get("chunk", "$.new.x[1]", "double").alias("x")).collect()
     assert [tuple(r) for r in got] == [("a.pdf", 3, 0, "chunk_0001", 2.5), ("a.pdf", 3, 1, "7", None)]
 
+    more = sinks.variant_chunks(found, F.try_variant_get("report", "$.chunks[0].new.x[0]", "int").alias("x0")).collect()
+    assert [(r.source_pdf, r.pos, r.x0) for r in more] == [("a.pdf", 0, 1), ("a.pdf", 1, 1)]
+
+
+def test_chunks_of_variants_are_not_shuffled(spark):
+    """What a report says goes with its chunks; nothing is joined to them."""
+    plan = registry.queries()["s09_variants"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
 
 def test_registered_levels_cover_every_claim(spark):
     got = registry.queries()["a02_levels"](spark, D).collect()
