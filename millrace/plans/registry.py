@@ -194,8 +194,7 @@ def page_files(spark: SparkSession, d: str) -> DataFrame:
     """name, text of the page text's file of each document."""
     folder = sinks.scratch(spark, "page-files")
     sinks.write_page_files(derived.claim_pages(spark, d), folder)
-    found = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    return found.select(sinks.stem(F.col("_metadata.file_path")).alias("name"), F.col("value").alias("text"))
+    return sinks.read_page_files(spark, folder)
 
 
 def warnings(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.sources.report_files import ReportFiles
+from millrace.sources import report_files
 
 # Options under which the writer's bytes equal those of a csv module with minimal quoting.
 TSV = {"sep": "\t", "header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\r\n", "encoding": "UTF-8"}
@@ -59,7 +59,7 @@ def write_page_text(pages: DataFrame, folder: str, folders: bool = False) -> Non
 
 def write_report_files(rows: DataFrame, folder: str, suffix: str, mode: str = "append", indent: int | None = None) -> None:
     """One file for each name of rows (name, content) or (name, order, content), in that order; all of them or none."""
-    rows.sparkSession.dataSource.register(ReportFiles)
+    rows.sparkSession.dataSource.register(report_files.ReportFiles)
     if "order" in rows.columns:
         rows = rows.repartition("name").sortWithinPartitions("name", "order").select("name", "content")
     out = rows.write.format("report-files").option("suffix", suffix).mode(mode)
@@ -80,7 +80,12 @@ def write_json_files(reports: DataFrame, folder: str, mode: str = "append") -> N
 
 def read_json_files(spark: SparkSession, folder: str, schema) -> DataFrame:
     """What ``write_json_files`` wrote."""
-    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    return report_files.texts(spark, folder, ".json").select(F.from_json("text", schema).alias("r")).select("r.*")
+
+
+def read_page_files(spark: SparkSession, folder: str) -> DataFrame:
+    """name, text of what ``write_page_files`` wrote."""
+    return report_files.texts(spark, folder, ".txt")
 
 
 def write_tsv(rows: DataFrame, folder: str) -> None:

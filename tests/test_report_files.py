@@ -2,14 +2,17 @@
 
 import json
 import os
+import pickle
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.__main__ import main
 from millrace.plans import registry
-from millrace.sources import derived, reports, sinks
+from millrace.sources import derived, report_files, reports, sinks
 from tests.test_io import CLAIM, parse
 
 
@@ -81,6 +84,37 @@ def test_report_files_come_back(spark, tmp_path):
     assert back.select(F.sum(F.size("chunks"))).first() == nested.select(F.sum(F.size("chunks"))).first()
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_the_driver_gets_no_names(tmp_path, monkeypatch, alike):
+    """What a task sends back doesn't grow with its files; names whose hashes meet are still told apart."""
+    monkeypatch.setattr(report_files, "FILES", 10)
+    if alike:
+        monkeypatch.setattr(report_files, "_hashes", lambda names: np.zeros(len(list(names)), np.uint64))
+    made = lambda names: iter([pa.RecordBatch.from_pydict({"name": names, "content": [f"of {n}" for n in names]})])
+    names, others = [f"report {i}" for i in range(95)], [f"other {i}" for i in range(10)]
+    writer = report_files._Writer({"path": str(tmp_path), "suffix": ".txt"}, ["name", "content"], False)
+    told = [writer.write(made(names)), None, writer.write(made(others)), writer.write(made([]))]
+    assert max(len(pickle.dumps(m)) for m in told) < 300
+    writer.commit(told)
+    assert files(tmp_path) == {f"{n}.txt": f"of {n}".encode() for n in names + others} | {"_SUCCESS": b""} and len(os.listdir(tmp_path)) == 106
+    again = report_files._Writer({"path": str(tmp_path), "suffix": ".txt"}, ["name", "content"], False)
+    with pytest.raises(ValueError, match="two tasks: report 3$"):
+        again.commit([again.write(made(["report 3", "new"])), again.write(made(["report 3"]))])
+    assert len(os.listdir(tmp_path)) == 106
+
+
+def test_files_are_read_back_without_a_list_on_the_driver(spark, tmp_path):
+    data = [("a b%20", "one\n\ntwo\n"), ("ü.x", "é"), ("_c", ""), ("d", None)]
+    sinks.write_report_files(rows(spark, data), str(tmp_path), ".txt")
+    (tmp_path / "other.json").write_text("{}")
+    (tmp_path / "folder.txt").mkdir()
+    found = sinks.read_page_files(spark, str(tmp_path))
+    assert {(r.name, r.text) for r in found.collect()} == {(n, t or "") for n, t in data} and found.inputFiles() == []
+    assert sinks.read_json_files(spark, str(tmp_path), spark.createDataFrame([], "x int").schema).collect() == [(None,)]
+    assert report_files.texts(spark, str(tmp_path), ".none").collect() == []
+    assert registry.queries()["s07_page_files"](spark, "/root/testdata/sf0.001").inputFiles() == []
+
+
 def test_command_line_writes_report_files(spark, tmp_path):
     derived.claim_pages(spark, "/root/testdata/sf0.001").where("doc_id < 4").write.parquet(str(tmp_path / "pages"))
     assert main(["claims", str(tmp_path / "pages"), str(tmp_path / "out"), "--pages-table", "--report-files", "--learn-sentences"]) == 0
