@@ -107,7 +107,7 @@ def ordered_items(blocks: DataFrame, tables: DataFrame, pages: DataFrame | None
     found = found.sortWithinPartitions("doc_id", "page_number", "y", "kind", "src_idx")
     on_page = Window.partitionBy("doc_id", "page_number")
     found = found.withColumns({"page_font": F.coalesce(layout.page_median().over(on_page), F.lit(layout.DEFAULT_FONT)), "whole": F.when(F.col("kind") == 0, T.clean(F.col("text")))})
-    found = found.where(~F.col("covered") & ((F.col("kind") == 1) | (F.col("whole") != ""))).drop("covered", "median_font")
+    found = found.where(~F.col("covered") & ((F.col("kind") == 1) | ~T.blank(F.col("text")))).drop("covered", "median_font")
     typed = found.withColumn("content_type", F.when(F.col("kind") == 1, "table").otherwise(layout.block_type(F.col("text"), F.col("max_font"), F.col("page_font"))))
     above = F.last(F.when(F.col("content_type") == "heading", F.col("whole")), ignorenulls=True).over(layout.in_order().rowsBetween(Window.unboundedPreceding, 0))
     return typed.withColumn("heading_context", F.when(F.col("content_type") != "heading", above))

@@ -127,11 +127,11 @@ def table_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nested_reports(spark: SparkSession, d: str) -> DataFrame:
-    """Each report nested; its items are made once, for chunks and for warnings."""
-    p = pages(spark, d)
+    """Each report nested; its items are made once, for chunks and for warnings, and so is the list of pages."""
+    p = sinks.kept(pages(spark, d), "pages")
     name = F.concat(F.lit("reports/doc-"), F.col("doc_id").cast("string"), F.lit(".pdf"))
     meta = p.groupBy("doc_id").agg(F.max("page_number").alias("total_pages")).select("doc_id", name.alias("source_pdf"), F.lit("Acme").alias("company"), F.lit(2024).alias("year"), F.lit(None).cast("string").alias("report_type"), "total_pages")
-    return C.reports(placed(spark, d), blocks(spark, d), meta, p)
+    return C.reports(C.ordered_items(blocks(spark, d), tables(spark, d), p), blocks(spark, d), meta, p)
 
 
 def chunk_fields(found: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def chunk_fields(found: DataFrame) -> DataFrame:
 def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """What comes back from JSON, an object to a line."""
     nested, folder = nested_reports(spark, d), sinks.scratch(spark, "reports-json")
-    sinks.write_json(nested, folder)
+    sinks.write_json(nested, folder, "gzip")  # text is four times as large
     return chunk_fields(sinks.read_json(spark, folder, nested.drop("doc_id").schema))
 
 
@@ -159,7 +159,7 @@ def json_variants(spark: SparkSession, d: str) -> DataFrame:
     nested, folder = nested_reports(spark, d), sinks.scratch(spark, "reports-variant")
     score = F.transform("chunks", lambda c: c.withField("extra", F.struct((c["token_count"] * 2).alias("score"))))
     remark = F.when(F.col("doc_id") % 3 == 0, F.struct(F.lit("checked").alias("state")))
-    sinks.write_json(nested.withColumns({"chunks": score, "remark": remark}), folder)
+    sinks.write_json(nested.withColumns({"chunks": score, "remark": remark}), folder, "gzip")  # text is four times as large
     found = sinks.read_variants(spark, folder)
     get = lambda p, kind: F.try_variant_get("chunk", p, kind)
     state = F.try_variant_get("report", "$.remark.state", "string").alias("state")

@@ -122,7 +122,7 @@ def variant_chunks(reports: DataFrame, *more: Column) -> DataFrame:
     return named.select(*[c for c in named.columns if c != "chunks"], F.posexplode("chunks").alias("pos", "chunk"))
 
 
-def write_json(reports: DataFrame, folder: str) -> None:
+def write_json(reports: DataFrame, folder: str, compression: str = "none") -> None:
     """A JSON object for each report, null fields kept, one to a line."""
     body = [c for c in reports.columns if c != "doc_id"]
-    reports.select(F.to_json(F.struct(*body), {"ignoreNullFields": "false"}).alias("value")).write.text(folder)
+    reports.select(F.to_json(F.struct(*body), {"ignoreNullFields": "false"}).alias("value")).write.text(folder, compression=compression)
